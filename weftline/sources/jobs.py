@@ -54,13 +54,13 @@ def parse_documents(documents: DataFrame, text: str = "value") -> DataFrame:
     listed = F.when(root == "[", F.from_json(body, "array<variant>")).when(
         root == "{", F.from_json(body, "records array<variant>")["records"]
     )
-    opened = documents.select(F.monotonically_increasing_id().alias("_doc"), listed.alias("elements"))
+    opened = documents.select(listed.alias("elements"))
     if not opened.where("elements is null").isEmpty():
         raise ValueError("a catalogue must be a JSON array or an object with a records array")
-    elements = opened.select("_doc", F.posexplode("elements").alias("_pos", "element"))
+    elements = opened.select(F.explode("elements").alias("element"))
     if not elements.where(~F.coalesce(json_type(F.col("element")) == "OBJECT", F.lit(False))).isEmpty():
         raise ValueError("every catalogue record must be a JSON object")
-    return elements.select((F.col("_doc") + F.col("_pos")).alias("ord"), "element")
+    return elements.select(F.monotonically_increasing_id().alias("ord"), "element")
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.jsontext import json_type, node_text
@@ -17,23 +17,19 @@ def parse_sql_batch(documents: DataFrame, text: str = "value") -> DataFrame:
     A document that starts with ``[`` is a JSON array of strings or objects, any other is cut at ``-- @SQL`` lines.
     """
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    docs = documents.select(
-        F.monotonically_increasing_id().alias("_doc"), body.alias("body"), body.startswith("[").alias("is_json")
-    )
-    items = docs.where("is_json").select("_doc", F.from_json("body", "array<variant>").alias("items"))
+    docs = documents.select(body.alias("body"), body.startswith("[").alias("is_json"))
+    items = docs.where("is_json").select(F.from_json("body", "array<variant>").alias("items"))
     if not items.where("items is null or size(items) = 0").isEmpty():
         raise ValueError("a JSON batch must be a non-empty array")
     element = F.col("e")
     shape = json_type(element)
 
-    def field(name: str, default) -> F.Column:
+    def field(name: str, default) -> Column:
         value = strip(node_text(F.try_variant_get(element, f"$.{name}", "variant")))
         return F.when(F.coalesce(value, F.lit("")) == "", default).otherwise(value)
 
     number = F.format_string("sql-%04d", F.col("_pos") + 1)
-    parsed = items.select("_doc", F.posexplode("items").alias("_pos", "e")).select(
-        "_doc",
-        "_pos",
+    parsed = items.select(F.posexplode("items").alias("_pos", "e")).select(
         F.when(shape == "OBJECT", field("sqlId", number)).otherwise(number).alias("sql_id"),
         F.when(shape == "STRING", node_text(element)).when(shape == "OBJECT", field("sql", F.lit(""))).alias("sql"),
         F.when(shape == "OBJECT", field("source", F.lit(""))).alias("source"),
@@ -47,13 +43,11 @@ def parse_sql_batch(documents: DataFrame, text: str = "value") -> DataFrame:
         raise ValueError("every batch item must be a string or an object with a non-blank sql")
 
     blocks = F.filter(F.transform(F.split("body", DELIMITER), strip), lambda b: b != "")
-    cut = docs.where("not is_json").select("_doc", blocks.alias("blocks"))
+    cut = docs.where("not is_json").select(blocks.alias("blocks"))
     if not cut.where("size(blocks) = 0").isEmpty():
         raise ValueError("no SQL found in the batch")
     none = F.lit(None)
-    plain = cut.select("_doc", F.posexplode("blocks").alias("_pos", "sql")).select(
-        "_doc",
-        "_pos",
+    plain = cut.select(F.posexplode("blocks").alias("_pos", "sql")).select(
         F.format_string("sql-%04d", F.col("_pos") + 1).alias("sql_id"),
         "sql",
         none.cast("string").alias("source"),
@@ -61,7 +55,7 @@ def parse_sql_batch(documents: DataFrame, text: str = "value") -> DataFrame:
         none.cast("map<string,string>").alias("metadata"),
     )
     return parsed.unionByName(plain).select(
-        (F.col("_doc") + F.col("_pos")).alias("ord"), "sql_id", "sql", "source", "file_name", "metadata"
+        F.monotonically_increasing_id().alias("ord"), "sql_id", "sql", "source", "file_name", "metadata"
     )
 
 
