@@ -29,7 +29,7 @@ def upstream_closure(edges: DataFrame, seeds: DataFrame, depth: int = DEFAULT_DE
     ``depth`` of 0 or less is unlimited.  Cycles end because visited pairs are removed.
     """
     spark = edges.sparkSession
-    links = edges.select("src", "dst")
+    links = materialize(edges.select("src", "dst"), "links")  # read in every round, so built once
     base = scratch_path(spark, "closure")
 
     def write_level(level: DataFrame, hop: int) -> DataFrame:
@@ -68,7 +68,6 @@ def _double(links: DataFrame, reach: DataFrame, hops: int) -> DataFrame | None:
     ``walk`` holds the pairs joined by a walk of exactly ``stride`` edges.  All hops below ``stride`` are known,
     so one join with ``walk`` yields the hops stride .. 2*stride-1.
     """
-    links = materialize(links.distinct(), "walk")
     allowed = WALK_GROWTH * max(links.count(), 1)
     walk, stride = links, 1
     while stride * 2 <= hops + 1:

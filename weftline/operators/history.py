@@ -63,17 +63,21 @@ def suppress_marked(df: DataFrame, key: str, order: list[str], hot_rows: int = H
     ).drop("_marker", "_print")
 
 
+def _pinned() -> Column:
+    return F.coalesce("pinned", F.lit(False))
+
+
 def _newest(df: DataFrame, key: str, kept: int) -> DataFrame:
     """Newest unpinned rows per key.  The rank limit is pushed below the exchange (window group limit)."""
     if not 1 <= kept <= LARGEST_KEPT:
         raise ValueError(f"kept must be between 1 and {LARGEST_KEPT}")
     newest = Window.partitionBy(key).orderBy(F.col("created_ms").desc(), F.col("id").desc())
-    return df.where("not pinned").withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= kept)
+    return df.where(~_pinned()).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= kept)
 
 
 def retain(df: DataFrame, key: str, kept: int = DEFAULT_KEPT) -> DataFrame:
     """Pinned rows and the newest ``kept`` unpinned rows per key."""
-    return df.where("pinned").unionByName(_newest(df, key, kept).drop("_rank"))
+    return df.where(_pinned()).unionByName(_newest(df, key, kept).drop("_rank"))
 
 
 def evicted(df: DataFrame, key: str, kept: int = DEFAULT_KEPT) -> DataFrame:
@@ -84,13 +88,12 @@ def evicted(df: DataFrame, key: str, kept: int = DEFAULT_KEPT) -> DataFrame:
     oldest_kept = (
         _newest(df, key, kept)
         .where(F.col("_rank") == kept)
-        .select(key, F.struct("created_ms", "id").alias("_oldest"))
+        .select(F.col(key).alias("_key"), F.struct("created_ms", "id").alias("_oldest"))
     )
     return (
-        df.where("not pinned")
-        .join(oldest_kept, key)
-        .where(F.struct("created_ms", "id") < F.col("_oldest"))
-        .drop("_oldest")
+        df.where(~_pinned())
+        .join(oldest_kept, F.col(key).eqNullSafe(F.col("_key")) & (F.struct("created_ms", "id") < F.col("_oldest")))
+        .drop("_key", "_oldest")
     )
 
 

@@ -94,13 +94,17 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
 
 
 def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys to split, or None.  At most MAX_HOT_KEYS rows, because the threshold is a share of the total."""
+    """Keys to split, or None.  At most MAX_HOT_KEYS rows, because the threshold is a share of the total.
+
+    The counts are pre-aggregated per task, so a hot key sends one row per task here.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
     if not largest or largest <= limit:
         return None
-    return counts.where(F.col("_rows") > limit).select(*[F.col(k).alias(f"_c_{k}") for k in keys])
+    hot = counts.where(F.col("_rows") > limit).select(*[F.col(k).alias(f"_c_{k}") for k in keys])
+    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
 def _cut_points(df: DataFrame, order: list[str], blocks: int) -> list:
@@ -136,7 +140,11 @@ def running(
     hot_rows: int = HOT_ROWS,
     blocks: int = BLOCKS,
 ) -> DataFrame:
-    """Add the running values ``specs`` per ``keys`` in ascending ``order`` (which must be unique per key)."""
+    """Add the running values ``specs`` per ``keys`` in ascending ``order`` (which must be unique per key).
+
+    Without hot keys this is one exchange.  With hot keys the input is read again for the cut points and the
+    block totals, so hand in a table or a plain scan, not a long plan.
+    """
     hot = _hot_keys(df, keys, hot_rows)
     if hot is None:
         window = Window.partitionBy(*keys).orderBy(*order)

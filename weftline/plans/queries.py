@@ -48,9 +48,9 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lineage_edges(v.jobs(spark, sf_dir), unique_names=True)
 
 
-def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Catalogue and edges as written tables, for queries that use them several times."""
-    jobs = materialize(v.jobs(spark, sf_dir), "jobs")
+def _catalogue(spark: SparkSession, sf_dir: str, *texts: str) -> tuple[DataFrame, DataFrame]:
+    """Catalogue and edges as written tables, for queries that use them several times; texts only on demand."""
+    jobs = materialize(v.jobs(spark, sf_dir).select("name", "input_tables", "output_tables", *texts), "jobs")
     return jobs, materialize(graph.lineage_edges(jobs, unique_names=True), "edges")
 
 
@@ -82,7 +82,7 @@ def _raw_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def parse_table_list(spark, sf_dir):
     raw = _raw_lists(spark, sf_dir).join(v.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey")
-    first = F.when(F.col("p_size") % 3 == 0, F.lit(" ;null,` `")).otherwise(F.col("t"))
+    first = F.when(F.col("p_size") % 3 == 0, F.lit(" ;null,``")).otherwise(F.col("t"))
     return raw.select("p_partkey", _joined(names.parse_table_list(first, F.col("p_type"))).alias("tables"))
 
 
@@ -97,38 +97,34 @@ def split_tables(spark, sf_dir):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One catalogue document per customer: the customer's orders as records, every fifth without a name."""
-    record = F.concat(
-        F.lit('{"name":'),
-        F.when(F.col("o_orderkey") % 5 == 0, F.lit('" "')).otherwise(v._cat('"o', F.col("o_orderkey"), '"')),
-        F.lit(',"sql":"select 1","inputTables":'),
-        F.when(F.col("o_orderkey") % 2 == 0, v._cat('["c', F.col("o_custkey"), '",null,"a;b"]')).otherwise(
-            F.lit('"x ; `y`，null"')
-        ),
-        F.lit(',"outputtables":"t'),
-        (F.col("o_orderkey") % 7).cast("string"),
-        F.lit('"}'),
-    )
-    grouped = (
-        v.table(spark, sf_dir, "orders")
-        .groupBy("o_custkey")
-        .agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("d"))
+    """One catalogue document per order with three records, one of them without a name."""
+    key, part = F.col("o_orderkey"), F.col("o_custkey") % 7
+
+    def record(name: Column, inputs: Column) -> Column:
+        return F.concat(
+            F.lit('{"name":"'), name, F.lit('","sql":"select 1","inputTables":'), inputs,
+            F.lit(',"outputtables":"t'), part.cast("string"), F.lit('"}'),
+        )
+
+    records = F.concat_ws(
+        ",",
+        record(v._cat("o", key), v._cat('["c', F.col("o_custkey"), '",null,"a;b"]')),
+        record(F.lit(" "), F.lit('"lost"')),
+        record(v._cat("p", key), F.lit('"x ; `y`，null"')),
     )
-    return grouped.select(
-        F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit('{"records":'), "d", F.lit("}"))).otherwise(F.col("d")).alias("value")
+    listed = F.concat(F.lit("["), records, F.lit("]"))
+    return v.table(spark, sf_dir, "orders").select(
+        F.when(key % 2 == 0, F.concat(F.lit('{"records":'), listed, F.lit("}"))).otherwise(listed).alias("value")
     )
 
 
 @query(
     "job_documents",
-    """SELECT 'o' || o_orderkey AS name, 'select 1' AS sql,
-         CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey || '|a;b' ELSE 'x|y' END AS inputs,
-         't' || (o_orderkey % 7) AS outputs
-       FROM orders WHERE o_orderkey % 5 <> 0""",
+    """SELECT 'o' || o_orderkey AS name, 'select 1' AS sql, 'c' || o_custkey || '|a;b' AS inputs, 't' || (o_custkey % 7) AS outputs FROM orders
+       UNION ALL SELECT 'p' || o_orderkey, 'select 1', 'x|y', 't' || (o_custkey % 7) FROM orders""",
 )
 def job_documents(spark, sf_dir):
-    documents = materialize(_documents(spark, sf_dir), "documents")
-    jobs = job_source._records(job_source.parse_documents(documents))
+    jobs = job_source._records(job_source.parse_documents(_documents(spark, sf_dir)))
     return jobs.select(
         "name",
         "sql",
@@ -177,37 +173,23 @@ def duplicate_job_names(spark, sf_dir):
 
 @query(
     "sql_batch",
-    """SELECT printf('sql-%04d', n) AS sql_id, sql, count(*) AS copies FROM (
-         SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n,
-                'select * from t' || (o_orderkey % 3) AS sql FROM orders WHERE o_custkey % 2 = 0
-         UNION ALL
-         SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 'delete from t' || (o_orderkey % 3)
-         FROM orders WHERE o_custkey % 2 = 1)
-       GROUP BY n, sql""",
+    """SELECT printf('sql-%04d', n) AS sql_id, sql, meta, count(*) AS copies FROM (
+         SELECT 1 AS n, 'select * from t' || (o_custkey % 3) AS sql, '1' AS meta FROM orders WHERE o_orderkey % 2 = 0
+         UNION ALL SELECT 2, 'select 2', NULL FROM orders WHERE o_orderkey % 2 = 0
+         UNION ALL SELECT 1, 'delete from t' || (o_custkey % 3), NULL FROM orders WHERE o_orderkey % 2 = 1
+         UNION ALL SELECT 2, 'select 3', NULL FROM orders WHERE o_orderkey % 2 = 1)
+       GROUP BY n, sql, meta""",
 )
 def sql_batch_query(spark, sf_dir):
-    """Batches per customer, JSON arrays for even keys and delimited text for odd ones."""
-    key = F.col("o_orderkey")
-    as_json = F.concat(F.lit('{"sql":" select * from t'), (key % 3).cast("string"), F.lit('","metadata":{"k":1}}'))
-    as_text = F.concat(F.lit("delete from t"), (key % 3).cast("string"))
-    items = F.transform(F.sort_array(F.collect_list(F.struct(key, as_json.alias("j"), as_text.alias("t")))), lambda x: x)
-    documents = (
-        v.table(spark, sf_dir, "orders")
-        .groupBy("o_custkey")
-        .agg(items.alias("items"))
-        .select(
-            F.when(
-                F.col("o_custkey") % 2 == 0,
-                F.concat(F.lit(" ["), F.array_join(F.transform("items", lambda x: x["j"]), ","), F.lit("]")),
-            )
-            .otherwise(
-                F.concat(F.lit("-- @SQL\n"), F.array_join(F.transform("items", lambda x: x["t"]), "\n  --  @SQL \n"))
-            )
-            .alias("value")
-        )
+    """One batch document per order: JSON arrays for even keys, delimited text for odd ones."""
+    target = (F.col("o_custkey") % 3).cast("string")
+    as_json = F.concat(F.lit(' [{"sql":" select * from t'), target, F.lit('","metadata":{"k":1}}, "select 2"]'))
+    as_text = F.concat(F.lit("-- @SQL\n\ndelete from t"), target, F.lit("\n  --  @SQL \nselect 3"))
+    documents = v.table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 2 == 0, as_json).otherwise(as_text).alias("value")
     )
-    batch = sql_batch.parse_sql_batch(materialize(documents, "batches"))
-    return batch.groupBy("sql_id", "sql").agg(F.count(F.lit(1)).alias("copies"))
+    batch = sql_batch.parse_sql_batch(documents)
+    return batch.groupBy("sql_id", "sql", F.col("metadata")["k"].alias("meta")).agg(F.count(F.lit(1)).alias("copies"))
 
 
 # ------------------------------------------------------------------------------------------------- lineage (L)
@@ -371,7 +353,7 @@ def table_detail(spark, sf_dir):
           UNION ALL SELECT 'producer', j.name, j.sql FROM jobs j JOIN job_outputs o ON o.job = j.name WHERE o.tbl = 'dwd_nation_3'""",
 )
 def table_relations(spark, sf_dir):
-    jobs, edges = _catalogue(spark, sf_dir)
+    jobs, edges = _catalogue(spark, sf_dir, "sql")
     return graph.table_relations(jobs, edges, "dwd_nation_3")
 
 
@@ -412,18 +394,18 @@ SUB_NODES = f""", sub AS (
 )"""
 
 
+def _focus(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(FOCUS,)], "name string")
+
+
 @query("upstream_closure", _focus_sql(0) + "SELECT seed, name, distance FROM closure")
 def upstream_closure(spark, sf_dir):
-    edges = materialize(_edges(spark, sf_dir), "edges")
-    seed = edges.where(F.col("dst") == FOCUS).select(F.col("dst").alias("name")).distinct()
-    return closure.upstream_closure(edges, seed, 0)
+    return closure.upstream_closure(_edges(spark, sf_dir), _focus(spark), 0)
 
 
 @query("upstream_closure_depth_2", _focus_sql(2) + "SELECT seed, name, distance FROM closure")
 def upstream_closure_depth_2(spark, sf_dir):
-    edges = materialize(_edges(spark, sf_dir), "edges")
-    seed = edges.where(F.col("dst") == FOCUS).select(F.col("dst").alias("name")).distinct()
-    return closure.upstream_closure(edges, seed, 2)
+    return closure.upstream_closure(_edges(spark, sf_dir), _focus(spark), 2)
 
 
 @query(
@@ -1177,7 +1159,7 @@ def columns_dictionary(spark, sf_dir):
 
 @query(
     "apply_dictionary",
-    """SELECT l_orderkey AS "orderKey", l_linenumber AS "lineNo", l_shipdate::DATE AS "shipDate",
+    """SELECT l_orderkey AS "orderKey", l_linenumber AS "lineNo", l_shipdate::DATE::VARCHAR AS "shipDate",
        CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity::BIGINT END AS quantity FROM lineitem""",
 )
 def apply_dictionary(spark, sf_dir):
@@ -1192,7 +1174,8 @@ def apply_dictionary(spark, sf_dir):
          ("t", 3, "QUANTITY", "number(12)", "")],
         "table_name string, position int, name string, type string, comment string",
     )
-    return catalog.apply_dictionary(raw, catalog.columns_dictionary(columns))
+    typed = catalog.apply_dictionary(raw, catalog.columns_dictionary(columns))
+    return typed.withColumn("shipDate", F.col("shipDate").cast("string"))
 
 
 @query(

@@ -13,6 +13,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join key even where that costs one more exchange
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rank limits up to this size are applied per map task, before the rows of a hot key meet
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
