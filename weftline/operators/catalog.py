@@ -103,15 +103,14 @@ KIND_TYPES = {
 def apply_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Rename and cast the columns of a raw text frame; a value that does not fit becomes null.
 
-    The dictionary of one sheet is as long as the frame is wide.
+    The dictionary of one sheet is as long as the frame is wide.  Columns keep the order of the frame.
     """
-    fields = dictionary.select("source_name", "field_name", "kind").collect()
-    known = set(df.columns)
+    fields = {r["source_name"]: r for r in dictionary.select("source_name", "field_name", "kind").collect()}
     return df.select(
         *[
-            F.col(f"`{r['source_name']}`").try_cast(KIND_TYPES.get(r["kind"], "string")).alias(r["field_name"])
-            for r in fields
-            if r["source_name"] in known
+            F.col(f"`{name}`").try_cast(KIND_TYPES.get(fields[name]["kind"], "string")).alias(fields[name]["field_name"])
+            for name in df.columns
+            if name in fields
         ]
     )
 

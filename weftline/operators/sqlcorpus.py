@@ -178,12 +178,13 @@ def table_refs(sql_inputs: DataFrame) -> DataFrame:
 
     def role(i: Column) -> Column:
         before, earlier = at(-1)(i), at(-2)(i)
-        opened = F.when(before == "EXISTS", F.get(F.col("upper"), i - F.when(earlier == "NOT", 4).otherwise(3))).otherwise(before)
+        # IF EXISTS and IF NOT EXISTS may stand between the word and the name
+        opened = F.when(before == "EXISTS", F.when(earlier == "NOT", at(-4)(i)).otherwise(at(-3)(i))).otherwise(before)
         write = (
             (before == "INTO")
             | ((before == "UPDATE") & (at(0)(i) != "SET"))
             | ((before == "FROM") & (earlier == "DELETE"))
-            | opened.isin("TABLE", "VIEW")
+            | (opened.isin("TABLE", "VIEW") & (at(0)(i) != "IF"))
         )
         read = ((before == "FROM") & (earlier != "DELETE")) | before.isin("JOIN", "USING")
         listed = (before == ",") & F.array_contains("commas", i - 1)
