@@ -6,17 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Leading word of a variant's schema -> type name.
+SHAPES = {
+    "OBJECT": "OBJECT",
+    "ARRAY": "ARRAY",
+    "STRING": "STRING",
+    "BOOLEAN": "BOOLEAN",
+    "VOID": "NULL",
+    "BIGINT": "NUMBER",
+    "DECIMAL": "NUMBER",
+    "DOUBLE": "NUMBER",
+}
+
+
 def json_type(value: Column) -> Column:
-    """OBJECT, ARRAY, NUMBER, BOOLEAN, STRING or NULL; SQL null stays null."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(shape.startswith("OBJECT"), "OBJECT")
-        .when(shape.startswith("ARRAY"), "ARRAY")
-        .when(shape == "STRING", "STRING")
-        .when(shape == "BOOLEAN", "BOOLEAN")
-        .when(shape == "VOID", "NULL")
-        .when(shape.isNotNull(), "NUMBER")
-    )
+    """OBJECT, ARRAY, NUMBER, BOOLEAN, STRING or NULL; SQL null stays null.
+
+    A lookup, not a chain of conditions: the schema of the value is built once per call.
+    """
+    names = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
+    return F.try_element_at(names, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def number_kind(value: Column) -> Column:
@@ -34,7 +43,11 @@ def number_kind(value: Column) -> Column:
 
 def node_text(value: Column) -> Column:
     """Strings raw, JSON null as null, everything else as compact JSON with sorted keys."""
-    kind = json_type(value)
+    return typed_text(value, json_type(value))
+
+
+def typed_text(value: Column, kind: Column) -> Column:
+    """``node_text`` of a value whose type is known."""
     return (
         F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
         .when(kind == "NULL", F.lit(None))

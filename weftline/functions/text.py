@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline.functions.names import strip
+from weftline.functions.rows import let
 
 PREVIEW_LIMIT = 160       # fixed values: longest preview, and what is kept of a longer text
 PREVIEW_KEPT = 157
@@ -23,9 +24,10 @@ def path_list_hash(paths: Column) -> Column:
 
 def preview(text: Column) -> Column:
     one_line = F.regexp_replace(strip(F.translate(F.coalesce(text, F.lit("")), "\r\n\t", "   ")), " {2,}", " ")
-    return F.when(
-        F.length(one_line) > PREVIEW_LIMIT, F.concat(F.substring(one_line, 1, PREVIEW_KEPT), F.lit("..."))
-    ).otherwise(one_line)
+    return let(
+        one_line,
+        lambda t: F.when(F.length(t) > PREVIEW_LIMIT, F.concat(F.substring(t, 1, PREVIEW_KEPT), F.lit("..."))).otherwise(t),
+    )
 
 
 def entry_preview(kind: Column, text: Column, paths: Column, image: Column) -> Column:
@@ -86,8 +88,11 @@ def expand_ranges(raw: Column, low: int = PORT_LOW, high: int = PORT_HIGH, cap:
         )
 
     values = F.array_distinct(F.flatten(F.transform(parts, numbers)))
-    return F.struct(
-        values.alias("numbers"),
-        F.size(values).alias("total"),
-        ((F.size(values) > cap) | (F.size(values) == 0)).alias("rejected"),
+    return let(
+        values,
+        lambda found: F.struct(
+            found.alias("numbers"),
+            F.size(found).alias("total"),
+            ((F.size(found) > cap) | (F.size(found) == 0)).alias("rejected"),
+        ),
     )

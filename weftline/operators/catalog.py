@@ -17,7 +17,7 @@ ROWS_PER_BLOCK = 10_000
 
 def unique_names(df: DataFrame, keys: list[str], base: str, order: str, out: str = "field_name") -> DataFrame:
     """Give the n-th equal name within ``keys`` the suffix n; repeated while a suffixed name still collides."""
-    df = df.withColumn(out, F.col(base))
+    df = materialize(df.withColumn(out, F.col(base)), "names")  # read more than once below
     while True:
         counted = running(df, [*keys, out], [order], {"_n": Running("count")})
         df = counted.withColumn(

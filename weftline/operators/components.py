@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.ordered import ranked
-from weftline.runtime import delete_path, scratch_path, write_table
+from weftline.runtime import delete_path, materialize, scratch_path, write_table
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -35,14 +35,12 @@ def _stars(links: DataFrame) -> DataFrame:
     return small
 
 
-def _representatives(edges: DataFrame) -> DataFrame:
-    """(name, representative) for every table that has an edge."""
-    spark = edges.sparkSession
+def _representatives(links: DataFrame) -> DataFrame:
+    """(id, least_id) for every id that has a link."""
+    spark = links.sparkSession
     base = scratch_path(spark, "stars")
     links = write_table(
-        edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .where("u <> v")
-        .distinct(),
+        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(),
         f"{base}/0",
     )
     size = links.count()
@@ -56,20 +54,30 @@ def _representatives(edges: DataFrame) -> DataFrame:
         links, size = after, after_size
         if settled:
             break
-    return links.select(F.col("u").alias("name"), F.col("v").alias("representative"))
+    return links.select(F.col("u").alias("id"), F.col("v").alias("least_id"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, representative, cluster_id): least member name and its 0-based rank; isolated tables on their own."""
-    found = _representatives(edges)
-    members = (
-        nodes.select("name")
-        .join(found, "name", "left")
-        .select("name", F.coalesce("representative", "name").alias("representative"))
+    """(name, representative, cluster_id): least member name and its 0-based rank; isolated tables on their own.
+
+    Names become numbers in name order first: the rounds then move two longs per link and aggregate by hash,
+    and the least number is the least name.
+    """
+    ids = ranked(nodes.select("name"), [F.col("name")], "id")
+    links = (
+        edges.join(ids.select(F.col("name").alias("src"), F.col("id").alias("u")), "src")
+        .join(ids.select(F.col("name").alias("dst"), F.col("id").alias("v")), "dst")
+        .select("u", "v")
+    )
+    members = materialize(
+        ids.join(_representatives(links), "id", "left").select(
+            "id", "name", F.coalesce("least_id", "id").alias("least_id")
+        ),
+        "members",
     )
-    heads = members.where("name = representative").select("representative")
-    numbered = ranked(heads, [F.col("representative")], "cluster_id")
-    return members.join(numbered, "representative").select("name", "representative", "cluster_id")
+    heads = members.where("id = least_id").select("least_id", F.col("name").alias("representative"))
+    numbered = ranked(heads, [F.col("least_id")], "cluster_id")
+    return members.join(numbered, "least_id").select("name", "representative", "cluster_id")
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

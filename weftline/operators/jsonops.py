@@ -1,7 +1,7 @@
 """Comparison, schema merge and quality checks over JSON columns.
 
 Documents are walked level by level inside their row (array of pending nodes), so a comparison of two columns
-needs no shuffle at all.  The number of levels is the deepest nesting found in the data, never a fixed cap.
+needs no shuffle at all.  The walk ends when the data ends, never at a fixed level.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.jsontext import json_type, nesting_depth, node_text, number_kind, unwrap_text, wrap_text
+from weftline.functions.jsontext import json_type, nesting_depth, number_kind, typed_text, unwrap_text, wrap_text
 from weftline.functions.names import is_blank
+from weftline.functions.rows import unfold
 from weftline.runtime import materialize
 
 
-PLAN_LEVELS = 24  # levels expanded in one plan before the pending nodes are written out
+PLAN_LEVELS = 4  # levels expanded in one plan before the pending nodes are written out
 
 
 def _deepest(df: DataFrame, *columns: str) -> int:
@@ -38,74 +39,100 @@ PENDING = "array<struct<path:string,a:variant,b:variant>>"
 FOUND = "array<struct<type:string,path:string,old_value:string,new_value:string>>"
 
 
-def _difference(node: Column) -> Column:
-    """Difference of one pending node, or null.  An absent side is SQL null, a JSON null is a variant null."""
-    a, b = node["a"], node["b"]
-    kind_a, kind_b = json_type(a), json_type(b)
-    one_null = (kind_a == "NULL") != (kind_b == "NULL")
-    scalar = ~kind_a.isin("OBJECT", "ARRAY", "NULL")
-    kind = (
+def _typed(node: Column) -> Column:
+    return F.struct(
+        node["path"].alias("path"),
+        node["a"].alias("a"),
+        node["b"].alias("b"),
+        json_type(node["a"]).alias("kind_a"),
+        json_type(node["b"]).alias("kind_b"),
+    )
+
+
+def _change(node: Column) -> Column:
+    """Kind of difference of a typed node, or null where the sides differ only further down.
+
+    Pending nodes are unequal.  An absent side is SQL null, a JSON null has kind NULL.
+    """
+    kind_a, kind_b = node["kind_a"], node["kind_b"]
+    return (
         F.when(kind_b.isNull(), "REMOVED")
         .when(kind_a.isNull(), "ADDED")
-        .when(one_null, "VALUE_CHANGE")
+        .when((kind_a == "NULL") | (kind_b == "NULL"), "VALUE_CHANGE")
         .when(kind_a != kind_b, "TYPE_CHANGE")
-        .when(scalar & (F.to_json(a) != F.to_json(b)), "VALUE_CHANGE")
+        .when(~kind_a.isin("OBJECT", "ARRAY"), "VALUE_CHANGE")
     )
-    return F.when(
-        kind.isNotNull(),
-        F.struct(
-            kind.alias("type"),
-            node["path"].alias("path"),
-            node_text(a).alias("old_value"),
-            node_text(b).alias("new_value"),
-        ),
+
+
+def _difference(node: Column) -> Column:
+    return F.struct(
+        _change(node).alias("type"),
+        node["path"].alias("path"),
+        typed_text(node["a"], node["kind_a"]).alias("old_value"),
+        typed_text(node["b"], node["kind_b"]).alias("new_value"),
     )
 
 
+def _same_container(node: Column) -> Column:
+    return (node["kind_a"] == node["kind_b"]) & node["kind_a"].isin("OBJECT", "ARRAY")
+
+
+def _unequal(pair: Column) -> Column:
+    """Compact text has sorted keys and plain numbers, so unequal text means unequal content."""
+    return ~F.to_json(pair["a"]).eqNullSafe(F.to_json(pair["b"]))
+
+
 def _children(node: Column) -> Column:
+    """Unequal children of a container, as pending nodes."""
     a, b, path = node["a"], node["b"], node["path"]
     fields = F.map_zip_with(_as_map(a), _as_map(b), lambda k, x, y: F.struct(x.alias("a"), y.alias("b")))
     by_key = F.transform(
-        F.map_entries(fields),
+        F.filter(F.map_entries(fields), lambda e: _unequal(e["value"])),
         lambda e: F.struct(
             F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"]["a"].alias("a"), e["value"]["b"].alias("b")
         ),
     )
-    by_index = F.transform(
+    items = F.transform(
         F.arrays_zip(_as_array(a).alias("a"), _as_array(b).alias("b")),
         lambda e, i: F.struct(
             F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), e["a"].alias("a"), e["b"].alias("b")
         ),
     )
-    kind_a, kind_b = json_type(a), json_type(b)
-    return (
-        F.when((kind_a == "OBJECT") & (kind_b == "OBJECT"), by_key)
-        .when((kind_a == "ARRAY") & (kind_b == "ARRAY"), by_index)
-        .otherwise(F.array().cast(PENDING))
-    )
+    return F.when(node["kind_a"] == "OBJECT", by_key).otherwise(F.filter(items, _unequal))
 
 
-def _walk(df: DataFrame, levels: int) -> DataFrame:
-    """Turn the column ``_pending`` into the column ``differences``."""
-    df = df.withColumn("differences", F.array().cast(FOUND))
+def _descend(df: DataFrame, levels: int, last: bool) -> DataFrame:
+    """Work off ``levels`` levels of ``_pending`` into ``differences``."""
     for level in range(levels):
-        if level and level % PLAN_LEVELS == 0:
-            df = materialize(df, "json")
+        df = df.withColumn("_pending", F.transform("_pending", _typed))
+        found = F.transform(F.filter("_pending", lambda n: _change(n).isNotNull()), _difference)
+        below = F.flatten(F.transform(F.filter("_pending", _same_container), _children))
         df = df.withColumns(
             {
-                "differences": F.concat(
-                    "differences", F.filter(F.transform("_pending", _difference), lambda d: d.isNotNull())
-                ),
-                "_pending": F.flatten(F.transform("_pending", _children))
-                if level + 1 < levels
-                else F.array().cast(PENDING),
+                "differences": F.concat("differences", found),
+                "_pending": F.array().cast(PENDING) if last and level + 1 == levels else below,
             }
         )
-    return df.drop("_pending")
+    return df
+
+
+def _walk(df: DataFrame, levels: int | None) -> DataFrame:
+    """Turn the column ``_pending`` into the column ``differences``.
+
+    With a known number of levels up to PLAN_LEVELS this is one lazy plan.  Otherwise the rows, by then reduced
+    to their differences, are written every PLAN_LEVELS levels until no node is pending.
+    """
+    df = df.withColumn("differences", F.array().cast(FOUND))
+    if levels is not None and levels <= PLAN_LEVELS:
+        return _descend(df, levels, True).drop("_pending")
+    while True:
+        df = materialize(_descend(df, PLAN_LEVELS, False), "json")
+        if df.where(F.size("_pending") > 0).isEmpty():
+            return df.drop("_pending")
 
 
 def _compared(df: DataFrame, keys: list[str], a: str, b: str, depth: int | None) -> DataFrame:
-    levels = (_deepest(df, a, b) if depth is None else depth) + 1
+    levels = None if depth is None else depth + 1
     left, right = F.try_parse_json(a), F.try_parse_json(b)
     start = F.when(
         F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.to_json("_a") != F.to_json("_b")),
@@ -123,9 +150,10 @@ def _compared(df: DataFrame, keys: list[str], a: str, b: str, depth: int | None)
 def json_diff(df: DataFrame, keys: list[str], a: str, b: str, depth: int | None = None) -> DataFrame:
     """(keys, type, path, old_value, new_value) of two JSON text columns.
 
-    ``depth`` is the deepest nesting when the caller knows it; otherwise one pass over the texts finds it.
+    ``depth`` is a bound on the nesting where the caller knows one; deeper differences are then not reported.
+    Without it the walk goes on until nothing is left.
     """
-    rows = _compared(df, keys, a, b, depth).select(*keys, F.explode("differences").alias("d"))
+    rows = unfold(_compared(df, keys, a, b, depth), keys, "differences", "d")
     return rows.select(*keys, "d.type", "d.path", "d.old_value", "d.new_value")
 
 
@@ -146,7 +174,7 @@ def table_json_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     pending = F.array(
         F.struct(F.lit("$").alias("path"), F.parse_json("_left").alias("a"), F.parse_json("_right").alias("b"))
     )
-    rows = _walk(both.select(*keys, pending.alias("_pending")), depth).select(*keys, F.explode("differences").alias("d"))
+    rows = unfold(_walk(both.select(*keys, pending.alias("_pending")), depth), keys, "differences", "d")
     return rows.select(*keys, "d.type", "d.path", "d.old_value", "d.new_value")
 
 
@@ -180,12 +208,16 @@ def json_schema(df: DataFrame, column: str, depth: int | None = None) -> DataFra
         )
     )
 
+    def typed(node: Column) -> Column:
+        return F.struct(
+            node["path"].alias("path"), node["above"].alias("above"), node["v"].alias("v"), json_type(node["v"]).alias("shape")
+        )
+
     def kind(node: Column) -> Column:
-        shape = json_type(node["v"])
         return F.struct(
             node["path"].alias("path"),
             node["above"].alias("above"),
-            F.when(shape == "NUMBER", number_kind(node["v"])).otherwise(shape).alias("kind"),
+            F.when(node["shape"] == "NUMBER", number_kind(node["v"])).otherwise(node["shape"]).alias("kind"),
         )
 
     def below(node: Column) -> Column:
@@ -200,29 +232,36 @@ def json_schema(df: DataFrame, column: str, depth: int | None = None) -> DataFra
             _as_array(node["v"]),
             lambda x: F.struct(F.concat(node["path"], F.lit("[]")).alias("path"), trail.alias("above"), x.alias("v")),
         )
-        shape = json_type(node["v"])
-        return F.when(shape == "OBJECT", fields).when(shape == "ARRAY", items).otherwise(F.array().cast(NODES))
+        return F.when(node["shape"] == "OBJECT", fields).otherwise(items)
 
     for level in range(levels):
         if level and level % PLAN_LEVELS == 0:
             rows = materialize(rows, "json")
+        rows = rows.withColumn("todo", F.transform("todo", typed))
+        containers = F.filter("todo", lambda n: n["shape"].isin("OBJECT", "ARRAY"))
         rows = rows.withColumns(
             {
                 "seen": F.concat("seen", F.transform("todo", kind)),
-                "todo": F.flatten(F.transform("todo", below)) if level + 1 < levels else F.array().cast(NODES),
+                "todo": F.flatten(F.transform(containers, below)) if level + 1 < levels else F.array().cast(NODES),
             }
         )
 
-    flat = rows.select(F.explode("seen").alias("s")).select("s.path", "s.above", "s.kind")
-    # one group per path: flags only, so partial aggregation leaves a row per path and task
+    flat = unfold(rows, [], "seen", "d").select("d.path", "d.above", "d.kind")
+    # counts and flags only: a hash aggregate that leaves one row per path and task before the exchange
     has = {k: F.max(F.col("kind") == k) for k in
            ["OBJECT", "ARRAY", "STRING", "BOOLEAN", "INTEGER", "LONG", "BIG_INTEGER", "BIG_DECIMAL"]}
-    merged = flat.groupBy("path").agg(
-        F.max("above").alias("above"),
+    trails = flat.groupBy("path", "above").agg(
         F.count(F.lit(1)).alias("present_rows"),
         F.count_if(F.col("kind") == "NULL").alias("nullable_rows"),
         *[flag.alias(f"has_{k}") for k, flag in has.items()],
     )
+    # a key with a dot may spell the path of a nested field; such trails share one row
+    merged = trails.groupBy("path").agg(
+        F.flatten(F.collect_set("above")).alias("above"),
+        F.sum("present_rows").alias("present_rows"),
+        F.sum("nullable_rows").alias("nullable_rows"),
+        *[F.max(f"has_{k}").alias(f"has_{k}") for k in has],
+    )
     number = F.col("has_INTEGER") | F.col("has_LONG") | F.col("has_BIG_INTEGER") | F.col("has_BIG_DECIMAL")
     shapes = sum([F.col(f"has_{k}").cast("int") for k in ["OBJECT", "ARRAY", "STRING", "BOOLEAN"]], number.cast("int"))
     verdict = (
@@ -286,19 +325,22 @@ def _canonical(df: DataFrame, column: str) -> DataFrame:
 
 
 def json_duplicates(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(digest, canonical, copies, first_key): equal documents.  The shuffle key is a digest, not the document."""
+    """(digest, copies, first_key): groups of equal documents.  Only digests and keys are shuffled."""
     return (
         _canonical(df, column)
         .groupBy("digest")
-        .agg(
-            F.min("canonical").alias("canonical"),
-            F.count(F.lit(1)).alias("copies"),
-            F.min(key).alias("first_key"),
-        )
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_key"))
         .where("copies > 1")
     )
 
 
+def json_duplicate_texts(df: DataFrame, column: str, key: str) -> DataFrame:
+    """(digest, copies, canonical): the duplicate groups with the text of their first member."""
+    groups = json_duplicates(df, column, key)
+    texts = df.select(F.col(key).alias("first_key"), F.to_json(F.try_parse_json(column)).alias("canonical"))
+    return groups.join(texts, "first_key").select("digest", "copies", "canonical")
+
+
 def json_duplicate_members(df: DataFrame, column: str, key: str) -> DataFrame:
     """(digest, key): members of the duplicate groups, as rows."""
     keyed = _canonical(df, column).select("digest", key)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.names import is_blank, strip
+from weftline.functions.rows import unfold
 from weftline.functions.tokens import is_operand, is_quoted, is_word, sql_tokens
 
 # Functions that aggregate, with or without OVER.
@@ -106,8 +107,12 @@ def metric_dimensions(items: DataFrame) -> DataFrame:
     parts = items.where("item_no = 1").select(
         "sql_id", "branch_no", F.posexplode("group_by").alias("dim_no", "expression")
     )
+    # only items that equal a GROUP BY part of their own row can name a dimension
     labels = (
-        items.select("sql_id", "branch_no", "item_no", "alias", normalize_expression(F.col("expression")).alias("norm"))
+        items.select(
+            "sql_id", "branch_no", "item_no", "alias", "group_by", normalize_expression(F.col("expression")).alias("norm")
+        )
+        .where(F.exists("group_by", lambda g: normalize_expression(g) == F.col("norm")))
         .groupBy("sql_id", "branch_no", "norm")
         .agg(F.min_by(F.struct("alias"), F.col("item_no")).alias("first_item"))
     )
@@ -129,12 +134,8 @@ def source_columns(items: DataFrame) -> DataFrame:
     words = items.select("sql_id", "branch_no", "item_no", sql_tokens(F.col("expression")).alias("t"))
     tagged = F.transform("t", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(F.col("t"), i + 1), F.lit("")).alias("n")))
     kept = F.filter(tagged, lambda p: is_word(p["w"]) & (p["n"] != "(") & ~F.upper(p["w"]).isin(KEYWORDS))
-    return words.select(
-        "sql_id",
-        "branch_no",
-        "item_no",
-        F.explode(F.array_distinct(F.transform(kept, lambda p: p["w"]))).alias("column_name"),
-    )
+    found = F.array_distinct(F.transform(kept, lambda p: p["w"]))
+    return unfold(words, ["sql_id", "branch_no", "item_no"], found, "column_name")
 
 
 def metric_reasons() -> Column:
@@ -178,19 +179,26 @@ def probe_metrics(items: DataFrame) -> DataFrame:
 
 
 def duplicate_metrics(metrics: DataFrame) -> DataFrame:
-    """Calculations that occur at least twice, with the first-seen expression and distinct name / id counts."""
-    seen = F.struct("ord", "branch_no", "item_no")
-    return (
-        metrics.where(F.col("normalized_expression") != "")
+    """Calculations that occur at least twice, with the first-seen expression and distinct name / id counts.
+
+    One hash aggregate reduces the metrics to their spellings, with the first place of each as one number.
+    """
+    named = metrics.where(F.col("normalized_expression") != "")
+    place = F.col("ord").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (
+        F.col("branch_no").cast("bigint") * 10**9 + F.col("item_no")
+    ).cast("decimal(19,0)")
+    groups = (
+        named.groupBy("normalized_expression", "expression")
+        .agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
         .groupBy("normalized_expression")
-        .agg(
-            F.min_by("expression", seen).alias("expression"),
-            F.count(F.lit(1)).alias("occurrence_count"),
-            F.count_distinct(F.when(~is_blank(F.col("name")), F.col("name"))).alias("name_count"),
-            F.count_distinct(F.when(~is_blank(F.col("sql_id")), F.col("sql_id"))).alias("sql_count"),
-        )
+        .agg(F.min_by("expression", "place").alias("expression"), F.sum("n").alias("occurrence_count"))
         .where("occurrence_count > 1")
     )
+    counts = named.groupBy("normalized_expression").agg(
+        F.count_distinct(F.when(~is_blank(F.col("name")), F.col("name"))).alias("name_count"),
+        F.count_distinct(F.when(~is_blank(F.col("sql_id")), F.col("sql_id"))).alias("sql_count"),
+    )
+    return groups.join(counts, "normalized_expression")
 
 
 def duplicate_members(metrics: DataFrame, duplicates: DataFrame) -> DataFrame:

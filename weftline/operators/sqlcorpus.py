@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.names import is_blank, strip
+from weftline.functions.rows import unfold
 from weftline.functions.tokens import is_word, sql_tokens
 
 BLANK_MESSAGE = "sql is blank"
@@ -66,14 +67,21 @@ def _batch_pairs(sql_facts: DataFrame) -> DataFrame:
 
 
 def batch_edges(sql_facts: DataFrame) -> DataFrame:
-    """Dependency edges keyed by lower-case names; the spelling is that of the first occurrence."""
-    seen = F.struct("ord", "read_pos", "write_pos")
+    """Dependency edges keyed by lower-case names; the spelling is that of the first occurrence.
+
+    The pairs are reduced by hash to one row per spelling, with the first place as one number; only those few
+    rows go through the (sorting) choice of the first spelling.
+    """
+    pairs = _batch_pairs(sql_facts)
+    place = F.col("ord").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (
+        F.col("read_pos").cast("bigint") * 10**9 + F.col("write_pos")
+    ).cast("decimal(19,0)")
+    spellings = pairs.groupBy("src_key", "dst_key", "src", "dst").agg(F.min(place).alias("place"))
+    shown = spellings.groupBy("src_key", "dst_key").agg(F.min_by(F.struct("src", "dst"), "place").alias("shown"))
     ids = F.count_distinct(F.when(~is_blank(F.col("sql_id")), F.col("sql_id")))
-    return (
-        _batch_pairs(sql_facts)
-        .groupBy("src_key", "dst_key")
-        .agg(F.min_by(F.struct("src", "dst"), seen).alias("shown"), ids.alias("sql_count"))
-        .select(F.col("shown.src").alias("src"), F.col("shown.dst").alias("dst"), "sql_count")
+    counts = pairs.groupBy("src_key", "dst_key").agg(ids.alias("sql_count"))
+    return shown.join(counts, ["src_key", "dst_key"]).select(
+        F.col("shown.src").alias("src"), F.col("shown.dst").alias("dst"), "sql_count"
     )
 
 
@@ -132,9 +140,7 @@ def _statements(sql_inputs: DataFrame) -> DataFrame:
             end - F.when(n == 0, 1).otherwise(F.get(F.col("breaks"), n - 1) + 1),
         ),
     )
-    return breaks.select(
-        "ord", "sql_id", F.posexplode(F.filter(cut, lambda s: F.size(s) > 0)).alias("statement_no", "words")
-    )
+    return unfold(breaks, ["ord", "sql_id"], F.filter(cut, lambda s: F.size(s) > 0), "words", "statement_no")
 
 
 def statement_kinds(sql_inputs: DataFrame) -> DataFrame:
@@ -190,14 +196,14 @@ def table_refs(sql_inputs: DataFrame) -> DataFrame:
         listed = (before == ",") & F.array_contains("commas", i - 1)
         return F.when(write, "write").when(read | listed, "read")
 
-    refs = F.transform(
-        F.filter(position, lambda i: is_word(F.get(F.col("words"), i)) & role(i).isNotNull()),
+    named = F.transform(
+        F.filter(position, lambda i: is_word(F.get(F.col("words"), i))),
         lambda i: F.struct(role(i).alias("role"), F.get(F.col("words"), i).alias("name")),
     )
+    refs = F.array_distinct(F.filter(named, lambda r: r["role"].isNotNull()))
+    scanned = words.withColumn("commas", _listed_commas(F.col("upper"))).withColumn("ctes", ctes)
     return (
-        words.withColumn("commas", _listed_commas(F.col("upper")))
-        .withColumn("ctes", ctes)
-        .select("ord", "sql_id", "statement_no", F.explode(F.array_distinct(refs)).alias("r"), "ctes")
+        unfold(scanned, ["ord", "sql_id", "statement_no", "ctes"], refs, "r")
         .where((F.col("r.role") == "write") | ~F.array_contains("ctes", F.upper("r.name")))
         .select("ord", "sql_id", "statement_no", "r.role", "r.name")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.names import strip
+from weftline.functions.rows import unfold
 
 
 def split_lines(text: Column) -> Column:
@@ -19,7 +20,7 @@ def split_lines(text: Column) -> Column:
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, line)."""
-    return df.select(key, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
+    return unfold(df, [key], split_lines(F.col(text)), "line", "pos")
 
 
 def _sided(pairs: DataFrame, key: str, a: str, b: str, ignore_whitespace: bool) -> DataFrame:
@@ -29,9 +30,7 @@ def _sided(pairs: DataFrame, key: str, a: str, b: str, ignore_whitespace: bool)
             lambda line, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), line.alias("line")),
         )
 
-    rows = pairs.select(key, F.explode(F.concat(tagged(a, "A"), tagged(b, "B"))).alias("l")).select(
-        key, "l.side", "l.pos", "l.line"
-    )
+    rows = unfold(pairs, [key], F.concat(tagged(a, "A"), tagged(b, "B")), "l").select(key, "l.side", "l.pos", "l.line")
     compared = strip(F.col("line")) if ignore_whitespace else F.col("line")
     return rows.withColumn("_same", compared).repartition(key)
 

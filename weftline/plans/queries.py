@@ -939,13 +939,20 @@ CANONICAL = "WITH c AS (SELECT event_id, replace(props, ': ', ':') AS canonical
 @query(
     "json_duplicates",
     CANONICAL
-    + """ SELECT sha256(canonical) AS digest, canonical, count(*) AS copies, min(event_id) AS first_key
-          FROM c GROUP BY canonical HAVING count(*) > 1""",
+    + " SELECT sha256(canonical) AS digest, count(*) AS copies, min(event_id) AS first_key FROM c GROUP BY canonical HAVING count(*) > 1",
 )
 def json_duplicates(spark, sf_dir):
     return jsonops.json_duplicates(_props(spark, sf_dir), "props", "event_id")
 
 
+@query(
+    "json_duplicate_texts",
+    CANONICAL + " SELECT sha256(canonical) AS digest, count(*) AS copies, canonical FROM c GROUP BY canonical HAVING count(*) > 1",
+)
+def json_duplicate_texts(spark, sf_dir):
+    return jsonops.json_duplicate_texts(_props(spark, sf_dir), "props", "event_id")
+
+
 @query(
     "json_duplicate_members",
     CANONICAL

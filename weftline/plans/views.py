@@ -54,7 +54,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = (
         orders.join(lines, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("region") == F.col("from_region")))
         .groupBy("o_orderkey", "region", "c_nationkey")
-        .agg(F.sort_array(F.collect_set(_cat("ods_supplier_", F.col("l_suppkey")))).alias("input_tables"))
+        .agg(F.collect_set("l_suppkey").alias("suppliers"))
+        .withColumn("input_tables", F.sort_array(F.transform("suppliers", lambda s: _cat("ods_supplier_", s))))
         .select(
             F.col("o_orderkey").alias("ord"),
             F.lit("orders").alias("source"),
@@ -547,7 +548,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
-        .agg(F.max("l_partkey").alias("p"), F.max("l_quantity").cast("int").alias("q"), F.max("l_returnflag").alias("f"))
+        .agg(F.max("l_partkey").alias("p"), F.max("l_quantity").cast("int").alias("q"), F.char(F.max(F.ascii("l_returnflag"))).alias("f"))
     )
     values = F.array(
         F.struct(F.lit(0).alias("col_no"), _text("p").alias("value")),
