@@ -124,7 +124,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT 'p' || o_orderkey, 'select 1', 'x|y', 't' || (o_custkey % 7) FROM orders""",
 )
 def job_documents(spark, sf_dir):
-    jobs = job_source._records(job_source.parse_documents(_documents(spark, sf_dir)))
+    jobs = job_source.jobs_from_documents(_documents(spark, sf_dir))
     return jobs.select(
         "name",
         "sql",

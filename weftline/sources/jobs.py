@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.jsontext import json_type, node_text
 from weftline.functions.names import clean_names, is_blank, parse_table_list
+from weftline.functions.rows import let
 from weftline.operators.graph import assert_unique_names
-from weftline.runtime import write_table
+from weftline.runtime import materialize, write_table
 
 BOM = "﻿"
 POINTER = "CURRENT"
@@ -21,46 +22,61 @@ def _field(element: Column, name: str) -> Column:
 
 
 def _tables(element: Column, name: str, alternative: str) -> Column:
-    def candidate(field: str) -> Column:
-        node = F.try_variant_get(element, f"$.{field}", "variant")
-        listed = clean_names(F.transform(node.try_cast("array<variant>"), node_text))
-        return F.when(json_type(node) == "ARRAY", listed).otherwise(parse_table_list(node_text(node)))
-
-    first = candidate(name)
-    return F.when(F.size(first) > 0, first).otherwise(candidate(alternative))
+    def names_of(node: Column) -> Column:
+        listed = node.try_cast("array<variant>")
+        return F.when(listed.isNotNull(), clean_names(F.transform(listed, node_text))).otherwise(
+            parse_table_list(node_text(node))
+        )
 
+    def candidate(field: str) -> Column:
+        return let(F.try_variant_get(element, f"$.{field}", "variant"), names_of)
 
-def _records(elements: DataFrame) -> DataFrame:
-    """Job rows from ``ord, element``; nameless records are dropped."""
-    e = F.col("element")
-    return elements.select(
-        "ord",
-        _field(e, "source").alias("source"),
-        _field(e, "name").alias("name"),
-        _field(e, "description").alias("description"),
-        _field(e, "sql").alias("sql"),
-        _tables(e, "inputTables", "inputtables").alias("input_tables"),
-        _tables(e, "outputTables", "outputtables").alias("output_tables"),
-    ).where(~is_blank(F.col("name")))
+    return let(candidate(name), lambda first: F.when(F.size(first) > 0, first).otherwise(candidate(alternative)))
 
 
-def parse_documents(documents: DataFrame, text: str = "value") -> DataFrame:
-    """(ord, element) of catalogue documents: an array, or an object with a ``records`` array.
+def _validated(elements: DataFrame) -> DataFrame:
+    """Jobs from ``root_ok, pos, element``: parsed once, written, then checked on the written table.
 
-    Any other root, or an element that is not an object, is rejected.
+    A document that is not a catalogue or holds anything but objects is rejected, and so is a repeated name;
+    nameless records are dropped.
     """
+    e = F.col("element")
+    is_record = F.coalesce(json_type(e) == "OBJECT", F.lit(False))
+    problem = F.when(~F.col("root_ok"), "root").when(F.col("pos").isNotNull() & ~is_record, "element")
+    parsed = materialize(
+        elements.select(
+            F.monotonically_increasing_id().alias("ord"),
+            problem.alias("problem"),
+            _field(e, "source").alias("source"),
+            _field(e, "name").alias("name"),
+            _field(e, "description").alias("description"),
+            _field(e, "sql").alias("sql"),
+            _tables(e, "inputTables", "inputtables").alias("input_tables"),
+            _tables(e, "outputTables", "outputtables").alias("output_tables"),
+        ),
+        "catalogue",
+    )
+    found = parsed.where("problem is not null").select("problem").first()
+    if found:
+        raise ValueError(
+            "a catalogue must be a JSON array or an object with a records array"
+            if found["problem"] == "root"
+            else "every catalogue record must be a JSON object"
+        )
+    return assert_unique_names(parsed.drop("problem").where(~is_blank(F.col("name"))))
+
+
+def jobs_from_documents(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Validated jobs of catalogue documents: each an array, or an object with a ``records`` array."""
     body = F.ltrim(F.coalesce(F.col(text), F.lit("")), F.lit(BOM))
     root = F.substring(F.regexp_replace(body, r"^\s+", ""), 1, 1)
     listed = F.when(root == "[", F.from_json(body, "array<variant>")).when(
         root == "{", F.from_json(body, "records array<variant>")["records"]
     )
     opened = documents.select(listed.alias("elements"))
-    if not opened.where("elements is null").isEmpty():
-        raise ValueError("a catalogue must be a JSON array or an object with a records array")
-    elements = opened.select(F.explode("elements").alias("element"))
-    if not elements.where(~F.coalesce(json_type(F.col("element")) == "OBJECT", F.lit(False))).isEmpty():
-        raise ValueError("every catalogue record must be a JSON object")
-    return elements.select(F.monotonically_increasing_id().alias("ord"), "element")
+    return _validated(
+        opened.select(F.col("elements").isNotNull().alias("root_ok"), F.posexplode_outer("elements").alias("pos", "element"))
+    )
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -68,16 +84,15 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     documents = spark.read.option("wholetext", True).text(path)
     if documents.isEmpty():
         raise ValueError("empty catalogue; an empty array clears it")
-    return assert_unique_names(_records(parse_documents(documents)))
+    return jobs_from_documents(documents)
 
 
 def read_jobs_lines(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue from JSON lines, one record per line: the splittable form for large catalogues."""
     lines = spark.read.text(path).where("trim(value) <> ''")
-    elements = lines.select(F.monotonically_increasing_id().alias("ord"), F.try_parse_json("value").alias("element"))
-    if not elements.where(~F.coalesce(json_type(F.col("element")) == "OBJECT", F.lit(False))).isEmpty():
-        raise ValueError("every line must be a JSON object")
-    return assert_unique_names(_records(elements))
+    return _validated(
+        lines.select(F.lit(True).alias("root_ok"), F.lit(0).alias("pos"), F.try_parse_json("value").alias("element"))
+    )
 
 
 def _file(spark: SparkSession, path: str):

@@ -7,56 +7,74 @@ from pyspark.sql import functions as F
 
 from weftline.functions.jsontext import json_type, node_text
 from weftline.functions.names import is_blank, strip
+from weftline.runtime import materialize
 
 DELIMITER = r"(?m)^\s*--\s*@SQL\s*$"
 
 
+# why a batch is refused
+PROBLEMS = {
+    "array": "a JSON batch must be a non-empty array",
+    "text": "no SQL found in the batch",
+    "item": "every batch item must be a string or an object with a non-blank sql",
+}
+
+
 def parse_sql_batch(documents: DataFrame, text: str = "value") -> DataFrame:
     """(ord, sql_id, sql, source, file_name, metadata) of batch documents.
 
     A document that starts with ``[`` is a JSON array of strings or objects, any other is cut at ``-- @SQL`` lines.
+    The documents are parsed once and written; the checks run on the written table.
     """
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    docs = documents.select(body.alias("body"), body.startswith("[").alias("is_json"))
-    items = docs.where("is_json").select(F.from_json("body", "array<variant>").alias("items"))
-    if not items.where("items is null or size(items) = 0").isEmpty():
-        raise ValueError("a JSON batch must be a non-empty array")
+    blocks = F.filter(F.transform(F.split("body", DELIMITER), strip), lambda b: b != "")
+    as_items = F.when(
+        F.col("is_json"),
+        F.transform(
+            F.from_json("body", "array<variant>"),
+            lambda e: F.struct(F.lit(None).cast("string").alias("plain"), e.alias("e")),
+        ),
+    ).otherwise(
+        F.transform(blocks, lambda b: F.struct(b.alias("plain"), F.lit(None).cast("variant").alias("e")))
+    )
+    docs = documents.select(body.alias("body"), body.startswith("[").alias("is_json")).select(
+        "is_json", as_items.alias("items")
+    )
+    items = docs.select("is_json", F.posexplode_outer("items").alias("pos", "item")).select(
+        "is_json", "pos", "item.plain", "item.e"
+    )
     element = F.col("e")
     shape = json_type(element)
+    number = F.format_string("sql-%04d", F.col("pos") + 1)
 
-    def field(name: str, default) -> Column:
+    def field(name: str, default: Column) -> Column:
         value = strip(node_text(F.try_variant_get(element, f"$.{name}", "variant")))
         return F.when(F.coalesce(value, F.lit("")) == "", default).otherwise(value)
 
-    number = F.format_string("sql-%04d", F.col("_pos") + 1)
-    parsed = items.select(F.posexplode("items").alias("_pos", "e")).select(
-        F.when(shape == "OBJECT", field("sqlId", number)).otherwise(number).alias("sql_id"),
-        F.when(shape == "STRING", node_text(element)).when(shape == "OBJECT", field("sql", F.lit(""))).alias("sql"),
-        F.when(shape == "OBJECT", field("source", F.lit(""))).alias("source"),
-        F.when(shape == "OBJECT", field("fileName", F.lit(""))).alias("file_name"),
-        F.transform_values(
-            F.try_variant_get(element, "$.metadata", "variant").try_cast("map<string,variant>"),
-            lambda k, v: node_text(v),
-        ).alias("metadata"),
-    )
-    if not parsed.where(is_blank(F.col("sql"))).isEmpty():
-        raise ValueError("every batch item must be a string or an object with a non-blank sql")
-
-    blocks = F.filter(F.transform(F.split("body", DELIMITER), strip), lambda b: b != "")
-    cut = docs.where("not is_json").select(blocks.alias("blocks"))
-    if not cut.where("size(blocks) = 0").isEmpty():
-        raise ValueError("no SQL found in the batch")
-    none = F.lit(None)
-    plain = cut.select(F.posexplode("blocks").alias("_pos", "sql")).select(
-        F.format_string("sql-%04d", F.col("_pos") + 1).alias("sql_id"),
-        "sql",
-        none.cast("string").alias("source"),
-        none.cast("string").alias("file_name"),
-        none.cast("map<string,string>").alias("metadata"),
+    sql = (
+        F.when(~F.col("is_json"), F.col("plain"))
+        .when(shape == "STRING", node_text(element))
+        .when(shape == "OBJECT", field("sql", F.lit("")))
     )
-    return parsed.unionByName(plain).select(
-        F.monotonically_increasing_id().alias("ord"), "sql_id", "sql", "source", "file_name", "metadata"
+    parsed = materialize(
+        items.select(
+            F.monotonically_increasing_id().alias("ord"),
+            F.when(F.col("is_json") & (shape == "OBJECT"), field("sqlId", number)).otherwise(number).alias("sql_id"),
+            sql.alias("sql"),
+            F.when(shape == "OBJECT", field("source", F.lit(""))).alias("source"),
+            F.when(shape == "OBJECT", field("fileName", F.lit(""))).alias("file_name"),
+            F.transform_values(
+                F.try_variant_get(element, "$.metadata", "variant").try_cast("map<string,variant>"),
+                lambda k, v: node_text(v),
+            ).alias("metadata"),
+            F.when(F.col("pos").isNull(), F.when(F.col("is_json"), "array").otherwise("text")).alias("problem"),
+        ).withColumn("problem", F.coalesce("problem", F.when(is_blank(F.col("sql")), "item"))),
+        "batch",
     )
+    found = parsed.where("problem is not null").select("problem").first()
+    if found:
+        raise ValueError(PROBLEMS[found["problem"]])
+    return parsed.drop("problem")
 
 
 def read_sql_batch(spark: SparkSession, path: str) -> DataFrame:

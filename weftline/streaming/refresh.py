@@ -7,8 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators.graph import assert_unique_names
-from weftline.sources.jobs import _records, parse_documents, replace_snapshot
+from weftline.sources.jobs import jobs_from_documents, replace_snapshot
 
 log = logging.getLogger(__name__)
 
@@ -30,7 +29,7 @@ def refresh_stream(spark: SparkSession, directory: str, root: str, checkpoint: s
         if batch.isEmpty():
             return
         try:
-            replace_snapshot(assert_unique_names(_records(parse_documents(batch))), root)
+            replace_snapshot(jobs_from_documents(batch), root)
         except ValueError as problem:
             log.warning("catalogue in batch %s rejected: %s", batch_id, problem)
 
