@@ -43,16 +43,12 @@ def number_kind(value: Column) -> Column:
 
 def node_text(value: Column) -> Column:
     """Strings raw, JSON null as null, everything else as compact JSON with sorted keys."""
-    return typed_text(value, json_type(value))
+    return F.try_variant_get(value, "$", "string")
 
 
-def typed_text(value: Column, kind: Column) -> Column:
-    """``node_text`` of a value whose type is known."""
-    return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(kind == "NULL", F.lit(None))
-        .otherwise(F.to_json(value))
-    )
+def field_text(value: Column, field: str) -> Column:
+    """``node_text`` of a field of an object."""
+    return F.try_variant_get(value, f"$.{field}", "string")
 
 
 def nesting_depth(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.jsontext import json_type, nesting_depth, number_kind, typed_text, unwrap_text, wrap_text
+from weftline.functions.jsontext import json_type, nesting_depth, node_text, number_kind, unwrap_text, wrap_text
 from weftline.functions.names import is_blank
 from weftline.functions.rows import unfold
 from weftline.runtime import materialize
@@ -68,8 +68,8 @@ def _difference(node: Column) -> Column:
     return F.struct(
         _change(node).alias("type"),
         node["path"].alias("path"),
-        typed_text(node["a"], node["kind_a"]).alias("old_value"),
-        typed_text(node["b"], node["kind_b"]).alias("new_value"),
+        node_text(node["a"]).alias("old_value"),
+        node_text(node["b"]).alias("new_value"),
     )
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.jsontext import json_type, node_text
+from weftline.functions.jsontext import field_text, json_type, node_text
 from weftline.functions.names import clean_names, is_blank, parse_table_list
 from weftline.functions.rows import let
 from weftline.operators.graph import assert_unique_names
@@ -17,10 +17,6 @@ BOM = "﻿"
 POINTER = "CURRENT"
 
 
-def _field(element: Column, name: str) -> Column:
-    return node_text(F.try_variant_get(element, f"$.{name}", "variant"))
-
-
 def _tables(element: Column, name: str, alternative: str) -> Column:
     def names_of(node: Column) -> Column:
         listed = node.try_cast("array<variant>")
@@ -47,10 +43,10 @@ def _validated(elements: DataFrame) -> DataFrame:
         elements.select(
             F.monotonically_increasing_id().alias("ord"),
             problem.alias("problem"),
-            _field(e, "source").alias("source"),
-            _field(e, "name").alias("name"),
-            _field(e, "description").alias("description"),
-            _field(e, "sql").alias("sql"),
+            field_text(e, "source").alias("source"),
+            field_text(e, "name").alias("name"),
+            field_text(e, "description").alias("description"),
+            field_text(e, "sql").alias("sql"),
             _tables(e, "inputTables", "inputtables").alias("input_tables"),
             _tables(e, "outputTables", "outputtables").alias("output_tables"),
         ),

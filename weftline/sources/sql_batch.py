@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.jsontext import json_type, node_text
+from weftline.functions.jsontext import field_text, json_type, node_text
 from weftline.functions.names import is_blank, strip
 from weftline.runtime import materialize
 
@@ -48,7 +48,7 @@ def parse_sql_batch(documents: DataFrame, text: str = "value") -> DataFrame:
     number = F.format_string("sql-%04d", F.col("pos") + 1)
 
     def field(name: str, default: Column) -> Column:
-        value = strip(node_text(F.try_variant_get(element, f"$.{name}", "variant")))
+        value = strip(field_text(element, name))
         return F.when(F.coalesce(value, F.lit("")) == "", default).otherwise(value)
 
     sql = (
