@@ -13,6 +13,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed columns.
+
+    A plain filter is pushed below the projections that compute those columns, with their expressions copied
+    into it; this form tests the computed values.
+    """
+    marked = df.select("*", F.explode_outer(F.when(condition, F.array(F.lit(True)))).alias("_kept"))
+    return marked.where(F.col("_kept").isNotNull()).drop("_kept")
+
+
 def unfold(df: DataFrame, keep: list, values: Column | str, name: str, position: str | None = None) -> DataFrame:
     """Explode a computed array without null elements.
 

@@ -201,10 +201,14 @@ def json_schema(df: DataFrame, column: str, depth: int | None = None) -> DataFra
     levels = (_deepest(df, column) if depth is None else depth) + 1
     rows = (
         df.select(F.try_parse_json(column).alias("v"))
-        .where(json_type(F.col("v")) == "OBJECT")
         .select(
             F.array().cast(KINDS).alias("seen"),
-            F.array(F.struct(F.lit("$").alias("path"), F.array().cast("array<string>").alias("above"), "v")).alias("todo"),
+            F.when(
+                json_type(F.col("v")) == "OBJECT",
+                F.array(F.struct(F.lit("$").alias("path"), F.array().cast("array<string>").alias("above"), "v")),
+            )
+            .otherwise(F.array().cast(NODES))
+            .alias("todo"),
         )
     )
 
@@ -311,23 +315,26 @@ def to_struct_type(schema_rows: DataFrame) -> T.StructType:
 
 def json_quality(df: DataFrame, column: str, group: str) -> DataFrame:
     """(group, valid_rows, invalid_rows)."""
-    valid = F.try_parse_json(column).isNotNull()
-    return df.groupBy(group).agg(F.count_if(valid).alias("valid_rows"), F.count_if(~valid).alias("invalid_rows"))
+    judged = df.select(group, F.try_parse_json(column).isNotNull().alias("_valid"))
+    return judged.groupBy(group).agg(
+        F.count_if("_valid").alias("valid_rows"), F.count_if(~F.col("_valid")).alias("invalid_rows")
+    )
 
 
 def invalid_json(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.try_parse_json(column).isNull())
 
 
-def _canonical(df: DataFrame, column: str) -> DataFrame:
-    text = F.to_json(F.try_parse_json(column))
-    return df.withColumn("canonical", text).where("canonical is not null").withColumn("digest", F.sha2("canonical", 256))
+def _digests(df: DataFrame, column: str, key: str) -> DataFrame:
+    """(key, digest) of the rows with a valid document; the digest is over the compact text with sorted keys."""
+    digest = F.sha2(F.to_json(F.try_parse_json(column)), 256)
+    return unfold(df, [key], F.array(digest), "digest")
 
 
 def json_duplicates(df: DataFrame, column: str, key: str) -> DataFrame:
     """(digest, copies, first_key): groups of equal documents.  Only digests and keys are shuffled."""
     return (
-        _canonical(df, column)
+        _digests(df, column, key)
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_key"))
         .where("copies > 1")
@@ -343,7 +350,7 @@ def json_duplicate_texts(df: DataFrame, column: str, key: str) -> DataFrame:
 
 def json_duplicate_members(df: DataFrame, column: str, key: str) -> DataFrame:
     """(digest, key): members of the duplicate groups, as rows."""
-    keyed = _canonical(df, column).select("digest", key)
+    keyed = _digests(df, column, key).select("digest", key)
     again = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest")
     return keyed.join(again, "digest", "left_semi")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.names import is_blank, strip
-from weftline.functions.rows import unfold
+from weftline.functions.rows import keep, unfold
 from weftline.functions.tokens import is_operand, is_quoted, is_word, sql_tokens
 
 # Functions that aggregate, with or without OVER.
@@ -80,6 +80,11 @@ def is_metric() -> Column:
     return (F.size("aggs") > 0) | F.col("is_window")
 
 
+def metric_rows(items: DataFrame) -> DataFrame:
+    """Flagged items that are metrics."""
+    return keep(expression_flags(items), is_metric())
+
+
 def classify_metric() -> Column:
     """Class of a flagged row, first match wins."""
     any_agg = F.size("aggs") > 0
@@ -155,8 +160,7 @@ def metric_reasons() -> Column:
 def probe_metrics(items: DataFrame) -> DataFrame:
     """One row per metric.  Row-local; dimensions and source columns stay in their own frames."""
     return (
-        expression_flags(items)
-        .where(is_metric())
+        metric_rows(items)
         .select(
             "sql_id",
             "ord",

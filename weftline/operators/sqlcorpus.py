@@ -57,12 +57,29 @@ def _table_key(name: Column) -> Column:
 
 
 def _batch_pairs(sql_facts: DataFrame) -> DataFrame:
+    """Read x write within a record; the key of a name is computed once per record, not once per pair."""
+
+    def keyed(column: str) -> Column:
+        return F.transform(
+            _names(column), lambda t, i: F.struct(i.alias("pos"), t.alias("name"), _table_key(t).alias("key"))
+        )
+
     return (
         sql_facts.where(F.col("status").isin("SUCCESS", "PARTIAL"))
-        .select("ord", "sql_id", F.posexplode("read_tables").alias("read_pos", "src"), "write_tables")
-        .select("ord", "sql_id", "read_pos", "src", F.posexplode("write_tables").alias("write_pos", "dst"))
-        .withColumns({"src_key": _table_key(F.col("src")), "dst_key": _table_key(F.col("dst"))})
-        .where("src_key <> dst_key")
+        .select("ord", "sql_id", keyed("read_tables").alias("reads"), keyed("write_tables").alias("writes"))
+        .select("ord", "sql_id", F.explode("reads").alias("r"), "writes")
+        .select("ord", "sql_id", "r", F.explode("writes").alias("w"))
+        .where("r.key <> w.key")
+        .select(
+            "ord",
+            "sql_id",
+            F.col("r.pos").alias("read_pos"),
+            F.col("r.name").alias("src"),
+            F.col("r.key").alias("src_key"),
+            F.col("w.pos").alias("write_pos"),
+            F.col("w.name").alias("dst"),
+            F.col("w.key").alias("dst_key"),
+        )
     )
 
 
@@ -162,6 +179,9 @@ def statement_kinds(sql_inputs: DataFrame) -> DataFrame:
     )
 
 
+# Tokens that may stand right before a table name.
+ANNOUNCING = ["FROM", "JOIN", "USING", "INTO", "UPDATE", "TABLE", "VIEW", "EXISTS", ","]
+
 # Words that end or open a list of tables.
 CLAUSE_WORDS = ["SELECT", "FROM", "WHERE", "GROUP", "ORDER", "HAVING", "SET", "VALUES", "ON", "UNION", "WHEN", "LIMIT"]
 
@@ -197,10 +217,10 @@ def table_refs(sql_inputs: DataFrame) -> DataFrame:
         return F.when(write, "write").when(read | listed, "read")
 
     named = F.transform(
-        F.filter(position, lambda i: is_word(F.get(F.col("words"), i))),
+        F.filter(position, lambda i: at(-1)(i).isin(ANNOUNCING)),
         lambda i: F.struct(role(i).alias("role"), F.get(F.col("words"), i).alias("name")),
     )
-    refs = F.array_distinct(F.filter(named, lambda r: r["role"].isNotNull()))
+    refs = F.array_distinct(F.filter(named, lambda r: r["role"].isNotNull() & is_word(r["name"])))
     scanned = words.withColumn("commas", _listed_commas(F.col("upper"))).withColumn("ctes", ctes)
     return (
         unfold(scanned, ["ord", "sql_id", "statement_no", "ctes"], refs, "r")

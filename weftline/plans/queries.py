@@ -655,7 +655,7 @@ def expression_flags(spark, sf_dir):
 
 @query("metric_items_only", METRICS + "SELECT sql_id, 2 AS item_no FROM metrics")
 def metric_items_only(spark, sf_dir):
-    return metrics.expression_flags(v.metric_items(spark, sf_dir)).where(metrics.is_metric()).select("sql_id", "item_no")
+    return metrics.metric_rows(v.metric_items(spark, sf_dir)).select("sql_id", "item_no")
 
 
 @query("metric_classes", METRICS + "SELECT type, count(*) AS metrics FROM metrics GROUP BY type")
