@@ -15,26 +15,27 @@ OUTPUT = "key bigint, id bigint, created_ms bigint, type string, hash string"
 STATE = "fingerprint string"
 
 
-def _keep_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(chunks)).sort_values(["created_ms", "id"])
-    prints = rows["type"] + ":" + rows["hash"]
-    before = prints.shift(1)
-    before.iloc[0] = state.get[0] if state.exists else None
-    state.update((prints.iloc[-1],))
-    yield rows[prints.ne(before)]
-
-
 def drop_consecutive_stream(rows: DataFrame) -> DataFrame:
     """Consecutive-duplicate suppression with the last fingerprint per key as state.
 
     Only narrow columns go through Python.  A key's rows in one micro-batch are sorted together, so bound the
     batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger); join the text back by id where needed.
     """
+
+    # a local function travels to the workers by value, so they need not have this package installed
+    def keep_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(chunks)).sort_values(["created_ms", "id"])
+        prints = batch["type"] + ":" + batch["hash"]
+        before = prints.shift(1)
+        before.iloc[0] = state.get[0] if state.exists else None
+        state.update((prints.iloc[-1],))
+        yield batch[prints.ne(before)]
+
     return (
         rows.where("hash is not null")
         .select("key", "id", "created_ms", "type", "hash")
         .groupBy("key")
-        .applyInPandasWithState(_keep_changes, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(keep_changes, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
     )
 
 
