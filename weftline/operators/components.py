@@ -35,6 +35,14 @@ def _stars(links: DataFrame) -> DataFrame:
     return small
 
 
+def _is_star_forest(links: DataFrame) -> bool:
+    """Every node hangs on one centre and no centre hangs on another: the stars are then the components."""
+    centres = links.select(F.col("v").alias("u")).distinct()
+    if not links.join(centres, "u", "left_semi").isEmpty():
+        return False
+    return links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def _representatives(links: DataFrame) -> DataFrame:
     """(id, least_id) for every id that has a link."""
     spark = links.sparkSession
@@ -43,17 +51,11 @@ def _representatives(links: DataFrame) -> DataFrame:
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(),
         f"{base}/0",
     )
-    size = links.count()
     round_no = 0
-    while size:
+    while not _is_star_forest(links):
         round_no += 1
-        after = write_table(_stars(links), f"{base}/{round_no}")
-        after_size = after.count()
-        settled = after_size == size and after.join(links, ["u", "v"], "left_anti").isEmpty()
+        links = write_table(_stars(links), f"{base}/{round_no}")
         delete_path(spark, f"{base}/{round_no - 1}")
-        links, size = after, after_size
-        if settled:
-            break
     return links.select(F.col("u").alias("id"), F.col("v").alias("least_id"))
 
 
