@@ -43,8 +43,8 @@ def _is_star_forest(links: DataFrame) -> bool:
     return links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def _representatives(links: DataFrame) -> DataFrame:
-    """(id, least_id) for every id that has a link."""
+def representatives(links: DataFrame) -> DataFrame:
+    """(id, least_id) of the links (u, v) for every id whose component has a smaller one."""
     spark = links.sparkSession
     base = scratch_path(spark, "stars")
     links = write_table(
@@ -72,7 +72,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .select("u", "v")
     )
     members = materialize(
-        ids.join(_representatives(links), "id", "left").select(
+        ids.join(representatives(links), "id", "left").select(
             "id", "name", F.coalesce("least_id", "id").alias("least_id")
         ),
         "members",
