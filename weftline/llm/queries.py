@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exactdedup, packing, pieces, quality, sharding, tokencounts
+from weftline.llm import exactdedup, langid, ngramjoin, packing, pieces, quality, quotes, sharding, tokencounts, urlfilter
 from weftline.llm.encoders import Tokenizer
 from weftline.runtime import configure, scratch_path
 
@@ -14,6 +14,14 @@ TOKEN_LIMIT = 2_048
 SEQUENCE_TOKENS = 4_096
 END_TOKEN = 1
 SHARDS = 40
+# Rules of the URL filter (fixed values).
+URL_RULES = [
+    urlfilter.Rule("org", "/", "allow"),
+    urlfilter.Rule("example.org", "/es/", "block"),
+    urlfilter.Rule("example.org", "/en/1", "block"),
+    urlfilter.Rule("com", "/fr/", "allow"),
+    urlfilter.Rule("com", "/de/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +86,55 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_best_fit_packing, op5_exact_dedup, op6_quality_rules, op7_sentencepiece)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages judged by a model of the documents' languages, the pages' declarations and their hosts."""
+    model = langid.train(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages")
+    host, _ = urlfilter.split_url(F.col("url"))
+    rows = pages.select("page_id", langid.page_text(F.col("html")).alias("text"), langid.declared_language(F.col("html")).alias("said"), host.alias("host"))
+    return langid.identify(rows, model, "page_id", "text", F.col("said"), F.col("host")).drop("content")
+
+
+def quoting_view(conversations: DataFrame) -> DataFrame:
+    """The conversations as mails: an assistant quotes the message before, and the one before that a level deeper;
+    a user quotes the message two turns before."""
+    before = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("_one"))
+    earlier = conversations.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("_two"))
+
+    def quoted(text: str, marks: str):
+        return F.concat(F.lit(marks), F.replace(F.col(text), F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+
+    deep = F.when(F.col("role") == "assistant", quoted("_two", "> > ")).when(F.col("role") == "user", quoted("_two", "> "))
+    near = F.when(F.col("role") == "assistant", quoted("_one", "> "))
+    both = conversations.join(before, ["conv_id", "turn"], "left").join(earlier, ["conv_id", "turn"], "left")
+    return both.select("conv_id", "turn", "role", F.concat(F.coalesce(deep, F.lit("")), F.coalesce(near, F.lit("")), "text").alias("text"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_conversations(quoting_view(table(spark, sf_dir, "conversations")))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.linked_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_sharding,
+        op3_best_fit_packing,
+        op4_language_id,
+        op5_exact_dedup,
+        op6_quality_rules,
+        op7_sentencepiece,
+        op8_chat_formatting,
+        op9_url_filter,
+        op10_ngram_jaccard_join,
+    )
+}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
