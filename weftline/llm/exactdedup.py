@@ -44,6 +44,8 @@ def stream_state(spark: SparkSession, digests: str, batch_bytes: int = BATCH_BYT
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # files of a store are not laid out in advance: megabytes for each of many small stores
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {name: spark.conf.get(name, None) for name in settings}
     try:
