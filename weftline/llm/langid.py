@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.tasks import chunks, ship, texts_of
+from weftline.llm.tasks import chunks, ship, texts_of, without_rows
 from weftline.runtime import materialize
 
 FEATURES = 1 << 16
@@ -144,7 +144,7 @@ def identify(
         raise ValueError("the model knows no language")
     source = rows.select(
         F.col(key).alias("key"),
-        F.xxhash64(F.col(text)).alias("content"),
+        F.xxhash64(F.col(text).cast("string")).alias("content"),
         F.lower(F.regexp_extract(F.coalesce(declared, F.lit("")), r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1)).alias("declared"),
         F.lower(F.coalesce(host, F.lit(""))).alias("host"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
@@ -214,6 +214,16 @@ def identify(
     )
 
 
+def keep_identified(docs: DataFrame, declared: str = "lang", host: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with confidence; the model is trained on the declared languages."""
+    model = train(docs, text, declared)
+    if not model.languages:
+        raise ValueError("no row declares a language, so there is nothing to learn from")
+    judged = identify(docs, model, key, text, F.col(declared), F.col(host))
+    rejected = judged.where("not kept").select(F.col(key).alias("_drop_id"), F.col("content").alias("_drop_content")).distinct()
+    return without_rows(docs, materialize(rejected, "language-rejected"), key, text)
+
+
 def page_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags become spaces."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")

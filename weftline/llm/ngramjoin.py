@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.tasks import chunks, ranges, ship, texts_of
+from weftline.llm.tasks import chunks, ranges, ship, small_side, texts_of, without_rows
 from weftline.operators.components import representatives
 from weftline.runtime import materialize
 
@@ -37,7 +37,6 @@ HOT_GROUPS = 64          # tokens of more groups than this come last in the orde
 BUCKET_TOKENS = 2_000_000
 CHUNK_REPEATS = 3        # a token of that many sets of one chunk is counted as a possible giant
 GIANT_TOKENS = 1_000_000  # possible giants above this many sets are kept out of the buckets, which must fit a task
-BROADCAST_ROWS = 1_000_000  # id lists up to this many rows are broadcast, longer ones are shuffled
 OPEN_MEMBERS = (8, 64, None)  # members of a group that the rounds of opening take, at the average; the last takes all
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -112,11 +111,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written list of ids as the small side of a join: broadcast where its size allows, else one hash shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
-
-
 # ---- exact comparison of pairs
 
 
@@ -124,7 +118,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(row, text) of the rows in ``ids`` (row, doc_id, content), written."""
     wanted = ids.select("row", F.col("doc_id").alias("_d"), F.col("content").alias("_c"))
     found = docs.select("doc_id", "content", "text").join(
-        _small(wanted), (F.col("content") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+        small_side(wanted), (F.col("content") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     )
     # rows that repeat id and text fetch one text each
     return materialize(found.select("row", "text"), "join-texts").dropDuplicates(["row"])
@@ -434,14 +428,14 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     again = materialize(
         slim.join(least.where("copies > 1"), "digest").where("row <> class").select("row", "class"), "join-copies"
     )
-    copies = _small(again)
+    copies = small_side(again)
     classes = sets.where("n > 0").join(copies, "row", "left_anti")
 
     # groups: classes linked to a common leader
     pairs = materialize(_leaders(classes.select("row", "n", "bands")), "join-leaders")
     links = _verified(source, slim, pairs)
     grouped = materialize(_components(links), "join-groups")
-    with_group = classes.join(_small(grouped), "row", "left").withColumn("g", F.coalesce("root", "row"))
+    with_group = classes.join(small_side(grouped), "row", "left").withColumn("g", F.coalesce("root", "row"))
     members = materialize(with_group.select("row", "doc_id", "content", "n", "w", "g"), "join-members")
 
     # matrix, bound, and the pairs of groups to open
@@ -476,3 +470,24 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         F.col("first.doc_id").alias("component_id"),
         (F.col("first.row") == F.col("row")).alias("is_first"),
     )
+
+
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, and all rows without links; columns unchanged."""
+    if "_same" in docs.columns:
+        raise ValueError("column _same is used inside")
+    found = materialize(linked_components(docs, key, text), "join-result")
+    names = F.col("doc_id").alias("_drop_id"), F.col("content").alias("_drop_content")
+    stays = found.where("is_first").select(*names)
+    goes = found.where("not is_first").select(*names).distinct()
+    agree = F.col("k._drop_id").eqNullSafe(F.col("g._drop_id")) & (F.col("k._drop_content") == F.col("g._drop_content"))
+    # rows that agree in id and text with the row that stays: they can only go as repeats of it
+    repeated = materialize(goes.alias("g").join(stays.alias("k"), agree, "left_semi"), "join-repeated")
+    dropped = materialize(goes.alias("g").join(small_side(repeated).alias("k"), agree, "left_anti"), "join-dropped")
+    left = without_rows(docs, dropped, key, text)
+    if repeated.isEmpty():
+        return left
+    marked = left.withColumn("_same", F.xxhash64(F.col(text).cast("string")))
+    at = (F.col("_same") == F.col("_drop_content")) & F.col(key).eqNullSafe(F.col("_drop_id"))
+    once = marked.join(small_side(repeated), at, "left_semi").dropDuplicates([key, "_same"])
+    return marked.join(small_side(repeated), at, "left_anti").unionByName(once).drop("_same")

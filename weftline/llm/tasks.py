@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 1_000_000  # lists of ids up to this many rows are broadcast, longer ones are shuffled
 CHUNK_BYTES = 4 << 20  # text bytes that one numpy pass holds at a time; a longer single text is one chunk
 
 
@@ -36,6 +37,17 @@ def filled(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """A written list of ids as one side of a join: broadcast where its size allows, else one hash shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows of the written list (_drop_id, _drop_content: hash of the text)."""
+    same = (F.xxhash64(F.col(text).cast("string")) == F.col("_drop_content")) & F.col(key).eqNullSafe(F.col("_drop_id"))
+    return docs.join(small_side(dropped), same, "left_anti")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes in ``column``, and at least one row each."""
     for batch in batches:
