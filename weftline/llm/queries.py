@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exactdedup, langid, ngramjoin, packing, pieces, quality, quotes, sharding, tokencounts, urlfilter
+from weftline.llm import exactdedup, langid, ngramjoin, oracles, packing, pieces, quality, quotes, sharding, tokencounts, urlfilter
 from weftline.llm.encoders import Tokenizer
 from weftline.runtime import configure, scratch_path
 
@@ -65,15 +65,6 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP5_SQL = """
-select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
-  count(*) over (partition by coalesce(text, '')) as group_size,
-  doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept,
-  sha256(coalesce(text, '')) as text_sha256
-from documents
-"""
-
-
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_measures(table(spark, sf_dir, "documents"))
 
@@ -137,4 +128,9 @@ QUERIES = {
         op10_ngram_jaccard_join,
     )
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {
+    "op5_exact_dedup": oracles.EXACT_DEDUP,
+    "op6_quality_rules": oracles.quality_rules(quality.Rules()),
+    "op8_chat_formatting": oracles.CHAT_FORMATTING,
+    "op10_ngram_jaccard_join": oracles.NGRAM_JOIN,
+}
