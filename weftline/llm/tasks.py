@@ -14,12 +14,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BATCH = {  # rows handed to Python at a time, bounded by number and by bytes
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 BROADCAST_ROWS = 1_000_000  # lists of ids up to this many rows are broadcast, longer ones are shuffled
 CHUNK_BYTES = 4 << 20  # text bytes that one numpy pass holds at a time; a longer single text is one chunk
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per session, so that tasks can import it from any folder."""
+    """Send this package to the executors once per session, so that tasks can import it from any folder, and bound
+    what they are handed at a time."""
+    for name, value in ARROW_BATCH.items():
+        spark.conf.set(name, value)
     context = spark.sparkContext
     if not getattr(context, "_weftline_shipped", False):
         root = Path(__file__).resolve().parents[1]
