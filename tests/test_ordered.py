@@ -17,6 +17,18 @@ def rows_with_hot_key(n=600, seed=1):
     return [(k, rnd.randrange(5), i, rnd.choice([None, 1, 2, 3])) for i, k in enumerate(keys)]
 
 
+@pytest.fixture
+def narrow(spark):
+    """Many small range partitions, so that keys are cut."""
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
 SCHEMA = "key string, ts int, id int, x int"
 
 
@@ -37,9 +49,8 @@ def reference(rows):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_running_values(spark, hot_rows):
-    rows = rows_with_hot_key()
+@pytest.mark.parametrize("rows", [rows_with_hot_key(), rows_with_hot_key()[:1], []])
+def test_running_values(spark, narrow, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     x = F.col("x")
     specs = {
@@ -51,19 +62,20 @@ def test_running_values(spark, hot_rows):
         "sb": Running("sum_before", x),
         "mb": Running("max_before", x),
     }
-    got = running(df, ["key"], ["ts", "id"], specs, hot_rows=hot_rows, blocks=8).collect()
+    got = running(df, ["key"], ["ts", "id"], specs).collect()
     assert {r["id"]: (r.p, r.l, r.n, r.s, r.m, r.sb, r.mb) for r in got} == reference(rows)
     assert len(got) == len(rows)
 
 
-def test_hot_key_is_cut_into_blocks(spark):
-    df = spark.createDataFrame(rows_with_hot_key(), SCHEMA)
-    hot = ordered._hot_keys(df, ["key"], 20)
-    assert {r[0] for r in hot.collect()} == {"hot", None}
-    blocked = ordered._with_block(df, ["key"], ["ts", "id"], hot, 8)
-    sizes = {(r["key"], r[ordered._BLOCK]): r["count"] for r in blocked.groupBy("key", ordered._BLOCK).count().collect()}
-    assert max(sizes.values()) < 120 and len([k for k in sizes if k[0] == "hot"]) >= 6
-    assert {b for (k, b) in sizes if k not in ("hot", None)} == {0}
+def test_many_hot_keys_are_spread(spark, narrow):
+    """Keys on disjoint ranges of the order: each lies in several partitions, and each running count is whole."""
+    rows = [(f"k{k}", k * 1000 + i, i, 1) for k in range(4) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    placed = ordered.range_sorted(df, [F.col("key"), F.col("ts"), F.col("id")])
+    parts = {r["key"]: r["parts"] for r in placed.groupBy("key").agg(F.count_distinct("_part").alias("parts")).collect()}
+    assert min(parts.values()) >= 3
+    got = running(df, ["key"], ["ts", "id"], {"n": Running("count")})
+    assert got.where("n <> id + 1").isEmpty() and got.count() == len(rows)
 
 
 def test_ranked_and_page(spark):
@@ -94,12 +106,11 @@ def entries(spark, letters, key="k", types=None, pinned=()):
     )
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 2])
-def test_consecutive_duplicates(spark, hot_rows):
+def test_consecutive_duplicates(spark, narrow):
     df = entries(spark, ["A", "A", "B", "A"])
-    assert sorted(r.id for r in history.drop_consecutive(df, "key", ["id"], hot_rows).collect()) == [0, 2, 3]
+    assert sorted(r.id for r in history.drop_consecutive(df, "key", ["id"]).collect()) == [0, 2, 3]
     other = entries(spark, ["A", "A", None, "A"], types=["TEXT", "IMAGE", "TEXT", "IMAGE"])
-    assert sorted(r.id for r in history.drop_consecutive(other, "key", ["id"], hot_rows).collect()) == [0, 1]
+    assert sorted(r.id for r in history.drop_consecutive(other, "key", ["id"]).collect()) == [0, 1]
 
 
 def events(spark, items):
@@ -127,16 +138,15 @@ def watcher(items):
     return kept
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 5])
 @pytest.mark.parametrize("seed", range(4))
-def test_markers_and_pauses_against_a_loop(spark, seed, hot_rows):
+def test_markers_and_pauses_against_a_loop(spark, narrow, seed):
     rnd = random.Random(seed)
     items = [
         (rnd.choice(["item"] * 8 + ["suppress", "pause", "resume", "resume"]), rnd.choice(["A", "B", None]))
         for _ in range(80)
     ]
-    live = history.drop_paused(events(spark, items), "key", ["id"], hot_rows)
-    got = history.suppress_marked(live, "key", ["id"], hot_rows)
+    live = history.drop_paused(events(spark, items), "key", ["id"])
+    got = history.suppress_marked(live, "key", ["id"])
     assert sorted(r.id for r in got.collect()) == watcher(items)
 
 
@@ -178,8 +188,7 @@ def test_rank_limit_runs_before_the_exchange(spark):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_ids_against_a_loop(spark, hot_rows):
+def test_ids_against_a_loop(spark, narrow):
     rnd = random.Random(7)
     rows = [("k", i, rnd.randrange(30)) for i in range(200)]
     df = spark.createDataFrame(rows, "key string, id long, created_ms long")
@@ -187,7 +196,7 @@ def test_ids_against_a_loop(spark, hot_rows):
     for _, i, ms in sorted(rows, key=lambda r: (r[2], r[1])):
         last = ms if last is None else max(last + 1, ms)
         want[i] = last
-    got = history.assign_ids(df, "key", ["created_ms", "id"], hot_rows=hot_rows).collect()
+    got = history.assign_ids(df, "key", ["created_ms", "id"]).collect()
     assert {r.id: r.assigned_id for r in got} == want
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_hash
-from weftline.operators.ordered import HOT_ROWS, Running, running
+from weftline.operators.ordered import Running, running
 
 DEFAULT_KEPT = 200
 LARGEST_KEPT = 10_000
@@ -21,27 +21,27 @@ def fingerprint() -> Column:
     return F.concat_ws(":", "type", "hash")
 
 
-def drop_consecutive(df: DataFrame, key: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def drop_consecutive(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Drop a row whose type and hash equal those of the row before it; rows without a hash are dropped first.
 
     Equal neighbours chain, so the row before is as good as the last kept row.
     """
     rows = df.where("hash is not null").withColumn("_print", fingerprint())
-    seen = running(rows, [key], order, {"_before": Running("previous", F.col("_print"))}, hot_rows)
+    seen = running(rows, [key], order, {"_before": Running("previous", F.col("_print"))})
     return seen.where(~F.col("_print").eqNullSafe(F.col("_before"))).drop("_print", "_before")
 
 
-def drop_paused(df: DataFrame, key: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def drop_paused(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Drop items between a pause and the next resume; ``event`` is item, suppress, pause or resume."""
     switch = F.when(F.col("event").isin("pause", "resume"), F.col("event"))
-    seen = running(df, [key], order, {"_switch": Running("last", switch)}, hot_rows)
+    seen = running(df, [key], order, {"_switch": Running("last", switch)})
     return seen.where(
         ~F.col("event").isin("pause", "resume")
         & ~((F.col("event") == "item") & F.coalesce(F.col("_switch") == "pause", F.lit(False)))
     ).drop("_switch")
 
 
-def suppress_marked(df: DataFrame, key: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def suppress_marked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Items that stay after marker suppression and consecutive-duplicate suppression.
 
     A ``suppress`` event names a hash; it drops the next item if that has the hash and expires on any other.
@@ -54,7 +54,6 @@ def suppress_marked(df: DataFrame, key: str, order: list[str], hot_rows: int = H
         [key],
         order,
         {"_marker": Running("previous", marker), "_print": Running("last", item_print)},
-        hot_rows,
     )
     return seen.where(
         (F.col("event") == "item")
@@ -121,11 +120,11 @@ def search_history(df: DataFrame, query: str = "", only: str | None = None) -> D
     )
 
 
-def assign_ids(df: DataFrame, key: str, order: list[str], moment: str = "created_ms", hot_rows: int = HOT_ROWS) -> DataFrame:
+def assign_ids(df: DataFrame, key: str, order: list[str], moment: str = "created_ms") -> DataFrame:
     """Strictly increasing ids: max(last id + 1, moment), in closed form over the rows of a key."""
-    numbered = running(df, [key], order, {"_n": Running("count")}, hot_rows)
+    numbered = running(df, [key], order, {"_n": Running("count")})
     shifted = numbered.withColumn("_lead", F.col(moment) - F.col("_n"))
-    highest = running(shifted, [key], order, {"_high": Running("max", F.col("_lead"))}, hot_rows)
+    highest = running(shifted, [key], order, {"_high": Running("max", F.col("_lead"))})
     return highest.withColumn("assigned_id", F.col("_n") + F.col("_high")).drop("_n", "_lead", "_high")
 
 

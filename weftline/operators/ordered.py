@@ -1,26 +1,21 @@
 """Ordered computations that stay parallel when one key holds a large share of the rows.
 
-A window partitioned by the key alone puts a hot key into one task.  Here the rows of hot keys are cut into
-blocks of the order columns; the window runs per (key, block), one small row per block carries the state
-across blocks, and the carry frame (hot keys x blocks, both bounded) is broadcast back.
+A window partitioned by the key alone puts a hot key into one task.  Here the rows are range-sorted by key and order
+and written with the number of their partition, so every key lies in neighbouring partitions.  The window runs per
+(partition, key), and one small row per partition carries the state of its last key over to the next partitions.
+There is one plan for all keys: no threshold, no sample of keys, nothing that depends on the size of a key.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.runtime import materialize
 
-HOT_ROWS = 2_000_000      # a key above this many rows is split
-MAX_HOT_KEYS = 1_024      # the threshold rises with the input so that no more keys than this are hot
-BLOCKS = 128              # blocks a hot key is cut into
-SAMPLE_PER_BLOCK = 32     # sampled order values per block, used for the cut points only
-
-_BLOCK = "_block"
+_PART = "_part"
 
 
 @dataclass(frozen=True)
@@ -56,7 +51,8 @@ def _local(spec: Running, window) -> Column:
     raise ValueError(spec.kind)
 
 
-def _block_total(spec: Running, order: Column) -> Column:
+def _total(spec: Running, order: Column) -> Column:
+    """State after all rows of a key in one partition."""
     if spec.kind == "previous":
         return F.max_by(F.struct(spec.value.alias("v")), order)
     if spec.kind == "last":
@@ -68,15 +64,16 @@ def _block_total(spec: Running, order: Column) -> Column:
     return F.max(spec.value)
 
 
-def _carried(spec: Running, total: Column, window) -> Column:
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
+def _upto(spec: Running, total: Column, window) -> Column:
+    """State of a key after all its partitions up to this one."""
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if spec.kind == "previous":
-        return F.lag(total).over(window)
+        return total
     if spec.kind == "last":
-        return F.last(total, ignorenulls=True).over(before)
+        return F.last(total, ignorenulls=True).over(upto)
     if spec.kind in ("count", "sum", "sum_before"):
-        return F.sum(total).over(before)
-    return F.max(total).over(before)
+        return F.sum(total).over(upto)
+    return F.max(total).over(upto)
 
 
 def _merged(spec: Running, local: Column, carry: Column) -> Column:
@@ -89,85 +86,50 @@ def _merged(spec: Running, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry)
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [left[n].eqNullSafe(right[f"_c_{n}"]) for n in names])
-
-
-def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys to split, or None.  At most MAX_HOT_KEYS rows, because the threshold is a share of the total.
-
-    The counts are pre-aggregated per task, so a hot key sends one row per task here.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
-    if not largest or largest <= limit:
-        return None
-    hot = counts.where(F.col("_rows") > limit).select(*[F.col(k).alias(f"_c_{k}") for k in keys])
-    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
-
-
-def _cut_points(df: DataFrame, order: list[str], blocks: int) -> list:
-    """Evenly spaced order values from a fixed-size hash sample (bottom-k), so the driver gets a bounded list."""
-    sample = (
-        df.select(*order)
-        .orderBy(F.xxhash64(*order), *order)
-        .limit(blocks * SAMPLE_PER_BLOCK)
-        .orderBy(*order)
-        .collect()
-    )
-    step = max(1, len(sample) // blocks)
-    return sample[step::step]
-
-
-def _with_block(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, blocks: int) -> DataFrame:
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), _same(df, hot, keys), "left")
-    cuts = _cut_points(marked.where("_hot"), order, blocks)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    row = F.struct(*[F.col(c).alias(c) for c in order])
-    points = F.array(*[F.struct(*[F.lit(p[c]).cast(types[c]).alias(c) for c in order]) for p in cuts])
-    position = F.size(F.filter(points, lambda p: p <= row)) if cuts else F.lit(0)
-    return marked.withColumn(_BLOCK, F.when(F.col("_hot"), position).otherwise(0)).drop(
-        *[f"_c_{k}" for k in keys], "_hot"
+def range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` written in a global order, with its partition in ``_part`` and the place in it in ``_place``."""
+    return materialize(
+        df.orderBy(*order).select(
+            "*",
+            F.spark_partition_id().alias(_PART),
+            F.expr("monotonically_increasing_id() & 8589934591").alias("_place"),
+        ),
+        "sorted",
     )
 
 
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    specs: dict[str, Running],
-    hot_rows: int = HOT_ROWS,
-    blocks: int = BLOCKS,
-) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Running]) -> DataFrame:
     """Add the running values ``specs`` per ``keys`` in ascending ``order`` (which must be unique per key).
 
-    Without hot keys this is one exchange.  With hot keys the input is read again for the cut points and the
-    block totals, so hand in a table or a plain scan, not a long plan.
+    Null keys are a key of their own.  The rows move twice: into the global order, and to their (partition, key).
     """
-    hot = _hot_keys(df, keys, hot_rows)
-    if hot is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        out = df.withColumns({name: _local(spec, window) for name, spec in specs.items()})
-        return _unwrap(out, specs)
-
-    blocked = _with_block(df, keys, order, hot, blocks)
-    window = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    local = blocked.withColumns({name: _local(spec, window) for name, spec in specs.items()})
+    values = {f"_v_{name}": spec.value for name, spec in specs.items() if spec.value is not None}
+    placed = range_sorted(df.withColumns(values) if values else df, [F.col(c) for c in [*keys, *order]]).drop("_place")
+    own = {name: Running(spec.kind, None if spec.value is None else F.col(f"_v_{name}")) for name, spec in specs.items()}
+
+    window = Window.partitionBy(_PART, *keys).orderBy(*order)
+    local = placed.withColumns({name: _local(spec, window) for name, spec in own.items()})
+
+    key = F.struct(*keys)
+    edges = placed.groupBy(_PART).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     totals = (
-        blocked.join(F.broadcast(hot), _same(blocked, hot, keys), "left_semi")
-        .groupBy(*keys, _BLOCK)
-        .agg(*[_block_total(spec, F.struct(*order)).alias(f"_t_{name}") for name, spec in specs.items()])
+        placed.join(F.broadcast(edges), _PART)  # one row per partition
+        .where(key == F.col("_last"))
+        .groupBy(_PART, "_first", "_last")
+        .agg(*[_total(spec, F.struct(*order)).alias(f"_t_{name}") for name, spec in own.items()])
+    )
+    along = Window.partitionBy("_last").orderBy(_PART)
+    state = F.struct("_last", *[_upto(spec, F.col(f"_t_{name}"), along).alias(f"_k_{name}") for name, spec in own.items()])
+    carried = (
+        totals.select(_PART, "_first", state.alias("_state"))
+        .select(F.col(_PART).alias("_to"), "_first", F.lag("_state").over(Window.orderBy(_PART)).alias("_before"))
+        .where(F.col("_before._last") == F.col("_first"))
+        .select("_to", "_first", *[F.col(f"_before._k_{name}").alias(f"_k_{name}") for name in own])
     )
-    across = Window.partitionBy(*keys).orderBy(_BLOCK)
-    carry = totals.select(
-        *[F.col(k).alias(f"_c_{k}") for k in [*keys, _BLOCK]],
-        *[_carried(spec, F.col(f"_t_{name}"), across).alias(f"_k_{name}") for name, spec in specs.items()],
+    joined = local.join(F.broadcast(carried), (F.col(_PART) == F.col("_to")) & (key == F.col("_first")), "left")
+    out = joined.withColumns({name: _merged(spec, F.col(name), F.col(f"_k_{name}")) for name, spec in own.items()}).drop(
+        _PART, "_to", "_first", *values, *[f"_k_{name}" for name in own]
     )
-    joined = local.join(F.broadcast(carry), _same(local, carry, [*keys, _BLOCK]), "left")
-    out = joined.withColumns(
-        {name: _merged(spec, F.col(name), F.col(f"_k_{name}")) for name, spec in specs.items()}
-    ).drop(_BLOCK, *[f"_c_{k}" for k in [*keys, _BLOCK]], *[f"_k_{n}" for n in specs])
     return _unwrap(out, specs)
 
 
@@ -182,14 +144,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     The rows are range-sorted and written once with their partition and place in it; the start of each
     partition is a sum over one row per partition.
     """
-    placed = materialize(
-        df.orderBy(*order).select(
-            "*",
-            F.spark_partition_id().alias("_part"),
-            F.expr("monotonically_increasing_id() & 8589934591").alias("_place"),
-        ),
-        "ranked",
-    )
+    placed = range_sorted(df, order)
     starts = (
         placed.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -210,7 +165,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Rows of one page, the page number clamped to the existing pages, with totals on every row.
 
-    Near pages are a top-k; a far page is cut out of the global position, so no task holds all rows before it.
+    The page is cut out of the global position, so no task holds all rows before it.
     """
     if size < 1:
         raise ValueError("page size must be at least 1")
@@ -220,10 +175,7 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     if pages:
         number = min(number, pages)
     first = (number - 1) * size
-    if first + size <= 10_000:
-        rows = df.orderBy(*order).offset(first).limit(size)
-    else:
-        rows = ranked(df, order, "_pos").where(F.col("_pos").between(first, first + size - 1)).drop("_pos")
+    rows = ranked(df, order, "_pos").where(F.col("_pos").between(first, first + size - 1)).drop("_pos")
     return rows.select(
         "*",
         F.lit(number).cast("bigint").alias("page"),
