@@ -5,27 +5,46 @@ Cells: ``file, sheet, row_no, col_no, value`` with 0-based numbers.  Header, typ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.names import camel_name, is_blank, kind_of, strip
-from weftline.operators.ordered import Running, running
 from weftline.runtime import materialize
 
 ROWS_PER_BLOCK = 10_000
 
 
 def unique_names(df: DataFrame, keys: list[str], base: str, order: str, out: str = "field_name") -> DataFrame:
-    """Give the n-th equal name within ``keys`` the suffix n; repeated while a suffixed name still collides."""
-    df = materialize(df.withColumn(out, F.col(base)), "names")  # read more than once below
-    while True:
-        counted = running(df, [*keys, out], [order], {"_n": Running("count")})
-        df = counted.withColumn(
-            out, F.when(F.col("_n") > 1, F.concat(out, F.col("_n").cast("string"))).otherwise(F.col(out))
-        ).drop("_n")
-        df = materialize(df, "names")
-        if df.groupBy(*keys, out).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-            return df
+    """Give the n-th equal name within ``keys`` the suffix n, or the next free one where that name is taken.
+
+    One exchange on the keys.  Only groups in which a suffixed name meets another name are walked in order, each as
+    long as its sheet or table is wide.
+    """
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        taken, names = set(), []
+        for name in group.sort_values(order)[base]:
+            free, n = name, 1
+            while free in taken:
+                n += 1
+                free = f"{name}{n}"
+            taken.add(free)
+            names.append(free)
+        return group.sort_values(order).assign(**{out: names})
+
+    nth = F.row_number().over(Window.partitionBy(*keys, base).orderBy(order))
+    suffixed = F.when(nth > 1, F.concat(base, nth.cast("string"))).otherwise(F.col(base))
+    met = F.count(F.lit(1)).over(Window.partitionBy(*keys, out)) > 1
+    marked = (
+        df.repartition(*keys)
+        .withColumn(out, suffixed)
+        .withColumn("_met", met)
+        .withColumn("_walk", F.max("_met").over(Window.partitionBy(*keys)))
+    )
+    marked = materialize(marked.drop("_met"), "names")
+    plain, clashing = marked.where("not _walk").drop("_walk"), marked.where("_walk").drop("_walk")
+    return plain.unionByName(clashing.groupBy(*keys).applyInPandas(walk, clashing.schema))
 
 
 def sheet_dictionary(cells: DataFrame, header_row: int, type_row: int = 0, comment_row: int = 0) -> DataFrame:
@@ -105,7 +124,11 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     The dictionary of one sheet is as long as the frame is wide.  Columns keep the order of the frame.
     """
-    fields = {r["source_name"]: r for r in dictionary.select("source_name", "field_name", "kind").collect()}
+    wanted = dictionary.where(F.col("source_name").isin(df.columns)).select("source_name", "field_name", "kind")
+    twice = wanted.groupBy("source_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("the dictionary names a column of the frame more than once; hand in one table's rows")
+    fields = {r["source_name"]: r for r in wanted.collect()}  # at most one row per column of the frame
     return df.select(
         *[
             F.col(f"`{name}`").try_cast(KIND_TYPES.get(fields[name]["kind"], "string")).alias(fields[name]["field_name"])
@@ -135,7 +158,8 @@ def sheet_summary(cells: DataFrame) -> DataFrame:
 def densify(cells: DataFrame) -> DataFrame:
     """Every cell of every sheet's rectangle, blank where missing.
 
-    Row ranges are cut into blocks and spread before the grid is generated, so one huge sheet uses many tasks.
+    Only the given cells move: those of a row become a map, and the row of the grid is made from it.  Row ranges are
+    cut into blocks and spread before they are generated, so one huge sheet uses many tasks.
     """
     blocks = (
         sheet_summary(cells)
@@ -146,12 +170,14 @@ def densify(cells: DataFrame) -> DataFrame:
         .repartition("file", "sheet", "first")
     )
     last = F.least(F.col("first") + ROWS_PER_BLOCK, F.col("total_rows")) - 1
-    grid = blocks.select("file", "sheet", "total_cols", F.explode(F.sequence("first", last)).alias("row_no")).select(
-        "file", "sheet", F.col("row_no").cast("int").alias("row_no"),
-        F.explode(F.sequence(F.lit(0), (F.col("total_cols") - 1).cast("int"))).alias("col_no"),
+    rows = blocks.select("file", "sheet", "total_cols", F.explode(F.sequence("first", last)).alias("_row")).select(
+        "file", "sheet", "total_cols", F.col("_row").cast("int").alias("row_no")
     )
-    return grid.join(cells, ["file", "sheet", "row_no", "col_no"], "left").select(
-        "file", "sheet", "row_no", "col_no", F.coalesce("value", F.lit("")).alias("value")
+    filled = cells.groupBy("file", "sheet", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("_values"))
+    return (
+        rows.join(filled, ["file", "sheet", "row_no"], "left")
+        .select("file", "sheet", "row_no", "_values", F.explode(F.sequence(F.lit(0), (F.col("total_cols") - 1).cast("int"))).alias("col_no"))
+        .select("file", "sheet", "row_no", "col_no", F.coalesce(F.try_element_at("_values", F.col("col_no")), F.lit("")).alias("value"))
     )
 
 

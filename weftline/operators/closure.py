@@ -15,7 +15,7 @@ from weftline.runtime import materialize, scratch_path
 
 DEFAULT_DEPTH = 6
 DOUBLING_AFTER = 24     # hops walked one by one before doubling is tried
-WALK_GROWTH = 8         # a walk table beyond this multiple of the edge table ends the doubling
+WALK_GROWTH = 8         # a join of walks beyond this multiple of the edge table is not made; hops go on one by one
 
 
 def _level_schema(with_hop: bool) -> T.StructType:
@@ -71,9 +71,9 @@ def _double(links: DataFrame, reach: DataFrame, hops: int) -> DataFrame | None:
     allowed = WALK_GROWTH * max(links.count(), 1)
     walk, stride = links, 1
     while stride * 2 <= hops + 1:
-        walk, stride = _square(walk), stride * 2
-        if walk.count() > allowed:
+        if _square_size(walk) > allowed:
             return None
+        walk, stride = _square(walk), stride * 2
     size = reach.count()
     while True:
         farther = (
@@ -87,9 +87,16 @@ def _double(links: DataFrame, reach: DataFrame, hops: int) -> DataFrame | None:
         if known == size:
             return reach
         size = known
-        walk, stride = _square(walk), stride * 2
-        if walk.count() > allowed:
+        if _square_size(walk) > allowed:
             return None
+        walk, stride = _square(walk), stride * 2
+
+
+def _square_size(walk: DataFrame) -> int:
+    """Pairs that the join in ``_square`` would make, from the two degree counts of every table."""
+    incoming = walk.groupBy(F.col("dst").alias("via")).agg(F.count(F.lit(1)).alias("i"))
+    outgoing = walk.groupBy(F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("o"))
+    return incoming.join(outgoing, "via").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0
 
 
 def _square(walk: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def lineage_nodes(jobs: DataFrame) -> DataFrame:
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, in_degree, out_degree), 0 where a table has no neighbour."""
+    """The rows of ``nodes`` (name, …) with in_degree and out_degree, 0 where a table has no neighbour."""
     ends = edges.select(
         F.explode(
             F.array(
@@ -84,34 +84,25 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     counted = ends.groupBy(F.col("e.name").alias("name")).agg(
         F.sum("e.incoming").alias("in_degree"), F.sum(F.lit(1) - F.col("e.incoming")).alias("out_degree")
     )
-    return (
-        nodes.select("name")
-        .join(counted, "name", "left")
-        .select(
-            "name",
-            F.coalesce("in_degree", F.lit(0)).cast("bigint").alias("in_degree"),
-            F.coalesce("out_degree", F.lit(0)).cast("bigint").alias("out_degree"),
-        )
+    return nodes.join(counted, "name", "left").select(
+        *nodes.columns,
+        F.coalesce("in_degree", F.lit(0)).cast("bigint").alias("in_degree"),
+        F.coalesce("out_degree", F.lit(0)).cast("bigint").alias("out_degree"),
     )
 
 
 def table_cards(jobs: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per table with layer, degrees, usage counts and the leaf / source flags."""
-    usage = table_usage(jobs)
-    return (
-        degrees(usage, edges)
-        .join(usage, "name")
-        .select(
-            "name",
-            short_name(F.col("name")).alias("short_name"),
-            layer_of(F.col("name")).alias("layer"),
-            "in_degree",
-            "out_degree",
-            "producing_sql_count",
-            "consuming_sql_count",
-            (F.col("out_degree") == 0).alias("is_leaf"),
-            (F.col("in_degree") == 0).alias("is_source"),
-        )
+    return degrees(table_usage(jobs), edges).select(
+        "name",
+        short_name(F.col("name")).alias("short_name"),
+        layer_of(F.col("name")).alias("layer"),
+        "in_degree",
+        "out_degree",
+        "producing_sql_count",
+        "consuming_sql_count",
+        (F.col("out_degree") == 0).alias("is_leaf"),
+        (F.col("in_degree") == 0).alias("is_source"),
     )
 
 
@@ -180,15 +171,27 @@ def search_tables(cards: DataFrame, keyword: str | None, limit: int = DEFAULT_SE
 
 
 def upstream_of(edges: DataFrame, name: str) -> DataFrame:
-    return edges.where(F.col("dst") == name).select(F.col("src").alias("name"), "weight").orderBy("name")
+    return _upstream(edges, name).orderBy("name")
+
+
+def _upstream(edges: DataFrame, name: str) -> DataFrame:
+    return edges.where(F.col("dst") == name).select(F.col("src").alias("name"), "weight")
 
 
 def downstream_of(edges: DataFrame, name: str) -> DataFrame:
-    return edges.where(F.col("src") == name).select(F.col("dst").alias("name"), "weight").orderBy("name")
+    return _downstream(edges, name).orderBy("name")
+
+
+def _downstream(edges: DataFrame, name: str) -> DataFrame:
+    return edges.where(F.col("src") == name).select(F.col("dst").alias("name"), "weight")
 
 
 def producers_of(jobs: DataFrame, name: str) -> DataFrame:
-    return jobs.where(F.array_contains("output_tables", name)).orderBy(F.col("name").asc_nulls_last())
+    return _producers(jobs, name).orderBy(F.col("name").asc_nulls_last())
+
+
+def _producers(jobs: DataFrame, name: str) -> DataFrame:
+    return jobs.where(F.array_contains("output_tables", name))
 
 
 def consumers_of(jobs: DataFrame, name: str) -> DataFrame:
@@ -203,27 +206,32 @@ def table_detail(cards: DataFrame, components: DataFrame, name: str) -> DataFram
 
 
 def table_relations(jobs: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """(relation, name, sql): upstream and downstream tables and the full text of the producing jobs."""
-    none = F.lit(None).cast("string")
-    return (
-        upstream_of(edges, name)
-        .select(F.lit("upstream").alias("relation"), "name", none.alias("sql"))
-        .unionByName(
-            downstream_of(edges, name).select(F.lit("downstream").alias("relation"), "name", none.alias("sql"))
-        )
-        .unionByName(producers_of(jobs, name).select(F.lit("producer").alias("relation"), "name", "sql"))
+    """(relation, name, JOB_FIELDS): upstream and downstream tables, and the full records of the producing jobs."""
+    near = (
+        _upstream(edges, name)
+        .select(F.lit("upstream").alias("relation"), "name")
+        .unionByName(_downstream(edges, name).select(F.lit("downstream").alias("relation"), "name"))
     )
+    made = _producers(jobs, name).select(F.lit("producer").alias("relation"), "name", *JOB_FIELDS)
+    return near.unionByName(made, allowMissingColumns=True)
+
 
+JOB_FIELDS = ["source", "description", "sql", "input_tables", "output_tables"]
 
-JOB_FIELDS = ["source", "description", "sql"]
 
+def edge_detail(jobs: DataFrame, src: str, dst: str, unique_names: bool = False) -> DataFrame:
+    """Jobs behind one edge with full records; a missing edge gives one row with edge_exists = false, weight 0.
 
-def edge_detail(jobs: DataFrame, src: str, dst: str, links: DataFrame | None = None) -> DataFrame:
-    """Jobs behind one edge with full records; a missing edge gives one row with edge_exists = false, weight 0."""
-    links = edge_jobs(jobs) if links is None else links
-    names = links.where((F.col("src") == src) & (F.col("dst") == dst)).select("name").distinct()
+    The jobs of an edge are the records that hold both names, so one filtered scan finds them.  Where names repeat,
+    all records of a name that makes the edge belong to it.
+    """
     records = jobs.select("name", *JOB_FIELDS)
-    rows = names.join(records, "name", "left")
+    real = F.lit(src.lower() != dst.lower())  # a table is no neighbour of itself
+    rows = records.where(real & F.array_contains("input_tables", src) & F.array_contains("output_tables", dst))
+    names = rows.select("name")
+    if not unique_names:
+        names = names.distinct()
+        rows = records.join(names.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name")), "left_semi")
     weight = names.agg(
         F.count(F.lit(1)).alias("_n"), F.count(F.when(~is_blank(F.col("name")), F.lit(1))).alias("_named")
     )

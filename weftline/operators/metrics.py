@@ -19,6 +19,12 @@ AGGREGATES = (
     "SUM COUNT AVG MIN MAX STDDEV VARIANCE WM_CONCAT LISTAGG ROW_NUMBER RANK DENSE_RANK NTILE LAG LEAD "
     "FIRST_VALUE LAST_VALUE"
 ).split()
+# The other aggregates of standard SQL; callers add those of their own dialect.
+MORE_AGGREGATES = (
+    "ANY_VALUE ARRAY_AGG BIT_AND BIT_OR BIT_XOR BOOL_AND BOOL_OR CORR COVAR_POP COVAR_SAMP CUME_DIST EVERY GROUPING "
+    "GROUP_CONCAT MEDIAN MODE NTH_VALUE PERCENT_RANK PERCENTILE_CONT PERCENTILE_DISC REGR_AVGX REGR_AVGY REGR_COUNT "
+    "REGR_INTERCEPT REGR_R2 REGR_SLOPE REGR_SXX REGR_SXY REGR_SYY STDDEV_POP STDDEV_SAMP STRING_AGG VAR_POP VAR_SAMP"
+).split()
 
 # Words that are neither operands nor columns.
 KEYWORDS = (
@@ -38,15 +44,20 @@ def normalize_expression(text: Column) -> Column:
     return F.array_join(F.transform(sql_tokens(text), lambda t: F.when(is_quoted(t), t).otherwise(F.upper(t))), " ")
 
 
-def expression_flags(items: DataFrame) -> DataFrame:
-    """Add ``aggs`` (distinct names in order) and the flags of an expression; works on one row at a time."""
+def expression_flags(items: DataFrame, aggregates: list[str] = AGGREGATES + MORE_AGGREGATES) -> DataFrame:
+    """Add ``aggs`` (distinct names in order) and the flags of an expression; works on one row at a time.
+
+    ``aggregates`` names the functions that aggregate, in upper case.  A call followed by OVER is a window and one
+    followed by WITHIN GROUP an ordered aggregate, whatever its name.
+    """
     words = items.withColumn("_t", sql_tokens(F.col("expression"))).withColumn("_u", F.transform("_t", F.upper))
 
     def near(i: Column, offset: int) -> Column:
         return F.coalesce(F.get(F.col("_u"), i + offset), F.lit(""))
 
     at = F.when(F.size("_u") > 0, F.sequence(F.lit(0), F.size("_u") - 1)).otherwise(F.array().cast("array<int>"))
-    called = F.filter(F.col("_at"), lambda i: near(i, 0).isin(AGGREGATES) & (near(i, 1) == "("))
+    called = F.filter(F.col("_at"), lambda i: near(i, 0).isin(aggregates) & (near(i, 1) == "("))
+    within = F.exists("_at", lambda i: (near(i, 0) == "WITHIN") & (near(i, 1) == "GROUP") & (near(i, -1) == ")"))
     over = F.exists("_at", lambda i: (near(i, 0) == "OVER") & ((near(i, 1) == "(") | (near(i, -1) == ")")))
     binary = F.filter(
         F.col("_at"),
@@ -58,7 +69,7 @@ def expression_flags(items: DataFrame) -> DataFrame:
     )
     operators = F.transform(binary, lambda i: near(i, 0))
     distinct = F.exists(
-        "_at", lambda i: (near(i, 0) == "DISTINCT") & (near(i, -1) == "(") & near(i, -2).isin(AGGREGATES)
+        "_at", lambda i: (near(i, 0) == "DISTINCT") & (near(i, -1) == "(") & near(i, -2).isin(aggregates)
     )
     return (
         words.withColumn("_at", at)
@@ -70,6 +81,7 @@ def expression_flags(items: DataFrame) -> DataFrame:
                 "has_arithmetic": F.size(operators) > 0,
                 "has_division": F.array_contains(operators, "/"),
                 "is_window": over,
+                "is_ordered": within,
             }
         )
         .drop("_t", "_u", "_at")
@@ -77,7 +89,7 @@ def expression_flags(items: DataFrame) -> DataFrame:
 
 
 def is_metric() -> Column:
-    return (F.size("aggs") > 0) | F.col("is_window")
+    return (F.size("aggs") > 0) | F.col("is_window") | F.col("is_ordered")
 
 
 def metric_rows(items: DataFrame) -> DataFrame:

@@ -87,8 +87,16 @@ def text_hunks(pairs: DataFrame, key: str, a: str, b: str, ignore_whitespace: bo
     )
 
 
-def unified_diff(hunks: DataFrame, key: str) -> DataFrame:
-    """(key, unified): one text per pair that differs; positions are 1-based unless the side is empty."""
+# Heads of the text form and of a hunk.
+UNIFIED_HEAD = "--- original\n+++ revised\n"
+HUNK_HEAD = "@@ -%d,%d +%d,%d @@"
+
+
+def unified_diff(pairs: DataFrame, hunks: DataFrame, key: str) -> DataFrame:
+    """(key, unified): one text for every pair, the head alone where nothing differs.
+
+    Positions are 1-based unless the side is empty.
+    """
     source_size, target_size = F.size("source_lines"), F.size("target_lines")
 
     def start(position: str, size: Column) -> Column:
@@ -98,15 +106,16 @@ def unified_diff(hunks: DataFrame, key: str) -> DataFrame:
         return F.transform(column, lambda line: F.concat(F.lit(mark), line))
 
     head = F.format_string(
-        "@@ -%d,%d +%d,%d @@", start("source_pos", source_size), source_size, start("target_pos", target_size), target_size
+        HUNK_HEAD, start("source_pos", source_size), source_size, start("target_pos", target_size), target_size
     )
     body = F.concat(F.array(head), marked("-", "source_lines"), marked("+", "target_lines"))
     text = F.array_join(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("source_pos", "target_pos", "body"))), lambda h: h["body"])),
         "\n",
     )
-    whole = F.concat(F.lit("--- original\n+++ revised\n"), text)
-    return hunks.withColumn("body", body).groupBy(key).agg(strip(whole).alias("unified"))
+    texts = hunks.withColumn("body", body).groupBy(key).agg(text.alias("_text"))
+    whole = F.concat(F.lit(UNIFIED_HEAD), F.coalesce("_text", F.lit("")))
+    return pairs.select(key).join(texts, key, "left").select(key, strip(whole).alias("unified"))
 
 
 def diff_summary(pairs: DataFrame, hunks: DataFrame, key: str) -> DataFrame:
@@ -119,10 +128,13 @@ def diff_summary(pairs: DataFrame, hunks: DataFrame, key: str) -> DataFrame:
 
 
 def line_delta(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, added_lines, removed_lines), the order of lines ignored."""
+    """(key, added_lines, removed_lines) for every pair, the order of lines ignored."""
     change = F.sum(F.when(F.col("side") == "B", 1).otherwise(-1))
     per_line = _sided(pairs, key, a, b, False).groupBy(key, "line").agg(change.alias("d"))
-    return per_line.groupBy(key).agg(
+    counted = per_line.groupBy(key).agg(
         F.sum(F.greatest("d", F.lit(0))).alias("added_lines"),
         F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed_lines"),
     )
+    return pairs.select(key).join(counted, key, "left").select(
+        key, F.coalesce("added_lines", F.lit(0)).alias("added_lines"), F.coalesce("removed_lines", F.lit(0)).alias("removed_lines")
+    )

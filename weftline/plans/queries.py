@@ -43,11 +43,22 @@ def _joined(column: str | Column) -> Column:
     return F.array_join(column, ",")
 
 
-# Job names are unique by construction (checked by ``duplicate_job_names``), which spares the distinct.
+# Job names are unique by construction, which spares the distinct; a test checks the view.
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lineage_edges(v.jobs(spark, sf_dir), unique_names=True)
 
 
+RECORD_SQL = (
+    "source, description, sql, array_to_string(input_tables, ',') AS inputs, array_to_string(output_tables, ',') AS outputs"
+)
+
+
+def _flat_record(rows: DataFrame) -> DataFrame:
+    """Full job records with the two table lists as text, so that the comparison is on plain values."""
+    lists = {"inputs": F.array_join("input_tables", ","), "outputs": F.array_join("output_tables", ",")}
+    return rows.withColumns(lists).drop("input_tables", "output_tables")
+
+
 def _catalogue(spark: SparkSession, sf_dir: str, *texts: str) -> tuple[DataFrame, DataFrame]:
     """Catalogue and edges as written tables, for queries that use them several times; texts only on demand."""
     jobs = materialize(v.jobs(spark, sf_dir).select("name", "input_tables", "output_tables", *texts), "jobs")
@@ -242,7 +253,7 @@ def layer_of(spark, sf_dir):
 @query("degrees", with_sql(v.JOBS_SQL) + "SELECT name, in_degree, out_degree FROM cards")
 def degrees(spark, sf_dir):
     jobs, edges = _catalogue(spark, sf_dir)
-    return graph.degrees(graph.lineage_nodes(jobs), edges)
+    return graph.degrees(graph.lineage_nodes(jobs).select("name"), edges)
 
 
 @query("table_usage", with_sql(v.JOBS_SQL) + "SELECT name, producing_sql_count, consuming_sql_count FROM cards")
@@ -348,13 +359,14 @@ def table_detail(spark, sf_dir):
 @query(
     "table_relations",
     with_sql(v.JOBS_SQL)
-    + f"""SELECT 'upstream' AS relation, src AS name, NULL AS sql FROM edges WHERE dst = 'dwd_nation_3'
-          UNION ALL SELECT 'downstream', dst, NULL FROM edges WHERE src = 'dwd_nation_3'
-          UNION ALL SELECT 'producer', j.name, j.sql FROM jobs j JOIN job_outputs o ON o.job = j.name WHERE o.tbl = 'dwd_nation_3'""",
+    + f"""SELECT 'upstream' AS relation, src AS name, NULL AS source, NULL AS description, NULL AS sql, NULL AS inputs, NULL AS outputs
+            FROM edges WHERE dst = 'dwd_nation_3'
+          UNION ALL SELECT 'downstream', dst, NULL, NULL, NULL, NULL, NULL FROM edges WHERE src = 'dwd_nation_3'
+          UNION ALL SELECT 'producer', j.name, {RECORD_SQL} FROM jobs j JOIN job_outputs o ON o.job = j.name WHERE o.tbl = 'dwd_nation_3'""",
 )
 def table_relations(spark, sf_dir):
-    jobs, edges = _catalogue(spark, sf_dir, "sql")
-    return graph.table_relations(jobs, edges, "dwd_nation_3")
+    jobs, edges = _catalogue(spark, sf_dir, "source", "description", "sql")
+    return _flat_record(graph.table_relations(jobs, edges, "dwd_nation_3"))
 
 
 @query("upstream_tables", with_sql(v.JOBS_SQL) + "SELECT src AS name, weight FROM edges WHERE dst = 'dwd_nation_5'")
@@ -467,34 +479,36 @@ def closure_all(spark, sf_dir):
     "edge_detail",
     with_sql(v.JOBS_SQL)
     + """SELECT 'ods_supplier_7' AS src, 'dwd_nation_5' AS dst, count(j.name) OVER () > 0 AS edge_exists,
-           count(j.name) OVER () AS weight, j.name, j.source, j.description, j.sql
+           count(j.name) OVER () AS weight, j.name, j.source, j.description, j.sql,
+           array_to_string(j.input_tables, ',') AS inputs, array_to_string(j.output_tables, ',') AS outputs
          FROM (SELECT 1) one LEFT JOIN (SELECT jobs.* FROM edge_jobs e JOIN jobs ON e.name = jobs.name
            WHERE e.src = 'ods_supplier_7' AND e.dst = 'dwd_nation_5') j ON true""",
 )
 def edge_detail(spark, sf_dir):
-    return graph.edge_detail(materialize(v.jobs(spark, sf_dir), "jobs"), "ods_supplier_7", "dwd_nation_5")
+    return _flat_record(graph.edge_detail(v.jobs(spark, sf_dir), "ods_supplier_7", "dwd_nation_5", unique_names=True))
 
 
 @query(
     "edge_detail_missing",
     """SELECT 'rpt_region_0' AS src, 'ods_supplier_1' AS dst, false AS edge_exists, 0::BIGINT AS weight,
-       NULL::VARCHAR AS name, NULL::VARCHAR AS source, NULL::VARCHAR AS description, NULL::VARCHAR AS sql""",
+       NULL::VARCHAR AS name, NULL::VARCHAR AS source, NULL::VARCHAR AS description, NULL::VARCHAR AS sql,
+       NULL::VARCHAR AS inputs, NULL::VARCHAR AS outputs""",
 )
 def edge_detail_missing(spark, sf_dir):
-    return graph.edge_detail(materialize(v.jobs(spark, sf_dir), "jobs"), "rpt_region_0", "ods_supplier_1")
+    return _flat_record(graph.edge_detail(v.jobs(spark, sf_dir), "rpt_region_0", "ods_supplier_1", unique_names=True))
 
 
 @query(
     "resolve_table_sqls",
-    with_sql(v.JOBS_SQL) + f"SELECT name, source, description, sql FROM jobs WHERE list_contains(output_tables, '{MIDDLE}')",
+    with_sql(v.JOBS_SQL) + f"SELECT name, {RECORD_SQL} FROM jobs WHERE list_contains(output_tables, '{MIDDLE}')",
 )
 def resolve_table_sqls(spark, sf_dir):
-    return graph.resolve_sqls(materialize(v.jobs(spark, sf_dir), "jobs"), MIDDLE)
+    return _flat_record(graph.resolve_sqls(v.jobs(spark, sf_dir), MIDDLE))
 
 
-@query("resolve_job_sqls", with_sql(v.JOBS_SQL) + "SELECT name, source, description, sql FROM jobs WHERE name = 'rpt_2'")
+@query("resolve_job_sqls", with_sql(v.JOBS_SQL) + f"SELECT name, {RECORD_SQL} FROM jobs WHERE name = 'rpt_2'")
 def resolve_job_sqls(spark, sf_dir):
-    return graph.resolve_sqls(materialize(v.jobs(spark, sf_dir), "jobs"), "rpt_2")
+    return _flat_record(graph.resolve_sqls(v.jobs(spark, sf_dir), "rpt_2"))
 
 
 @query(
@@ -663,16 +677,26 @@ def metric_classes(spark, sf_dir):
     return metrics.probe_metrics(v.metric_items(spark, sf_dir)).groupBy("type").agg(F.count(F.lit(1)).alias("metrics"))
 
 
-@query("normal_forms", METRICS + "SELECT sql_id, normalized_expression FROM metrics")
+@query(
+    "normal_forms",
+    METRICS
+    + """SELECT sql_id, 2 AS item_no, normalized_expression FROM metrics
+         UNION ALL SELECT sql_id, 1, 'DEPT_' || (p_size % 5) FROM metrics""",
+)
 def normal_forms(spark, sf_dir):
-    items = v.metric_items(spark, sf_dir).where("item_no = 2")
-    return items.select("sql_id", metrics.normalize_expression(F.col("expression")).alias("normalized_expression"))
+    items = v.metric_items(spark, sf_dir)
+    return items.select("sql_id", "item_no", metrics.normalize_expression(F.col("expression")).alias("normalized_expression"))
 
 
-@query("metric_names", METRICS + "SELECT sql_id, name FROM named")
+@query(
+    "metric_names",
+    METRICS
+    + """SELECT sql_id, 2 AS item_no, name FROM named
+         UNION ALL SELECT sql_id, 1, CASE WHEN even THEN 'department' ELSE 'dept_' || (p_size % 5) END FROM metrics""",
+)
 def metric_names(spark, sf_dir):
-    items = v.metric_items(spark, sf_dir).where("item_no = 2")
-    return items.select("sql_id", metrics.metric_name(F.col("alias"), F.col("expression")).alias("name"))
+    items = v.metric_items(spark, sf_dir)
+    return items.select("sql_id", "item_no", metrics.metric_name(F.col("alias"), F.col("expression")).alias("name"))
 
 
 @query(
@@ -1036,11 +1060,13 @@ def text_hunks(spark, sf_dir):
     + """, texts AS (SELECT pair_id, source_pos, target_pos, '@@ -' || (source_pos + CASE WHEN source_size > 0 THEN 1 ELSE 0 END) || ','
            || source_size || ' +' || (target_pos + CASE WHEN target_size > 0 THEN 1 ELSE 0 END) || ',' || target_size || ' @@'
            || coalesce(chr(10) || minus, '') || coalesce(chr(10) || plus, '') AS t FROM hunks)
-         SELECT pair_id, regexp_replace('--- original' || chr(10) || '+++ revised' || chr(10)
-           || string_agg(t, chr(10) ORDER BY source_pos, target_pos), '[\\x00-\\x20]+$', '') AS unified FROM texts GROUP BY pair_id""",
+         SELECT doc_id AS pair_id, regexp_replace('--- original' || chr(10) || '+++ revised' || chr(10)
+           || coalesce(string_agg(t, chr(10) ORDER BY source_pos, target_pos), ''), '[\\x00-\\x20]+$', '') AS unified
+         FROM documents LEFT JOIN texts ON pair_id = doc_id GROUP BY doc_id""",
 )
 def unified_diff(spark, sf_dir):
-    return textdiff.unified_diff(textdiff.text_hunks(v.text_pairs(spark, sf_dir), "pair_id", "a", "b"), "pair_id")
+    pairs = v.text_pairs(spark, sf_dir)
+    return textdiff.unified_diff(pairs, textdiff.text_hunks(pairs, "pair_id", "a", "b"), "pair_id")
 
 
 @query(
@@ -1059,7 +1085,8 @@ def diff_summary(spark, sf_dir):
     with_sql(v.TEXT_SQL)
     + """, counted AS (SELECT pair_id, line, sum(d) AS d FROM (SELECT pair_id, line, -1 AS d FROM a_lines UNION ALL
            SELECT pair_id, line, 1 FROM b_lines) GROUP BY pair_id, line)
-         SELECT pair_id, sum(greatest(d, 0))::BIGINT AS added_lines, sum(greatest(-d, 0))::BIGINT AS removed_lines FROM counted GROUP BY pair_id""",
+         SELECT doc_id AS pair_id, coalesce(sum(greatest(d, 0)), 0)::BIGINT AS added_lines,
+           coalesce(sum(greatest(-d, 0)), 0)::BIGINT AS removed_lines FROM documents LEFT JOIN counted ON pair_id = doc_id GROUP BY doc_id""",
 )
 def line_delta(spark, sf_dir):
     return textdiff.line_delta(v.text_pairs(spark, sf_dir), "pair_id", "a", "b")
@@ -1090,17 +1117,26 @@ def camel_name(spark, sf_dir):
     return v.labels_of_parts(spark, sf_dir).select("p_partkey", names.camel_name(F.col("label")).alias("field_name"))
 
 
-@query(
-    "unique_names",
-    with_sql(v.LABELS_SQL)
-    + """, nth AS (SELECT p_partkey, p_size, camel, row_number() OVER (PARTITION BY p_size, camel ORDER BY p_partkey) AS n
-           FROM camel WHERE rule <> 1)
-         SELECT p_size, p_partkey, CASE WHEN n > 1 THEN camel || n ELSE camel END AS field_name FROM nth""",
+# Names in order: the first free one of name, name2, name3, …
+NAMED = with_sql(
+    v.LABELS_SQL
+    + """, placed AS (SELECT p_partkey, p_size, camel, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rn FROM camel),
+named_fields AS (
+  SELECT p_size, rn, p_partkey, camel AS field_name, [camel] AS taken FROM placed WHERE rn = 1
+  UNION ALL
+  SELECT p_size, rn, p_partkey, free AS field_name, list_append(taken, free) AS taken FROM (
+    SELECT p.p_size, p.rn, p.p_partkey, f.taken,
+      [x FOR x IN list_concat([p.camel], [p.camel || k FOR k IN range(2, p.rn + 2)]) IF NOT list_contains(f.taken, x)][1] AS free
+    FROM named_fields f JOIN placed p ON p.p_size = f.p_size AND p.rn = f.rn + 1)
+)""",
+    recursive=True,
 )
+
+
+@query("unique_names", NAMED + "SELECT p_size, p_partkey, field_name FROM named_fields")
 def unique_names(spark, sf_dir):
-    """Field names per size group; the n-th equal name gets the suffix n."""
-    labelled = v.labels_of_parts(spark, sf_dir).where("p_partkey % 6 <> 1")
-    based = labelled.select("p_size", "p_partkey", names.camel_name(F.col("label")).alias("base"))
+    """Field names per size group; some labels end in digits and meet the suffix of another name."""
+    based = v.labels_of_parts(spark, sf_dir).select("p_size", "p_partkey", names.camel_name(F.col("label")).alias("base"))
     return catalog.unique_names(based, ["p_size"], "base", "p_partkey").select("p_size", "p_partkey", "field_name")
 
 
@@ -1146,13 +1182,12 @@ def jdbc_kind(spark, sf_dir):
 
 @query(
     "columns_dictionary",
-    with_sql(v.LABELS_SQL)
-    + f""", nth AS (SELECT *, row_number() OVER (PARTITION BY p_size, camel ORDER BY p_partkey) AS n FROM camel WHERE rule <> 1)
-         SELECT 'table_' || p_size AS table_name, p_partkey AS position, CASE WHEN n > 1 THEN camel || n ELSE camel END AS field_name,
-           {v.kind_sql('p_partkey % 20')} AS kind, '' AS comment FROM nth""",
+    NAMED
+    + f"""SELECT 'table_' || p_size AS table_name, p_partkey AS position, field_name, {v.kind_sql('p_partkey % 20')} AS kind, '' AS comment
+         FROM named_fields""",
 )
 def columns_dictionary(spark, sf_dir):
-    labels = v.labels_of_parts(spark, sf_dir).where("p_partkey % 6 <> 1")
+    labels = v.labels_of_parts(spark, sf_dir)
     types = v.type_strings(spark, sf_dir).select("p_partkey", "type_text")
     columns = labels.join(types, "p_partkey").select(
         v._cat("table_", F.col("p_size")).alias("table_name"),
@@ -1408,10 +1443,9 @@ def evicted(spark, sf_dir):
     return history.evicted(v.history(spark, sf_dir).select(*ENTRY), "key", 20)
 
 
-@query("history_order", HISTORY + "SELECT key, id, created_ms, pinned FROM history ORDER BY pinned DESC, created_ms DESC, id DESC LIMIT 500")
+@query("history_order", HISTORY + "SELECT key, id, created_ms, pinned FROM history ORDER BY pinned DESC, created_ms DESC, id DESC")
 def history_order(spark, sf_dir):
-    """The first 500 entries in history order."""
-    return history.history_order(v.history(spark, sf_dir).select("key", "id", "created_ms", "pinned")).limit(500)
+    return history.history_order(v.history(spark, sf_dir).select("key", "id", "created_ms", "pinned"))
 
 
 @query(

@@ -178,7 +178,7 @@ components AS (
 
 def closure_sql(seeds: str, depth: int) -> str:
     """Shortest hops upstream of the seeds; the hop cap keeps cycles finite."""
-    cap = depth if depth > 0 else 40
+    cap = depth if depth > 0 else "(SELECT count(*) FROM cards)"  # no shortest path is longer
     return f"""
 walk(seed, name, hop) AS (
   SELECT name, name, 0 FROM ({seeds}) s

@@ -101,12 +101,26 @@ def replace_snapshot(jobs: DataFrame, root: str) -> DataFrame:
     spark = jobs.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     written = write_table(jobs, f"{root}/{version}")
-    assert_unique_names(written)
-    target, fs = _file(spark, f"{root}/{POINTER}")
-    out = fs.create(target, True)
+    try:
+        assert_unique_names(written)
+    except ValueError:
+        delete_path(spark, f"{root}/{version}")
+        raise
+    _point(spark, root, version)
+    return written
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
+    """Replace the pointer by a rename, so that a reader finds the old version or the new one, never a part."""
+    fresh, fs = _file(spark, f"{root}/.{POINTER}-{version}")
+    out = fs.create(fresh, True)
     out.write(bytearray(version, "utf-8"))
     out.close()
-    return written
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(_file(spark, f"{root}/{POINTER}")[0]), options)
 
 
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
