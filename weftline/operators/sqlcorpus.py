@@ -180,10 +180,37 @@ def statement_kinds(sql_inputs: DataFrame) -> DataFrame:
 
 
 # Tokens that may stand right before a table name.
-ANNOUNCING = ["FROM", "JOIN", "USING", "INTO", "UPDATE", "TABLE", "VIEW", "EXISTS", ","]
+ANNOUNCING = ["FROM", "JOIN", "USING", "INTO", "UPDATE", "DELETE", "OVERWRITE", "TABLE", "VIEW", "EXISTS", ","]
 
 # Words that end or open a list of tables.
-CLAUSE_WORDS = ["SELECT", "FROM", "WHERE", "GROUP", "ORDER", "HAVING", "SET", "VALUES", "ON", "UNION", "WHEN", "LIMIT"]
+CLAUSE_WORDS = [
+    "SELECT", "FROM", "WHERE", "GROUP", "ORDER", "HAVING", "SET", "VALUES", "ON", "UNION", "WHEN", "LIMIT", "DELETE",
+]
+
+# Clauses after which FROM opens a list of tables; elsewhere it belongs to a function or a comparison.
+BEFORE_FROM = ["SELECT", "DELETE", "SET"]
+
+# Words that may stand where a table name stands.
+NO_NAMES = ["LATERAL", "DIRECTORY", "LOCAL", "ONLY"]
+
+
+def _cte_names(position: Column, at) -> Column:
+    """Upper-case names of common table expressions: name, optional column list, AS, optional MATERIALIZED, bracket."""
+
+    def opens(i: Column) -> Column:
+        after, second, third = at(1)(i), at(2)(i), at(3)(i)
+        return (at(0)(i) == "AS") & (
+            (after == "(")
+            | ((after == "MATERIALIZED") & (second == "("))
+            | ((after == "NOT") & (second == "MATERIALIZED") & (third == "("))
+        )
+
+    def named(i: Column) -> Column:
+        bracket = F.array_max(F.filter(position, lambda j: (j < i) & (at(0)(j) == "(")))
+        return F.when(at(-1)(i) == ")", F.get(F.col("upper"), bracket - 1)).otherwise(at(-1)(i))
+
+    found = F.transform(F.filter(position, opens), named)
+    return F.when(F.array_contains("upper", "WITH"), found).otherwise(F.array().cast("array<string>"))
 
 
 def table_refs(sql_inputs: DataFrame) -> DataFrame:
@@ -194,34 +221,32 @@ def table_refs(sql_inputs: DataFrame) -> DataFrame:
         return lambda i: F.coalesce(F.get(F.col("upper"), i + offset), F.lit(""))
 
     position = F.sequence(F.lit(0), F.size("words") - 1)
-    # common table expressions: a name followed by AS and an opening parenthesis
-    ctes = F.when(
-        F.array_contains("upper", "WITH"),
-        F.transform(
-            F.filter(position, lambda i: (at(1)(i) == "AS") & (at(2)(i) == "(")), lambda i: F.get(F.col("upper"), i)
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    leads = F.get(F.col("upper"), F.lit(0))
 
     def role(i: Column) -> Column:
-        before, earlier = at(-1)(i), at(-2)(i)
+        here, before, earlier = at(0)(i), at(-1)(i), at(-2)(i)
         # IF EXISTS and IF NOT EXISTS may stand between the word and the name
         opened = F.when(before == "EXISTS", F.when(earlier == "NOT", at(-4)(i)).otherwise(at(-3)(i))).otherwise(before)
+        # UPDATE and DELETE write where they begin the statement, or follow its common table expressions
+        begins = (i == 1) | ((leads == "WITH") & (earlier == ")"))
         write = (
             (before == "INTO")
-            | ((before == "UPDATE") & (at(0)(i) != "SET"))
+            | ((before == "OVERWRITE") & (here != "TABLE"))
+            | ((before == "UPDATE") & begins)
+            | ((before == "DELETE") & begins & (here != "FROM"))
             | ((before == "FROM") & (earlier == "DELETE"))
-            | (opened.isin("TABLE", "VIEW") & (at(0)(i) != "IF"))
+            | (opened.isin("TABLE", "VIEW") & (here != "IF"))
         )
-        read = ((before == "FROM") & (earlier != "DELETE")) | before.isin("JOIN", "USING")
-        listed = (before == ",") & F.array_contains("commas", i - 1)
-        return F.when(write, "write").when(read | listed, "read")
+        read = ((before == "FROM") & F.array_contains("places.froms", i - 1)) | before.isin("JOIN", "USING")
+        listed = (before == ",") & F.array_contains("places.commas", i - 1)
+        return F.when(here.isin(NO_NAMES), F.lit(None)).when(write, "write").when(read | listed, "read")
 
     named = F.transform(
         F.filter(position, lambda i: at(-1)(i).isin(ANNOUNCING)),
         lambda i: F.struct(role(i).alias("role"), F.get(F.col("words"), i).alias("name")),
     )
     refs = F.array_distinct(F.filter(named, lambda r: r["role"].isNotNull() & is_word(r["name"])))
-    scanned = words.withColumn("commas", _listed_commas(F.col("upper"))).withColumn("ctes", ctes)
+    scanned = words.withColumn("places", _table_places(F.col("upper"))).withColumn("ctes", _cte_names(position, at))
     return (
         unfold(scanned, ["ord", "sql_id", "statement_no", "ctes"], refs, "r")
         .where((F.col("r.role") == "write") | ~F.array_contains("ctes", F.upper("r.name")))
@@ -229,28 +254,77 @@ def table_refs(sql_inputs: DataFrame) -> DataFrame:
     )
 
 
-def _listed_commas(words: Column) -> Column:
-    """Positions of the commas that separate tables of a FROM list.
+def _table_places(words: Column) -> Column:
+    """struct(froms, commas): positions of FROM words that open a list of tables and of the commas inside such lists.
 
     Folds over brackets, commas and clause words only, keeping the clause in force per bracket level.
     """
     marks = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
+        F.transform(
+            words,
+            lambda w, i: F.struct(w.alias("word"), i.alias("at"), F.coalesce(F.get(words, i - 1), F.lit("")).alias("before")),
+        ),
         lambda m: m["word"].isin("(", ")", ",", *CLAUSE_WORDS),
     )
-    start = F.struct(F.array(F.lit("")).alias("stack"), F.array().cast("array<int>").alias("commas"))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.array(F.lit("")).alias("stack"), none.alias("froms"), none.alias("commas"))
 
     def step(state: Column, mark: Column) -> Column:
         stack, word = state["stack"], mark["word"]
-        outer = F.slice(stack, 1, F.size(stack) - 1)
+        outer, force = F.slice(stack, 1, F.size(stack) - 1), F.element_at(stack, -1)
+        # a statement may begin with FROM; IS DISTINCT FROM compares
+        opens = (word == "FROM") & (force.isin(BEFORE_FROM) | ((force == "") & (mark["at"] == 0))) & (mark["before"] != "DISTINCT")
         after = (
             F.when(word == "(", F.array_append(stack, F.lit("")))
             .when((word == ")") & (F.size(stack) > 1), outer)
+            .when((word == "FROM") & ~opens, stack)
             .when(word.isin(CLAUSE_WORDS), F.array_append(outer, word))
             .otherwise(stack)
         )
-        listed = (word == ",") & (F.element_at(stack, -1) == "FROM")
-        commas = F.when(listed, F.array_append(state["commas"], mark["at"])).otherwise(state["commas"])
-        return F.struct(after.alias("stack"), commas.alias("commas"))
+        listed = (word == ",") & (force == "FROM")
+        return F.struct(
+            after.alias("stack"),
+            F.when(opens, F.array_append(state["froms"], mark["at"])).otherwise(state["froms"]).alias("froms"),
+            F.when(listed, F.array_append(state["commas"], mark["at"])).otherwise(state["commas"]).alias("commas"),
+        )
 
-    return F.aggregate(marks, start, step)["commas"]
+    found = F.aggregate(marks, start, step)
+    return F.struct(found["froms"].alias("froms"), found["commas"].alias("commas"))
+
+
+def extract_facts(sql_inputs: DataFrame) -> DataFrame:
+    """Facts of SQL texts: ``ord, sql_id, status, statement_types, read_tables, write_tables, columns``.
+
+    A blank text, or one without a statement, is PARSE_FAILED; a text with a statement of unknown kind is PARTIAL.
+    The lists hold distinct values by statement, then by name; a text's own statements meet in one group.
+    Lexical scans do not tell columns from aliases, so ``columns`` is empty.
+    """
+    kinds = statement_kinds(sql_inputs).select(
+        "ord", "sql_id", "statement_no", F.lit("kind").alias("role"), F.col("kind").alias("name")
+    )
+    parts = kinds.unionByName(table_refs(sql_inputs))
+
+    def listed(role: str) -> Column:
+        entries = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("statement_no", "name"))))
+        return F.array_distinct(F.transform(entries, lambda e: e["name"]))
+
+    lists = parts.groupBy("ord", "sql_id").agg(
+        listed("kind").alias("statement_types"), listed("read").alias("read_tables"), listed("write").alias("write_tables")
+    )
+    none = F.array().cast("array<string>")
+    same = lists.withColumnsRenamed({"ord": "_ord", "sql_id": "_sql_id"})
+    judged = triage(sql_inputs).join(
+        same, F.col("ord").eqNullSafe(F.col("_ord")) & F.col("sql_id").eqNullSafe(F.col("_sql_id")), "left"
+    )
+    status = (
+        F.when(F.col("status").isNotNull() | F.col("statement_types").isNull(), "PARSE_FAILED")
+        .when(F.array_contains("statement_types", "UNKNOWN"), "PARTIAL")
+        .otherwise("SUCCESS")
+    )
+    return judged.select(
+        "ord",
+        "sql_id",
+        status.alias("status"),
+        *[F.coalesce(c, none).alias(c) for c in ("statement_types", "read_tables", "write_tables")],
+        none.alias("columns"),
+    )

@@ -553,13 +553,64 @@ def statement_kinds(spark, sf_dir):
 @query(
     "table_refs",
     with_sql(v.JOBS_SQL)
-    + """, stmts AS (SELECT ord, name AS sql_id, unnest(range(len(output_tables)))::INTEGER AS statement_no,
-           unnest(output_tables) AS o, input_tables FROM jobs)
-         SELECT ord, sql_id, statement_no, 'write' AS role, o AS name FROM stmts
-         UNION ALL SELECT ord, sql_id, statement_no, 'read', unnest(input_tables) FROM stmts""",
+    + f""", stmts AS (SELECT ord, name AS sql_id, unnest(range(len(output_tables)))::INTEGER AS statement_no,
+           unnest(output_tables) AS o, input_tables FROM jobs),
+         odd(rule, role, name) AS (VALUES {', '.join(
+             f"({i}, '{role}', '{name}')" for i, (_, writes, reads) in enumerate(v.ODD_STATEMENTS)
+             for role, names_ in (("write", writes), ("read", reads)) for name in names_.split(",") if name)})
+         SELECT ord, sql_id, statement_no + 1 AS statement_no, 'write' AS role, o AS name FROM stmts
+         UNION ALL SELECT ord, sql_id, statement_no + 1, 'read', unnest(input_tables) FROM stmts
+         UNION ALL SELECT ord, jobs.name, 0, role, odd.name FROM jobs JOIN odd ON ord % {len(v.ODD_STATEMENTS)} = rule""",
 )
 def table_refs(spark, sf_dir):
-    return sqlcorpus.table_refs(v.sql_inputs(spark, sf_dir))
+    return sqlcorpus.table_refs(v.odd_inputs(spark, sf_dir))
+
+
+@query(
+    "text_facts",
+    with_sql(v.JOBS_SQL, v.TEXT_FACTS_SQL)
+    + """SELECT ord, sql_id, status, CASE status WHEN 'PARSE_FAILED' THEN '' WHEN 'PARTIAL' THEN kind || ',UNKNOWN' ELSE kind END AS kinds,
+           CASE WHEN status = 'PARSE_FAILED' THEN '' ELSE array_to_string(list_sort(list_distinct(reads)), ',') END AS reads,
+           CASE WHEN status = 'PARSE_FAILED' THEN '' ELSE array_to_string(writes, ',') END AS writes FROM texts""",
+)
+def text_facts(spark, sf_dir):
+    """Facts made from the texts themselves."""
+    facts = sqlcorpus.extract_facts(v.judged_inputs(spark, sf_dir))
+    return facts.select(
+        "ord", "sql_id", "status", _joined("statement_types").alias("kinds"), _joined("read_tables").alias("reads"),
+        _joined("write_tables").alias("writes"),
+    )
+
+
+@query(
+    "text_status_rollup",
+    with_sql(v.JOBS_SQL, v.TEXT_FACTS_SQL)
+    + """SELECT count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'PARTIAL') AS partial,
+         0::BIGINT AS unsupported, count(*) FILTER (status = 'PARSE_FAILED') AS failed FROM texts""",
+)
+def text_status_rollup(spark, sf_dir):
+    return sqlcorpus.status_rollup(sqlcorpus.extract_facts(v.judged_inputs(spark, sf_dir)))
+
+
+@query(
+    "text_profile",
+    with_sql(v.JOBS_SQL, v.TEXT_FACTS_SQL)
+    + """SELECT kind AS statement_type, status, count(*) AS statements FROM texts WHERE status <> 'PARSE_FAILED' GROUP BY ALL
+         UNION ALL SELECT 'UNKNOWN', status, count(*) FROM texts WHERE status = 'PARTIAL' GROUP BY ALL""",
+)
+def text_profile(spark, sf_dir):
+    return sqlcorpus.corpus_profile(sqlcorpus.extract_facts(v.judged_inputs(spark, sf_dir)))
+
+
+@query(
+    "text_edges",
+    with_sql(v.JOBS_SQL, v.TEXT_FACTS_SQL)
+    + """SELECT src, dst, count(DISTINCT sql_id) AS sql_count FROM (
+           SELECT sql_id, src, unnest(writes) AS dst FROM (SELECT sql_id, unnest(reads) AS src, writes FROM texts WHERE status <> 'PARSE_FAILED'))
+         WHERE lower(src) <> lower(dst) GROUP BY src, dst""",
+)
+def text_edges(spark, sf_dir):
+    return sqlcorpus.batch_edges(sqlcorpus.extract_facts(v.judged_inputs(spark, sf_dir)))
 
 
 @query(

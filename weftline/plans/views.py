@@ -197,6 +197,39 @@ def sql_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("ord", F.col("name").alias("sql_id"), "sql")
 
 
+# Statements in forms that announce no table, or an unusual one; with the writes and reads they hold.
+ODD_STATEMENTS = [
+    ("select extract(year from d), trim(both from x) from odd_a where a is distinct from b", "", "odd_a"),
+    ("with c(x, y) as (select a, b from odd_b), d as materialized (select 1 from odd_c) select * from c, d", "", "odd_b,odd_c"),
+    ("insert into odd_d values (1) on duplicate key update c = 2", "odd_d", ""),
+    ("insert overwrite odd_e select * from odd_f join lateral (select 1 from odd_g) s on true for update", "odd_e", "odd_f,odd_g"),
+    ("delete odd_h where k = 1", "odd_h", ""),
+    ("update odd_i set a = s.b from odd_j s where s.k = 1", "odd_i", "odd_j"),
+]
+
+
+def odd_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with one odd statement before every text."""
+    odd = F.get(F.array(*[F.lit(text) for text, _, _ in ODD_STATEMENTS]), (F.col("ord") % len(ODD_STATEMENTS)).cast("int"))
+    return sql_inputs(spark, sf_dir).withColumn("sql", F.concat_ws(";\n", odd, "sql"))
+
+
+def judged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with blank texts and texts that end in a statement of unknown kind."""
+    rule = F.col("ord") % 7
+    text = F.when(rule == 0, " ").when(rule == 1, F.concat_ws("; ", "sql", F.lit("vacuum x"))).otherwise(F.col("sql"))
+    return sql_inputs(spark, sf_dir).withColumn("sql", text)
+
+
+TEXT_FACTS_SQL = """
+texts AS (
+  SELECT ord, name AS sql_id, output_tables AS writes, input_tables AS reads,
+    CASE WHEN ord % 7 = 0 THEN 'PARSE_FAILED' WHEN ord % 7 = 1 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status,
+    CASE WHEN len(input_tables) > 0 THEN 'INSERT' ELSE 'CREATE_TABLE' END AS kind
+  FROM jobs
+)"""
+
+
 def sql_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the catalogue; the status comes from the order, other families succeed."""
     status = table(spark, sf_dir, "orders").select(
