@@ -80,11 +80,6 @@ def test_json_summary_states(spark):
     ]
 
 
-def test_brackets_in_strings_do_not_count(spark):
-    df = json_pairs(spark, ('{"a":"[[[[{{{{\\"[["}', '{"a":"]]"}'), ("[[[[[[[[[", "{}"))
-    assert jsonops._deepest(df, "a", "b") == 1
-
-
 def test_deep_documents_are_walked_to_the_end(spark):
     deep = "[" * 60 + "1" + "]" * 60
     df = json_pairs(spark, (deep, deep.replace("1", "2")))
@@ -142,8 +137,48 @@ def test_duplicate_documents(spark):
 def test_diff_plan_has_no_exchange(spark, tmp_path):
     json_pairs(spark, ("{}", "[]")).write.parquet(str(tmp_path / "p"))
     df = spark.read.parquet(str(tmp_path / "p"))
-    plan = jsonops.json_diff(df, ["key"], "a", "b", depth=3)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    plan = jsonops._descend(jsonops._compared(df, ["key"], "a", "b").withColumn("_pending", F.array().cast(jsonops.PENDING)))
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_with_variants_and_null_keys(spark):
+    def rows(*values):
+        return spark.createDataFrame(values, "k int, j string").select("k", F.parse_json("j").alias("v"))
+
+    left = rows((1, '{"a":{"b":{"c":[1,{"d":1}]}}}'), (None, "1"), (2, "{}"))
+    right = rows((1, '{"a":{"b":{"c":[1,{"d":2}]}}}'), (None, "2"), (3, "{}"))
+    got = {(r.k, r.type, r.path, r.old_value, r.new_value) for r in jsonops.table_json_diff(left, right, ["k"]).collect()}
+    assert got == {
+        (1, "VALUE_CHANGE", "$.v.a.b.c[1].d", "1", "2"), (None, "VALUE_CHANGE", "$.v", "1", "2"),
+        (2, "REMOVED", "$", '{"k":2,"v":{}}', None), (3, "ADDED", "$", None, '{"k":3,"v":{}}'),
+    }
+    with pytest.raises(ValueError):
+        jsonops.table_json_diff(left.unionByName(left), right, ["k"])
+
+
+def test_schema_goes_by_the_text(spark):
+    wide = "1" * 42
+    kinds, rows = schema(
+        spark,
+        '{"a.b":1,"a":{"c":2},"f":12345678901234567890.0,"w":' + wide + ',"e":1e3,"q\\"k":-5,"s":"\\u00017","t":"12"}',
+        '{"[]":[[2147483648]]}',
+        "[1]", "3", "{", None,
+    )
+    assert kinds == {
+        "$": "OBJECT", '$."a.b"': "INTEGER", "$.a": "OBJECT", "$.a.c": "INTEGER", "$.f": "BIG_DECIMAL", "$.w": "BIG_INTEGER",
+        "$.e": "BIG_DECIMAL", '$."q""k"': "INTEGER", "$.s": "STRING", "$.t": "STRING", '$."[]"': "LIST", '$."[]"[]': "LIST",
+        '$."[]"[][]': "LONG",
+    }
+    shape = jsonops.to_struct_type(rows)
+    assert shape["a.b"].dataType == T.IntegerType() and shape["a"].dataType == T.StructType([T.StructField("c", T.IntegerType())])
+    df = spark.createDataFrame([(x,) for x in ("{}", "[1]", "3", "{", None)], "j string")
+    assert jsonops.json_roots(df, "j").first()[:] == (1, 2, 2)
+
+
+def test_deep_schema(spark):
+    deep = '{"a":' * 30 + "1" + "}" * 30
+    kinds, _ = schema(spark, deep, "{}")
+    assert kinds["$" + ".a" * 30] == "INTEGER" and len(kinds) == 31
 
 
 def text_pairs(spark, pairs):
@@ -185,18 +220,19 @@ def test_hunks_turn_a_into_b(spark):
 
 
 def test_unified_text(spark):
-    df = text_pairs(spark, [("a\nb\nc\nd", "x\na\nc\nD"), ("a", "a")])
-    got = textdiff.unified_diff(textdiff.text_hunks(df, "id", "a", "b"), "id").collect()
+    df = text_pairs(spark, [("a\nb\nc\nd", "x\na\nc\nD"), ("a", "a"), ("", None)])
+    got = textdiff.unified_diff(df, textdiff.text_hunks(df, "id", "a", "b"), "id").orderBy("id").collect()
+    head = "--- original\n+++ revised"
     assert [r.unified for r in got] == [
-        "--- original\n+++ revised\n@@ -0,0 +1,1 @@\n+x\n@@ -2,1 +2,0 @@\n-b\n@@ -4,1 +4,1 @@\n-d\n+D"
+        head + "\n@@ -0,0 +1,1 @@\n+x\n@@ -2,1 +2,0 @@\n-b\n@@ -4,1 +4,1 @@\n-d\n+D", head, head
     ]
 
 
 def test_whitespace_option_and_delta(spark):
-    df = text_pairs(spark, [("a \n\tb", "a\nb"), ("x\nx\ny", "y\nx\nz")])
+    df = text_pairs(spark, [("a \n\tb", "a\nb"), ("x\nx\ny", "y\nx\nz"), ("", None)])
     assert textdiff.text_hunks(df.where("id = 0"), "id", "a", "b", ignore_whitespace=True).count() == 0
     assert textdiff.text_hunks(df.where("id = 0"), "id", "a", "b").count() == 1
-    assert [tuple(r) for r in textdiff.line_delta(df, "id", "a", "b").orderBy("id").collect()] == [(0, 2, 2), (1, 1, 1)]
+    assert [tuple(r) for r in textdiff.line_delta(df, "id", "a", "b").orderBy("id").collect()] == [(0, 2, 2), (1, 1, 1), (2, 0, 0)]
 
 
 def test_hunks_use_one_exchange(spark, tmp_path):

@@ -41,6 +41,39 @@ def number_kind(value: Column) -> Column:
     )
 
 
+# A number written as a string that begins with this mark keeps its text; strings that begin with it get one more.
+MARK = "\u0001"
+
+
+def marked_numbers(text: Column) -> Column:
+    """Valid JSON with every number turned into a marked string, since parsed numbers lose their spelling."""
+    parts = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]++|\\.)*+"|[^"]++)'), 1)
+
+    def marked(part: Column) -> Column:
+        string = F.regexp_replace(part, r'^"(\\u0001|\x01)', '"\\\\u0001$1')
+        return F.when(part.startswith('"'), string).otherwise(
+            F.regexp_replace(part, r"(-?\d[\d.eE+-]*+)", '"\\\\u0001$1"')
+        )
+
+    return F.array_join(F.transform(parts, marked), "")
+
+
+def marked_kind(value: Column) -> Column:
+    """Type of a node of a marked document; numbers give their width, by their own spelling."""
+    return let_kind(json_type(value), F.try_variant_get(value, "$", "string"))
+
+
+def let_kind(shape: Column, text: Column) -> Column:
+    number = F.substring(text, 2, F.length(text))
+    return (
+        F.when((shape != "STRING") | ~text.startswith(MARK) | text.startswith(MARK + MARK), shape)
+        .when(~number.rlike(r"^-?\d+$"), "BIG_DECIMAL")
+        .when(number.try_cast("int").isNotNull(), "INTEGER")
+        .when(number.try_cast("bigint").isNotNull(), "LONG")
+        .otherwise("BIG_INTEGER")
+    )
+
+
 def node_text(value: Column) -> Column:
     """Strings raw, JSON null as null, everything else as compact JSON with sorted keys."""
     return F.try_variant_get(value, "$", "string")
@@ -51,22 +84,6 @@ def field_text(value: Column, field: str) -> Column:
     return F.try_variant_get(value, f"$.{field}", "string")
 
 
-def nesting_depth(text: Column) -> Column:
-    """Deepest bracket level of a JSON text; brackets inside strings do not count."""
-    brackets = F.regexp_replace(
-        F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", ""
-    )
-    walk = F.aggregate(
-        F.filter(F.split(brackets, ""), lambda c: c != ""),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest")),
-        lambda s, c: F.struct(
-            (s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"),
-            F.greatest(s["deepest"], s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("deepest"),
-        ),
-    )
-    return walk["deepest"]
-
-
 def unwrap_text(body: Column) -> Column:
     """Undo string escaping; null where the text is not a valid string body."""
     return F.from_json(F.concat(F.lit('{"x":"'), body, F.lit('"}')), "x string")["x"]

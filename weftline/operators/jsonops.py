@@ -6,11 +6,13 @@ needs no shuffle at all.  The walk ends when the data ends, never at a fixed lev
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.jsontext import json_type, nesting_depth, node_text, number_kind, unwrap_text, wrap_text
+from weftline.functions.jsontext import json_type, marked_kind, marked_numbers, node_text, unwrap_text, wrap_text
 from weftline.functions.names import is_blank
 from weftline.functions.rows import unfold
 from weftline.runtime import materialize
@@ -19,14 +21,6 @@ from weftline.runtime import materialize
 PLAN_LEVELS = 4  # levels expanded in one plan before the pending nodes are written out
 
 
-def _deepest(df: DataFrame, *columns: str) -> int:
-    """Deepest nesting among the valid documents."""
-    per_column = [
-        F.when(F.try_parse_json(c).isNotNull(), nesting_depth(F.col(c))).otherwise(0) for c in columns
-    ]
-    return df.agg(F.max(F.greatest(*per_column, F.lit(0)))).first()[0] or 0
-
-
 def _as_map(value: Column) -> Column:
     return value.try_cast("map<string,variant>")
 
@@ -101,38 +95,33 @@ def _children(node: Column) -> Column:
     return F.when(node["kind_a"] == "OBJECT", by_key).otherwise(F.filter(items, _unequal))
 
 
-def _descend(df: DataFrame, levels: int, last: bool) -> DataFrame:
-    """Work off ``levels`` levels of ``_pending`` into ``differences``."""
-    for level in range(levels):
+def _descend(df: DataFrame) -> DataFrame:
+    """Work off PLAN_LEVELS levels of ``_pending`` into ``differences``."""
+    for _ in range(PLAN_LEVELS):
         df = df.withColumn("_pending", F.transform("_pending", _typed))
         found = F.transform(F.filter("_pending", lambda n: _change(n).isNotNull()), _difference)
         below = F.flatten(F.transform(F.filter("_pending", _same_container), _children))
-        df = df.withColumns(
-            {
-                "differences": F.concat("differences", found),
-                "_pending": F.array().cast(PENDING) if last and level + 1 == levels else below,
-            }
-        )
+        df = df.withColumns({"differences": F.concat("differences", found), "_pending": below})
     return df
 
 
-def _walk(df: DataFrame, levels: int | None) -> DataFrame:
+def _walk(df: DataFrame) -> DataFrame:
     """Turn the column ``_pending`` into the column ``differences``.
 
-    With a known number of levels up to PLAN_LEVELS this is one lazy plan.  Otherwise the rows, by then reduced
-    to their differences, are written every PLAN_LEVELS levels until no node is pending.
+    The rows are written every PLAN_LEVELS levels; only those with pending nodes are walked on, until none is left.
     """
+    done: DataFrame | None = None
     df = df.withColumn("differences", F.array().cast(FOUND))
-    if levels is not None and levels <= PLAN_LEVELS:
-        return _descend(df, levels, True).drop("_pending")
     while True:
-        df = materialize(_descend(df, PLAN_LEVELS, False), "json")
-        if df.where(F.size("_pending") > 0).isEmpty():
-            return df.drop("_pending")
+        df = materialize(_descend(df), "json")
+        ended = df.where(F.size("_pending") == 0).drop("_pending")
+        done = ended if done is None else done.unionByName(ended)
+        df = df.where(F.size("_pending") > 0)
+        if df.isEmpty():
+            return done
 
 
-def _compared(df: DataFrame, keys: list[str], a: str, b: str, depth: int | None) -> DataFrame:
-    levels = None if depth is None else depth + 1
+def _compared(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     left, right = F.try_parse_json(a), F.try_parse_json(b)
     start = F.when(
         F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.to_json("_a") != F.to_json("_b")),
@@ -144,124 +133,125 @@ def _compared(df: DataFrame, keys: list[str], a: str, b: str, depth: int | None)
         .otherwise("OK")
     )
     parsed = df.select(*keys, a, b, left.alias("_a"), right.alias("_b"))
-    return _walk(parsed.select(*keys, status.alias("status"), start.alias("_pending")), levels)
-
+    return _walk(parsed.select(*keys, status.alias("status"), start.alias("_pending")))
 
-def json_diff(df: DataFrame, keys: list[str], a: str, b: str, depth: int | None = None) -> DataFrame:
-    """(keys, type, path, old_value, new_value) of two JSON text columns.
 
-    ``depth`` is a bound on the nesting where the caller knows one; deeper differences are then not reported.
-    Without it the walk goes on until nothing is left.
-    """
-    rows = unfold(_compared(df, keys, a, b, depth), keys, "differences", "d")
+def json_diff(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, type, path, old_value, new_value) of two JSON text columns, at every depth."""
+    rows = unfold(_compared(df, keys, a, b), keys, "differences", "d")
     return rows.select(*keys, "d.type", "d.path", "d.old_value", "d.new_value")
 
 
-def json_diff_summary(df: DataFrame, keys: list[str], a: str, b: str, depth: int | None = None) -> DataFrame:
+def json_diff_summary(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, status, diff_count, identical); blank and invalid texts keep a row with null counts."""
     count = F.when(F.col("status") == "OK", F.size("differences").cast("bigint"))
-    return _compared(df, keys, a, b, depth).select(
+    return _compared(df, keys, a, b).select(
         *keys, "status", count.alias("diff_count"), (count == 0).alias("identical")
     )
 
 
+def _unique_keys(df: DataFrame, keys: list[str], side: str) -> None:
+    if not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        raise ValueError(f"the keys of the {side} table are not unique")
+
+
 def table_json_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Differences of two keyed tables: rows as JSON documents, unmatched keys are ADDED or REMOVED at ``$``."""
-    a = left.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_left"))
-    b = right.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_right"))
-    both = a.join(b, keys, "full_outer").where(~F.col("_left").eqNullSafe(F.col("_right")))
-    depth = 1 + max(_type_depth(left.schema), _type_depth(right.schema))
+    """Differences of two keyed tables: rows as JSON documents, unmatched keys are ADDED or REMOVED at ``$``.
+
+    Keys must be unique on either side; null keys meet each other.  Variant columns are walked like any other.
+    """
+    _unique_keys(left, keys, "left")
+    _unique_keys(right, keys, "right")
+    a = left.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_left"))
+    b = right.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_right"))
+    same = reduce(lambda x, y: x & y, [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys])
+    both = (
+        a.join(b, same, "full_outer")
+        .where(~F.col("_left").eqNullSafe(F.col("_right")))
+        .select(*[F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys], "_left", "_right")
+    )
     pending = F.array(
         F.struct(F.lit("$").alias("path"), F.parse_json("_left").alias("a"), F.parse_json("_right").alias("b"))
     )
-    rows = unfold(_walk(both.select(*keys, pending.alias("_pending")), depth), keys, "differences", "d")
+    rows = unfold(_walk(both.select(*keys, pending.alias("_pending"))), keys, "differences", "d")
     return rows.select(*keys, "d.type", "d.path", "d.old_value", "d.new_value")
 
 
-def _type_depth(data_type: T.DataType) -> int:
-    if isinstance(data_type, T.StructType):
-        return 1 + max([_type_depth(f.dataType) for f in data_type.fields], default=0)
-    if isinstance(data_type, T.ArrayType):
-        return 1 + _type_depth(data_type.elementType)
-    if isinstance(data_type, T.MapType):
-        return 1 + _type_depth(data_type.valueType)
-    return 0
-
-
-NODES = "array<struct<path:string,above:array<string>,v:variant>>"
-KINDS = "array<struct<path:string,above:array<string>,kind:string>>"
-
-
-def json_schema(df: DataFrame, column: str, depth: int | None = None) -> DataFrame:
-    """(path, kind, present_rows, nullable_rows): merged schema of a column of JSON objects.
-
-    Paths are ``$.key`` for fields and ``$.key[]`` for list items.  Rows are counted per occurrence of the path.
-    Below a path whose values mix shapes nothing is reported.
-    """
-    levels = (_deepest(df, column) if depth is None else depth) + 1
-    rows = (
-        df.select(F.try_parse_json(column).alias("v"))
-        .select(
-            F.array().cast(KINDS).alias("seen"),
-            F.when(
-                json_type(F.col("v")) == "OBJECT",
-                F.array(F.struct(F.lit("$").alias("path"), F.array().cast("array<string>").alias("above"), "v")),
-            )
-            .otherwise(F.array().cast(NODES))
-            .alias("todo"),
-        )
-    )
+NODES = "array<struct<steps:array<string>,v:variant>>"
+KINDS = "array<struct<steps:array<string>,kind:string>>"
+ITEM = "[]"  # step to the items of a list; the step to a field is a dot and its key
+SHAPES = ["OBJECT", "ARRAY", "STRING", "BOOLEAN", "INTEGER", "LONG", "BIG_INTEGER", "BIG_DECIMAL"]
 
-    def typed(node: Column) -> Column:
-        return F.struct(
-            node["path"].alias("path"), node["above"].alias("above"), node["v"].alias("v"), json_type(node["v"]).alias("shape")
-        )
 
-    def kind(node: Column) -> Column:
-        return F.struct(
-            node["path"].alias("path"),
-            node["above"].alias("above"),
-            F.when(node["shape"] == "NUMBER", number_kind(node["v"])).otherwise(node["shape"]).alias("kind"),
-        )
+def _deeper(rows: DataFrame) -> DataFrame:
+    """One level: the kinds of the nodes in ``todo`` go to ``seen``, their children become ``todo``."""
 
     def below(node: Column) -> Column:
-        trail = F.array_append(node["above"], node["path"])
         fields = F.transform(
             F.map_entries(_as_map(node["v"])),
-            lambda e: F.struct(
-                F.concat(node["path"], F.lit("."), e["key"]).alias("path"), trail.alias("above"), e["value"].alias("v")
-            ),
+            lambda e: F.struct(F.array_append(node["steps"], F.concat(F.lit("."), e["key"])).alias("steps"), e["value"].alias("v")),
         )
         items = F.transform(
-            _as_array(node["v"]),
-            lambda x: F.struct(F.concat(node["path"], F.lit("[]")).alias("path"), trail.alias("above"), x.alias("v")),
-        )
-        return F.when(node["shape"] == "OBJECT", fields).otherwise(items)
-
-    for level in range(levels):
-        if level and level % PLAN_LEVELS == 0:
-            rows = materialize(rows, "json")
-        rows = rows.withColumn("todo", F.transform("todo", typed))
-        containers = F.filter("todo", lambda n: n["shape"].isin("OBJECT", "ARRAY"))
-        rows = rows.withColumns(
-            {
-                "seen": F.concat("seen", F.transform("todo", kind)),
-                "todo": F.flatten(F.transform(containers, below)) if level + 1 < levels else F.array().cast(NODES),
-            }
+            _as_array(node["v"]), lambda x: F.struct(F.array_append(node["steps"], F.lit(ITEM)).alias("steps"), x.alias("v"))
         )
+        return F.when(json_type(node["v"]) == "OBJECT", fields).otherwise(items)
+
+    kinds = F.transform("todo", lambda n: F.struct(n["steps"].alias("steps"), marked_kind(n["v"]).alias("kind")))
+    containers = F.filter("todo", lambda n: json_type(n["v"]).isin("OBJECT", "ARRAY"))
+    return rows.withColumns({"seen": F.concat("seen", kinds), "todo": F.flatten(F.transform(containers, below))})
+
+
+def _written_path(steps: Column) -> Column:
+    """``$.key[].key``; a key that could be read as a path is quoted, its quotes doubled."""
+    plain = lambda s: s.rlike(r'^\.[^."\[\]]+$') | (s == ITEM)
+    quoted = lambda s: F.concat(F.lit('."'), F.replace(F.substring(s, F.lit(2), F.length(s)), F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat(F.lit("$"), F.array_join(F.transform(steps, lambda s: F.when(plain(s), s).otherwise(quoted(s))), ""))
+
+
+def json_roots(df: DataFrame, column: str) -> DataFrame:
+    """(object_rows, other_rows, invalid_rows): what ``json_schema`` reads, and what it leaves out."""
+    root = json_type(F.try_parse_json(column))
+    return df.select(root.alias("root")).agg(
+        F.count_if(F.col("root") == "OBJECT").alias("object_rows"),
+        F.count_if(F.col("root") != "OBJECT").alias("other_rows"),
+        F.count_if(F.col("root").isNull()).alias("invalid_rows"),
+    )
+
+
+def json_schema(df: DataFrame, column: str) -> DataFrame:
+    """(path, steps, kind, present_rows, nullable_rows): merged schema of a column of JSON objects.
 
-    flat = unfold(rows, [], "seen", "d").select("d.path", "d.above", "d.kind")
-    # counts and flags only: a hash aggregate that leaves one row per path and task before the exchange
-    has = {k: F.max(F.col("kind") == k) for k in
-           ["OBJECT", "ARRAY", "STRING", "BOOLEAN", "INTEGER", "LONG", "BIG_INTEGER", "BIG_DECIMAL"]}
-    trails = flat.groupBy("path", "above").agg(
-        F.count(F.lit(1)).alias("present_rows"),
-        F.count_if(F.col("kind") == "NULL").alias("nullable_rows"),
-        *[flag.alias(f"has_{k}") for k, flag in has.items()],
+    ``steps`` is the path as an array, which no key can imitate.  Rows are counted per occurrence of the path.
+    Number kinds go by the spelling in the text.  Below a path whose values mix shapes nothing is reported.
+    Documents that are no objects take no part; ``json_roots`` counts them.
+    """
+    rows = df.select(
+        F.when(F.try_parse_json(column).isNotNull(), F.try_parse_json(marked_numbers(F.col(column)))).alias("v")
+    ).select(
+        F.array().cast(KINDS).alias("seen"),
+        F.when(
+            json_type(F.col("v")) == "OBJECT", F.array(F.struct(F.array().cast("array<string>").alias("steps"), F.col("v").alias("v")))
+        )
+        .otherwise(F.array().cast(NODES))
+        .alias("todo"),
     )
-    # a key with a dot may spell the path of a nested field; such trails share one row
-    merged = trails.groupBy("path").agg(
-        F.flatten(F.collect_set("above")).alias("above"),
+    has = {k: F.max(F.col("kind") == k) for k in SHAPES}
+    counted: DataFrame | None = None
+    while True:
+        for _ in range(PLAN_LEVELS):
+            rows = _deeper(rows)
+        rows = materialize(rows, "json")
+        # counts and flags only: a hash aggregate that leaves one row per path and task before the exchange
+        part = unfold(rows, [], "seen", "d").select("d.steps", "d.kind").groupBy("steps").agg(
+            F.count(F.lit(1)).alias("present_rows"),
+            F.count_if(F.col("kind") == "NULL").alias("nullable_rows"),
+            *[flag.alias(f"has_{k}") for k, flag in has.items()],
+        )
+        counted = part if counted is None else counted.unionByName(part)
+        rows = rows.where(F.size("todo") > 0).withColumn("seen", F.array().cast(KINDS))
+        if rows.isEmpty():
+            break
+    merged = counted.groupBy("steps").agg(
         F.sum("present_rows").alias("present_rows"),
         F.sum("nullable_rows").alias("nullable_rows"),
         *[F.max(f"has_{k}").alias(f"has_{k}") for k in has],
@@ -279,17 +269,29 @@ def json_schema(df: DataFrame, column: str, depth: int | None = None) -> DataFra
         .when(F.col("has_LONG"), "LONG")
         .otherwise("INTEGER")
     )
-    kinds = merged.select("path", "above", verdict.alias("kind"), "present_rows", "nullable_rows")
-    closed = kinds.where("kind = 'UNKNOWN'").select(F.col("path").alias("_closed"))
-    hidden = (
-        kinds.select("path", F.explode("above").alias("_closed")).join(closed, "_closed", "left_semi").select("path").distinct()
+    kinds = materialize(merged.select("steps", verdict.alias("kind"), "present_rows", "nullable_rows"), "schema")
+    closed = kinds.where("kind = 'UNKNOWN'").select(F.col("steps").alias("_above"))
+    above = F.transform(F.sequence(F.lit(0), F.size("steps") - 1), lambda i: F.slice("steps", F.lit(1), i))
+    below_root = kinds.where(F.size("steps") > 0).select("steps", F.explode(above).alias("_above"))
+    hidden = below_root.join(closed, "_above", "left_semi").select("steps").distinct()
+    return kinds.join(hidden, "steps", "left_anti").select(
+        _written_path(F.col("steps")).alias("path"), "steps", "kind", "present_rows", "nullable_rows"
     )
-    return kinds.join(hidden, "path", "left_anti").select("path", "kind", "present_rows", "nullable_rows")
+
+
+LARGEST_SCHEMA = 100_000  # paths; a schema beyond that has keys that are data
 
 
 def to_struct_type(schema_rows: DataFrame) -> T.StructType:
-    """Spark schema from the rows of ``json_schema`` (one row per path, as large as the schema itself)."""
-    kinds = {r["path"]: r["kind"] for r in schema_rows.select("path", "kind").collect()}
+    """Spark schema from the rows of ``json_schema``; refused where keys are data and the schema grows with the rows."""
+    rows = schema_rows.select("steps", "kind").limit(LARGEST_SCHEMA + 1).collect()
+    if len(rows) > LARGEST_SCHEMA:
+        raise ValueError(f"more than {LARGEST_SCHEMA} paths: read such keys as a map")
+    kinds = {tuple(r["steps"]): r["kind"] for r in rows}
+    children: dict[tuple, list[str]] = {}
+    for steps in sorted(kinds):
+        if steps and steps[-1] != ITEM:
+            children.setdefault(steps[:-1], []).append(steps[-1])
     scalars = {
         "STRING": T.StringType(),
         "BOOLEAN": T.BooleanType(),
@@ -299,18 +301,15 @@ def to_struct_type(schema_rows: DataFrame) -> T.StructType:
         "BIG_DECIMAL": T.DecimalType(38, 18),
     }
 
-    def build(path: str) -> T.DataType:
-        kind = kinds.get(path, "UNKNOWN")
+    def build(steps: tuple) -> T.DataType:
+        kind = kinds.get(steps, "UNKNOWN")
         if kind == "LIST":
-            return T.ArrayType(build(path + "[]"))
+            return T.ArrayType(build((*steps, ITEM)))
         if kind == "OBJECT":
-            prefix = path + "."
-            names = sorted(p[len(prefix):] for p in kinds if p.startswith(prefix))
-            direct = [n for n in names if not any(o != n and (n.startswith(o + ".") or n.startswith(o + "[]")) for o in names)]
-            return T.StructType([T.StructField(n, build(prefix + n)) for n in direct])
+            return T.StructType([T.StructField(s[1:], build((*steps, s))) for s in children.get(steps, [])])
         return scalars.get(kind, T.VariantType())
 
-    return build("$")
+    return build(())
 
 
 def json_quality(df: DataFrame, column: str, group: str) -> DataFrame:
