@@ -199,11 +199,12 @@ def test_components_lose_no_link(spark, monkeypatch, hot):
     assert joined(docs) == want
 
 
-def test_opening_takes_all_members_in_the_end(spark, monkeypatch):
-    """Without leaders every class is alone, so the matrix has to find all links; with few members per round too."""
+def test_groups_are_opened_in_parts(spark, monkeypatch):
+    """Without leaders every class is alone, so the matrix has to find all links; small parts cut groups and queries."""
     rows = chain_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
-    monkeypatch.setattr(ngramjoin, "OPEN_MEMBERS", (1, None))
+    monkeypatch.setattr(ngramjoin, "GROUP_SETS", 3)
+    monkeypatch.setattr(ngramjoin, "QUERY_SETS", 2)
     assert joined(docs) == brute_components(rows)
     monkeypatch.setattr(ngramjoin, "_leaders", lambda c: c.selectExpr("row as a", "row as b").limit(0))
     assert joined(docs) == brute_components(rows)

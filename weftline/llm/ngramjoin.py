@@ -9,8 +9,9 @@ members compared exactly, on whole texts, until a link is found or none is left
 
 No pair can be missed.  A link needs an overlap that any order of the tokens shows in both prefixes.  The order used
 puts the tokens that many groups hold last; a set with enough other tokens in the matrix has its prefix there.  The
-remaining sets are joined among themselves on their rarest tokens in a second step.  Frequent tokens therefore never
-produce pairs, yet they count in the bound.
+remaining sets meet each other in a second matrix: each asks the groups of similar sets that share one of its rarest
+tokens, and an opened group compares it with all members inside one task.  Frequent tokens therefore never produce
+pairs, yet they count in the bound.
 
 Hashes have 64 bits per shingle and 128 per set.  A null or empty text, or one without words, has the empty set: no
 links.  Null and repeated ids are rows of their own; a component of rows without ids has a null id.
@@ -37,11 +38,15 @@ HOT_GROUPS = 64          # tokens of more groups than this come last in the orde
 BUCKET_TOKENS = 2_000_000
 CHUNK_REPEATS = 3        # a token of that many sets of one chunk is counted as a possible giant
 GIANT_TOKENS = 1_000_000  # possible giants above this many sets are kept out of the buckets, which must fit a task
-OPEN_MEMBERS = (8, 64, None)  # members of a group that the rounds of opening take, at the average; the last takes all
+MEMO_WORDS = 100_000      # word hashes that a comparing task keeps
+GROUP_SETS = 256         # sets of a group that is compared in one task, at most about
+QUERY_SETS = 1_024       # queries that one opening of a group takes at most
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LIMIT = np.uint64(int(SHARE * 2.0**64))
-_ODD = np.array([2 * i * 0x5851F42D4C957F2D % 2**64 | 1 for i in range(1, 9)], np.uint64)
+# A bucket needs four equal minhashes, so a passage that unlike sets share does not bring them together.
+BANDS, BAND_ROWS = 8, 4
+_ODD = np.array([2 * i * 0x5851F42D4C957F2D % 2**64 | 1 for i in range(1, BANDS * BAND_ROWS + 1)], np.uint64)
 
 
 class _Words(dict):
@@ -71,8 +76,13 @@ def shingle_set(text: str, memo: dict) -> np.ndarray:
 
 
 def _bands(tokens: np.ndarray) -> np.ndarray:
-    least = (tokens[None, :] * _ODD[:, None]).min(axis=1)
-    return _mixed(least[0::2] * _K + least[1::2] + np.arange(4, dtype=np.uint64)).view(np.int64)
+    """Hash of each band of minhashes; the permutations multiply by odd numbers after another mixing."""
+    mixed = _mixed(tokens)
+    band = np.arange(BANDS, dtype=np.uint64)
+    for row in range(BAND_ROWS):
+        least = np.array([_mixed(mixed * odd).min() for odd in _ODD[row::BAND_ROWS]], np.uint64)
+        band = band * _K + least
+    return _mixed(band).view(np.int64)
 
 
 _SETS = (
@@ -129,7 +139,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     @lru_cache(maxsize=64)
     def tokens(text: str) -> np.ndarray:
-        if len(memo) > 500_000:
+        if len(memo) > MEMO_WORDS:
             memo.clear()
         return shingle_set(text, memo)
 
@@ -145,7 +155,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, compared on their whole texts.  ``pairs`` is a written table."""
+    """The (a, b) of ``pairs`` that link, compared on their whole texts.  ``pairs`` comes from a written table."""
     involved = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(classes.select("row", "doc_id", "content"), "row"),
         "join-involved",
@@ -168,14 +178,19 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 
 def _leaders(classes: DataFrame) -> DataFrame:
-    """(a, b): every class with the least class of each of its minhash buckets, where their sizes allow a link."""
+    """(a, b): every class with the first and the last class of each of its minhash buckets, where sizes allow a link."""
     keyed = classes.select("row", "n", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min(F.struct("row", "n")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    heads = (
+        keyed.groupBy("band")
+        .agg(F.min(F.struct("row", "n")).alias("first"), F.max(F.struct("row", "n")).alias("last"))
+        .where("first.row <> last.row")
+    )
     return (
         keyed.join(heads, "band")
+        .select("row", "n", F.explode(F.array("first", "last")).alias("h"))
         .where(F.col("row") != F.col("h.row"))
         .where(_sizes_fit(F.col("n"), F.col("h.n")))
-        .select(F.col("h.row").alias("a"), F.col("row").alias("b"))
+        .select(F.least("row", "h.row").alias("a"), F.greatest("row", "h.row").alias("b"))
         .distinct()
     )
 
@@ -320,8 +335,50 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([chunk.column("row"), _lists(sets)], names=["row", "tokens"])
 
 
-def _short_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
-    """(a, b): pairs of groups of the sets in ``short`` that share one of each other's rarest tokens."""
+def _sized(rows: DataFrame, key: str, most: int, name: str) -> DataFrame:
+    """``rows`` with ``name``: an even split, by hash, of the rows of one ``key`` into parts of about ``most`` rows."""
+    counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("_parts"))
+    return rows.join(counts, key).withColumn(name, F.pmod(F.xxhash64("row", F.lit(3)), "_parts")).drop("_parts")
+
+
+def _compared(queries: pa.Table, members: pa.Table, mutual: bool) -> pa.Table:
+    """Opens one group for some queries: (a, b) of the links, one for each query and connected part of the members.
+
+    ``mutual``: the members ask the query's group as well, so one direction is enough.
+    """
+    rows, parts = queries.column("row").to_pylist(), queries.column("g").to_pylist()
+    sets = [np.asarray(t, np.int64) for t in queries.column("tokens").to_pylist()]
+    names = members.column("member").to_numpy()
+    held = [np.asarray(t, np.int64) for t in members.column("member_tokens").to_pylist()]
+    of, sizes = members.column("member_g").to_numpy(), np.array([len(t) for t in held], np.int64)
+    a: list[int] = []
+    b: list[int] = []
+    if rows and held:
+        # the column of the matrix: all tokens of the group, with the members that hold each
+        flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for row, part, tokens in zip(rows, parts, sets, strict=True):
+            low, high = np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
+            if 5 * int((high > low).sum()) < 4 * len(tokens):
+                continue  # the bound: the group's union lacks too many of the query's tokens
+            shared = np.bincount(owner[ranges(low, high - low)], minlength=len(held))
+            linked = (100 * shared >= 80 * (len(tokens) + sizes - shared)) & (of != part)
+            if mutual:
+                linked &= names > row
+            for member in names[np.flatnonzero(linked)[np.unique(of[linked], return_index=True)[1]]].tolist():
+                a.append(row)
+                b.append(member)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """(a, b): links among the sets in ``short`` (row, doc_id, content, n, g), at least one between any two of their g.
+
+    The sets with the same least hash are a group, split where it has more than GROUP_SETS.  A query meets the groups
+    that hold one of its rarest tokens among theirs; the group's union bounds the overlap, and only groups that pass
+    are opened, each query against all members at once.  Rows are queries and groups, never pairs of sets.
+    """
     texts = _texts(docs, short)
     tokens = materialize(texts.mapInArrow(_exploded, "row bigint, tokens array<bigint>"), "join-short")
     single = tokens.select("row", F.explode("tokens").alias("token"))
@@ -331,84 +388,86 @@ def _short_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
         single.join(rare, "token")
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-        .join(short, "row")
+        .join(short.select("row", "n", "g"), "row")
     )
     prefix = F.col("n") - F.ceil(4 * F.col("n") / 5) + 1
     left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("shared"))).cast("int")
-    entries = materialize(
-        kept.select("g", "n", F.explode(F.slice("shared", F.lit(1), left)).alias("s")).select("g", "n", F.col("s.token").alias("token")),
-        "join-entries",
-    )
-    other = entries.select("token", F.col("g").alias("h"), F.col("n").alias("m"))
-    return (
-        entries.join(other, "token")
-        .where("g < h")
-        .where(_sizes_fit(F.col("n"), F.col("m")))
-        .select(F.col("g").alias("a"), F.col("h").alias("b"))
+    # only sets that show a shared token take part
+    taking = kept.select("row", "g", F.slice("shared", F.lit(1), left)["token"].alias("prefix")).where(F.size("prefix") > 0)
+    sets = materialize(taking.join(tokens, "row").withColumn("least", F.array_min("tokens")), "join-short-taking")
+    grouped = materialize(_sized(sets.select("row", "least"), "least", GROUP_SETS, "piece"), "join-short-groups")
+    entries = sets.join(grouped.drop("least"), "row").select("row", "least", "piece", F.explode("prefix").alias("token"))
+    entries = materialize(entries, "join-entries")
+    matrix = entries.select("token", "least", "piece").distinct()
+    asked = (
+        entries.select("row", "token")
+        .join(matrix, "token")
+        .select("row", F.struct("least", "piece").alias("group"))
         .distinct()
     )
+    members = grouped.select("row", F.struct("least", "piece").alias("group"))
+    return _open(asked, members, sets.select("row", "g", "tokens"), mutual=True)
 
 
 # ---- opening pairs of groups
 
 
-def _opened(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """Links between members of the given pairs of groups: at least one for every pair that has one."""
-    found: DataFrame | None = None
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    # members come in an order by hash: layer j holds about one in 2^j of them
-    hashed = F.xxhash64(F.col("row"), F.lit(7))
-    layered = members.join(sizes, "g").select(
-        "g", "row", "n", "size", F.floor(-F.log2((F.pmod(hashed, F.lit(1 << 32)) + 1) / F.lit(float(1 << 32)))).alias("layer")
+def _open(asked: DataFrame, members: DataFrame, sets: DataFrame, mutual: bool) -> DataFrame:
+    """Links (a, b) of the queries ``asked`` (row, group) with ``members`` (row, group); ``sets`` has (row, g, tokens).
+
+    A task holds one group of at most about GROUP_SETS and QUERY_SETS of its queries; a group with more queries is
+    handed out again for every further part of them.
+    """
+    asked = materialize(_sized(asked, "group", QUERY_SETS, "chunk"), "join-asked")
+    parts = asked.groupBy("group").agg(F.max("chunk").alias("last"))
+    queries = asked.join(sets, "row").select("group", "chunk", "row", "g", "tokens")
+    held = (
+        members.join(parts, "group")
+        .select("row", "group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("chunk"))
+        .join(sets, "row")
+        .select("group", "chunk", F.col("row").alias("member"), F.col("g").alias("member_g"), F.col("tokens").alias("member_tokens"))
     )
-    before = None
-    for take in OPEN_MEMBERS:
-        if take is None:
-            chosen = layered
-        else:
-            chosen = layered.where(F.col("layer") >= F.floor(F.log2(F.greatest(F.lit(1.0), F.col("size") / F.lit(float(take))))))
-        left = chosen.select(F.col("g").alias("a"), F.col("row").alias("x"), F.col("n").alias("n_x"))
-        right = chosen.select(F.col("g").alias("b"), F.col("row").alias("y"), F.col("n").alias("n_y"))
-        tried = (
-            pairs.join(left, "a")
-            .join(right, "b")
-            .where(_sizes_fit(F.col("n_x"), F.col("n_y")))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        )
-        if before is not None:
-            tried = tried.join(before, ["a", "b"], "left_anti")
-        tried = materialize(tried, "join-tried")
-        before = tried if before is None else before.unionByName(tried)
-        if not tried.isEmpty():
-            links = _verified(docs, classes, tried)
-            found = links if found is None else found.unionByName(links)
-        if take is None:
-            break
-        # pairs that are connected by now need no more comparisons; pairs of small groups are compared in full
-        left_over = pairs.join(sizes.select(F.col("g").alias("a"), F.col("size").alias("s")), "a").join(
-            sizes.select(F.col("g").alias("b"), F.col("size").alias("t")), "b"
-        ).where(F.greatest("s", "t") > take).select("a", "b")
-        if left_over.isEmpty():
-            break
-        if found is not None:
-            of = members.select("row", "g")
-            joined = (
-                found.join(of.select(F.col("row").alias("a"), F.col("g").alias("ga")), "a")
-                .join(of.select(F.col("row").alias("b"), F.col("g").alias("gb")), "b")
-                .select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-            )
-            roots = _components(joined)
-            ra = roots.select(F.col("row").alias("a"), F.col("root").alias("ra"))
-            rb = roots.select(F.col("row").alias("b"), F.col("root").alias("rb"))
-            left_over = (
-                left_over.join(ra, "a", "left").join(rb, "b", "left")
-                .where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-                .select("a", "b")
-            )
-        pairs = materialize(left_over, "join-open")
-        if pairs.isEmpty():
-            break
-    return found
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _compared(left, right, mutual)
+
+    opened = queries.groupBy("group", "chunk").cogroup(held.groupBy("group", "chunk"))
+    return materialize(opened.applyInArrow(compare, "a bigint, b bigint"), "join-links")
+
+
+def _opened(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links between members of the given pairs of groups, at least one between any two connected parts.
+
+    Two single sets are compared as they are.  Otherwise the sets of the smaller group ask the larger one.
+    """
+    sizes = materialize(members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "join-sizes")
+    sized = (
+        pairs.join(sizes.select(F.col("g").alias("a"), F.col("size").alias("s")), "a", "left")
+        .join(sizes.select(F.col("g").alias("b"), F.col("size").alias("t")), "b", "left")
+        .select("a", "b", F.coalesce("s", F.lit(1)).alias("s"), F.coalesce("t", F.lit(1)).alias("t"))
+    )
+    sized = materialize(sized, "join-pairs")
+    single = _verified(docs, members, sized.where("s = 1 and t = 1"))  # a single set's group has its number
+    turned = F.col("s") > F.col("t")
+    asks = sized.where("s > 1 or t > 1").select(
+        F.when(turned, F.col("b")).otherwise(F.col("a")).alias("g"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("to")
+    )
+    large = materialize(
+        _sized(members.join(asks.select(F.col("to").alias("g")).distinct(), "g", "left_semi").select("row", "g"), "g", GROUP_SETS, "piece"),
+        "join-groups",
+    )
+    pieces = large.select(F.col("g").alias("to"), "piece").distinct()
+    asked = materialize(
+        asks.join(members.select("row", "g"), "g").join(pieces, "to").select("row", F.struct(F.col("to").alias("g"), "piece").alias("group")),
+        "join-asking",
+    )
+    involved = materialize(
+        members.join(asked.select("row").unionByName(large.select("row")).distinct(), "row", "left_semi").select("row", "doc_id", "content", "g"),
+        "join-involved",
+    )
+    tokens = _texts(docs, involved).mapInArrow(_exploded, "row bigint, tokens array<bigint>")
+    sets = materialize(tokens.join(involved.select("row", "g"), "row"), "join-opened-sets")
+    return single.unionByName(_open(asked, large.select("row", F.struct("g", "piece").alias("group")), sets, mutual=False))
 
 
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -455,11 +514,10 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         members.join(hot, "g", "left").where(F.col("w") - F.coalesce("hot", F.lit(0)) < needed).select("row", "doc_id", "content", "n", "g"),
         "join-short-sets",
     )
-    opened = materialize(qualifying.unionByName(_short_pairs(source, short)).distinct(), "join-qualifying")
-    more = _opened(source, slim, members, opened)
-
+    opened = materialize(qualifying, "join-qualifying")
     every = again.select(F.col("class").alias("a"), F.col("row").alias("b")).unionByName(links)
-    roots = materialize(_components(every if more is None else every.unionByName(more)), "join-roots")
+    every = every.unionByName(_opened(source, members, opened)).unionByName(_short_links(source, short))
+    roots = materialize(_components(every), "join-roots")
     placed = slim.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     return placed.join(first, "root").select(
