@@ -26,6 +26,7 @@ from weftline.runtime import materialize
 FEATURES = 1 << 16
 TRAINING_ROWS = 20_000   # bound on the labelled texts that the likelihoods are fitted on, drawn by hash
 MAX_LANGUAGES = 64       # the most frequent labels that become languages
+CHUNK_BYTES = 1 << 20    # text bytes whose trigrams are numbered at a time
 EVIDENCE = 40            # trigrams that a text counts as at most
 LEVEL_WEIGHT = 20.0      # rows' worth of the next wider level in the prior of a host, domain or suffix
 DECLARED_WEIGHT = 5.0
@@ -56,7 +57,7 @@ def _counted(languages: list[str]):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), FEATURES), np.int64)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
             found, sizes = trigrams(texts_of(chunk))
             label = np.array([place[l] for l in chunk.column("label").to_pylist()], np.int64)
             total += np.bincount(np.repeat(label, sizes) * FEATURES + found, minlength=total.size).reshape(total.shape)
@@ -97,7 +98,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextM
 def _scored(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likelihood = model.value.likelihood
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
             found, sizes = trigrams(texts_of(chunk))
             ends = np.cumsum(sizes)
             evidence = np.zeros((len(sizes), len(likelihood)))

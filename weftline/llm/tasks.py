@@ -19,7 +19,7 @@ ARROW_BATCH = {  # rows handed to Python at a time, bounded by number and by byt
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 BROADCAST_ROWS = 1_000_000  # lists of ids up to this many rows are broadcast, longer ones are shuffled
-CHUNK_BYTES = 4 << 20  # text bytes that one numpy pass holds at a time; a longer single text is one chunk
+CHUNK_BYTES = 2 << 20  # text bytes that one numpy pass holds at a time; a longer single text is one chunk
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -4,7 +4,7 @@ The digest of the normalised content and the digest of the tokenizer file are lo
 Of the contents without a count one row each is encoded, and the new counts are appended to the table.
 
 Null texts count as empty.  Any tables, empty ones too, repeated rows and null ids give one result row per input row.
-Texts are never cut: a chunk of rows holds about 4 MB, a longer text is a chunk of its own.
+Texts are never cut: a chunk of rows holds about 2 MB, a longer text is a chunk of its own.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ import numpy as np
 
 from weftline.llm.tasks import ranges
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
 
 class _Slots(dict):
