@@ -38,7 +38,7 @@ def test_type_mapping(spark):
     assert values(
         spark, names.kind_of, None, "", "java.lang.String", "LONGVARCHAR", "tinyint", "decimal ( 19 )", "number(5,-2)",
         "number(18,2)", "NUMBER", "timestamp(6)", "timestamp with time zone", "varbinary(3)", "raw(4)", "nclob", "enum",
-    ) == ["STRING", "STRING", "STRING", "STRING", "INTEGER", "BIG_INTEGER", "INTEGER", "BIG_DECIMAL", "BIG_DECIMAL",
+    ) == ["STRING", "STRING", "STRING", "STRING", "INTEGER", "BIG_INTEGER", "UNKNOWN", "BIG_DECIMAL", "BIG_DECIMAL",
           "LOCAL_DATE_TIME", "UNKNOWN", "BYTE_ARRAY", "BYTE_ARRAY", "STRING", "UNKNOWN"]
     pairs = spark.createDataFrame([(9, 0), (10, 0), (30, 0), (18, 2), (0, 0)], "p int, s int")
     got = [r[0] for r in pairs.select(names.numeric_kind(F.col("p"), F.col("s"))).collect()]

@@ -219,17 +219,23 @@ def table_relations(jobs: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 JOB_FIELDS = ["source", "description", "sql", "input_tables", "output_tables"]
 
 
-def edge_detail(jobs: DataFrame, src: str, dst: str, unique_names: bool = False) -> DataFrame:
+def edge_detail(
+    jobs: DataFrame, src: str, dst: str, links: DataFrame | None = None, unique_names: bool = False
+) -> DataFrame:
     """Jobs behind one edge with full records; a missing edge gives one row with edge_exists = false, weight 0.
 
     The jobs of an edge are the records that hold both names, so one filtered scan finds them.  Where names repeat,
-    all records of a name that makes the edge belong to it.
+    all records of a name that makes the edge belong to it.  ``links`` (src, dst, name) names the jobs of edges that
+    come from elsewhere; a name without a record then stands alone.
     """
     records = jobs.select("name", *JOB_FIELDS)
     real = F.lit(src.lower() != dst.lower())  # a table is no neighbour of itself
     rows = records.where(real & F.array_contains("input_tables", src) & F.array_contains("output_tables", dst))
     names = rows.select("name")
-    if not unique_names:
+    if links is not None:
+        names = links.where((F.col("src") == src) & (F.col("dst") == dst)).select("name").distinct()
+        rows = names.join(records, "name", "left")
+    elif not unique_names:
         names = names.distinct()
         rows = records.join(names.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name")), "left_semi")
     weight = names.agg(

@@ -11,7 +11,7 @@ from weftline.functions.jsontext import field_text, json_type, node_text
 from weftline.functions.names import clean_names, is_blank, parse_table_list
 from weftline.functions.rows import let
 from weftline.operators.graph import assert_unique_names
-from weftline.runtime import materialize, write_table
+from weftline.runtime import delete_path, materialize, write_table
 
 BOM = "﻿"
 POINTER = "CURRENT"
