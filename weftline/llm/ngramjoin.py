@@ -46,7 +46,7 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _LIMIT = np.uint64(int(SHARE * 2.0**64))
 # A bucket needs four equal minhashes, so a passage that unlike sets share does not bring them together.
 BANDS, BAND_ROWS = 8, 4
-_ODD = np.array([2 * i * 0x5851F42D4C957F2D % 2**64 | 1 for i in range(1, BANDS * BAND_ROWS + 1)], np.uint64)
+_ODD = np.array([pow(0x5851F42D4C957F2D, i, 2**64) | 1 for i in range(1, BANDS * BAND_ROWS + 1)], np.uint64)
 
 
 class _Words(dict):
@@ -75,13 +75,17 @@ def shingle_set(text: str, memo: dict) -> np.ndarray:
     return np.unique(_mixed(hashed))
 
 
-def _bands(tokens: np.ndarray) -> np.ndarray:
-    """Hash of each band of minhashes; the permutations multiply by odd numbers after another mixing."""
-    mixed = _mixed(tokens)
-    band = np.arange(BANDS, dtype=np.uint64)
-    for row in range(BAND_ROWS):
-        least = np.array([_mixed(mixed * odd).min() for odd in _ODD[row::BAND_ROWS]], np.uint64)
-        band = band * _K + least
+def _bands(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each band of minhashes, a row per set; ``tokens`` has the sets end to end, none of them empty.
+
+    The permutations multiply by odd numbers after another mixing.  They only decide which sets are compared first.
+    """
+    mixed, starts = _mixed(tokens), np.cumsum(sizes) - sizes
+    band = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sizes), 1))
+    if len(sizes):
+        for i, odd in enumerate(_ODD):
+            column = i // BAND_ROWS
+            band[:, column] = band[:, column] * _K + np.minimum.reduceat(mixed * odd, starts)
     return _mixed(band).view(np.int64)
 
 
@@ -105,15 +109,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = [s[: np.searchsorted(s, _LIMIT)].view(np.int64) for s in sets]
         tokens, found = np.unique(np.concatenate(low), return_counts=True)
         many = found >= CHUNK_REPEATS
+        full = np.array([len(s) for s in sets], np.int64)
+        bands = np.zeros((0, BANDS), np.int64)
+        if full.any():
+            bands = _bands(np.concatenate(sets), full[full > 0])
+        band_ends = np.concatenate([[0], np.cumsum(BANDS * (full > 0))]).astype(np.int32)
         often = [{"token": t, "sets": c} for t, c in zip(tokens[many].tolist(), found[many].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 chunk.column("doc_id"),
                 chunk.column("content"),
-                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(full),
                 pa.array([len(s) for s in low], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                _lists([_bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]),
+                pa.ListArray.from_arrays(pa.array(band_ends), pa.array(bands.ravel())),
                 _lists(low),
                 pa.array([often, *[[]] * (len(sets) - 1)], often_type),
             ],
