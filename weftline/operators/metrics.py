@@ -149,10 +149,14 @@ def metric_dimensions(items: DataFrame) -> DataFrame:
 def source_columns(items: DataFrame) -> DataFrame:
     """(sql_id, branch_no, item_no, column_name): names in the expression, without function names and keywords."""
     words = items.select("sql_id", "branch_no", "item_no", sql_tokens(F.col("expression")).alias("t"))
-    tagged = F.transform("t", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(F.col("t"), i + 1), F.lit("")).alias("n")))
+    return unfold(words, ["sql_id", "branch_no", "item_no"], _column_words("t"), "column_name")
+
+
+def _column_words(tokens: str) -> Column:
+    """Distinct names among the tokens of an expression, in order."""
+    tagged = F.transform(tokens, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(F.col(tokens), i + 1), F.lit("")).alias("n")))
     kept = F.filter(tagged, lambda p: is_word(p["w"]) & (p["n"] != "(") & ~F.upper(p["w"]).isin(KEYWORDS))
-    found = F.array_distinct(F.transform(kept, lambda p: p["w"]))
-    return unfold(words, ["sql_id", "branch_no", "item_no"], found, "column_name")
+    return F.array_distinct(F.transform(kept, lambda p: p["w"]))
 
 
 def metric_reasons() -> Column:
@@ -170,9 +174,13 @@ def metric_reasons() -> Column:
 
 
 def probe_metrics(items: DataFrame) -> DataFrame:
-    """One row per metric.  Row-local; dimensions and source columns stay in their own frames."""
+    """One row per metric, row-local: with its source columns and the GROUP BY parts as ``dimensions``.
+
+    ``metric_dimensions`` names the parts by the items that show them, which takes the other rows of the statement.
+    """
     return (
         metric_rows(items)
+        .withColumn("_t", sql_tokens(F.col("expression")))
         .select(
             "sql_id",
             "ord",
@@ -187,6 +195,8 @@ def probe_metrics(items: DataFrame) -> DataFrame:
             F.col("has_case").alias("is_conditional"),
             "is_window",
             "source_tables",
+            _column_words("_t").alias("source_columns"),
+            F.coalesce("group_by", F.array().cast("array<string>")).alias("dimensions"),
             "where_text",
             "having_text",
             metric_reasons().alias("reasons"),

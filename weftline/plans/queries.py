@@ -797,12 +797,16 @@ def metric_reasons(spark, sf_dir):
     "metric_catalogue",
     METRICS
     + """SELECT sql_id, ord, 2 AS item_no, name, expression, normalized_expression, type, aggregation, family = 2 AS is_distinct,
-           family = 6 AS is_conditional, family = 9 AS is_window, 'app.' || lower(p_type) AS source_tables FROM named""",
+           family = 6 AS is_conditional, family = 9 AS is_window, 'app.' || lower(p_type) AS source_tables,
+           CASE WHEN family IN (1, 5) THEN '' WHEN family = 3 THEN 't.' || b WHEN family = 0 AND NOT even THEN lower(b)
+             WHEN family = 6 THEN 's,' || b WHEN family = 9 THEN b || ',p_type' ELSE b END AS source_columns,
+           'DEPT_' || (p_size % 5) AS dimensions FROM named""",
 )
 def metric_catalogue(spark, sf_dir):
     return metrics.probe_metrics(v.metric_items(spark, sf_dir)).select(
         "sql_id", "ord", "item_no", "name", "expression", "normalized_expression", "type", "aggregation", "is_distinct",
         "is_conditional", "is_window", _joined("source_tables").alias("source_tables"),
+        _joined("source_columns").alias("source_columns"), _joined("dimensions").alias("dimensions"),
     )
 
 
