@@ -248,3 +248,29 @@ def test_refresh_stream(spark, tmp_path):
     assert drop("2.json", "[42]") == ["j1"]
     assert drop("3.json", json.dumps([job("j2", ["a"], ["b"]), job("j3", [], [])])) == ["j2", "j3"]
     assert drop("4.json", "[]") == []
+
+
+def test_dictionary_of_a_read_frame(spark):
+    df = spark.createDataFrame([], "`order id` bigint, order_id int, price decimal(12,2), big decimal(30,0), day date, at timestamp, raw binary, ok boolean, note string")
+    got = {r.source_name: (r.field_name, r.kind) for r in catalog.frame_dictionary(df, "t").collect()}
+    assert got == {
+        "order id": ("orderId", "LONG"), "order_id": ("orderId2", "INTEGER"), "price": ("price", "BIG_DECIMAL"), "big": ("big", "BIG_INTEGER"),
+        "day": ("day", "LOCAL_DATE"), "at": ("at", "LOCAL_DATE_TIME"), "raw": ("raw", "BYTE_ARRAY"), "ok": ("ok", "BOOLEAN"), "note": ("note", "STRING"),
+    }
+
+
+def test_suffixes_skip_names_that_are_taken(spark):
+    rows = [("t", i, n) for i, n in enumerate(["a", "a", "a2", "a", "b1", "b", "b", "b1"])] + [("u", 0, "a")]
+    df = spark.createDataFrame(rows, "k string, pos int, base string")
+    got = {(r.k, r.pos): r.field_name for r in catalog.unique_names(df, ["k"], "base", "pos").collect()}
+    assert got == {
+        ("t", 0): "a", ("t", 1): "a2", ("t", 2): "a22", ("t", 3): "a3", ("t", 4): "b1", ("t", 5): "b", ("t", 6): "b2",
+        ("t", 7): "b12", ("u", 0): "a",
+    }
+
+
+def test_a_dictionary_with_two_tables_is_refused(spark):
+    raw = spark.createDataFrame([("1",)], "x string")
+    dictionary = spark.createDataFrame([("x", "x", "LONG"), ("x", "x", "STRING")], "source_name string, field_name string, kind string")
+    with pytest.raises(ValueError):
+        catalog.apply_dictionary(raw, dictionary)

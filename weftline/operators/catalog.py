@@ -104,6 +104,13 @@ def columns_dictionary(columns: DataFrame) -> DataFrame:
     )
 
 
+def frame_dictionary(df: DataFrame, table_name: str) -> DataFrame:
+    """Dictionary of a read frame, such as the result of a JDBC query: one row per column of its schema."""
+    fields = [(table_name, i, f.name, f.dataType.simpleString(), f.metadata.get("comment")) for i, f in enumerate(df.schema.fields)]
+    columns = df.sparkSession.createDataFrame(fields, "table_name string, position int, name string, type string, comment string")
+    return columns_dictionary(columns)
+
+
 # Kind -> Spark type.
 KIND_TYPES = {
     "STRING": "string",
