@@ -384,9 +384,10 @@ def _compared(queries: pa.Table, members: pa.Table, mutual: bool) -> pa.Table:
 def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
     """(a, b): links among the sets in ``short`` (row, doc_id, content, n, g), at least one between any two of their g.
 
-    The sets with the same least hash are a group, split where it has more than GROUP_SETS.  A query meets the groups
-    that hold one of its rarest tokens among theirs; the group's union bounds the overlap, and only groups that pass
-    are opened, each query against all members at once.  Rows are queries and groups, never pairs of sets.
+    The sets with the same most frequent token are a family, split into groups where it has more than GROUP_SETS.  A
+    query meets the families that hold one of its rarest tokens among theirs; the union of each of their groups bounds
+    the overlap, and only groups that pass are opened, each query against all members at once.  Rows are queries and
+    groups, never pairs of sets.
     """
     texts = _texts(docs, short)
     tokens = materialize(texts.mapInArrow(_exploded, "row bigint, tokens array<bigint>"), "join-short")
@@ -402,19 +403,17 @@ def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
     prefix = F.col("n") - F.ceil(4 * F.col("n") / 5) + 1
     left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("shared"))).cast("int")
     # only sets that show a shared token take part
-    taking = kept.select("row", "g", F.slice("shared", F.lit(1), left)["token"].alias("prefix")).where(F.size("prefix") > 0)
-    sets = materialize(taking.join(tokens, "row").withColumn("least", F.array_min("tokens")), "join-short-taking")
-    grouped = materialize(_sized(sets.select("row", "least"), "least", GROUP_SETS, "piece"), "join-short-groups")
-    entries = sets.join(grouped.drop("least"), "row").select("row", "least", "piece", F.explode("prefix").alias("token"))
-    entries = materialize(entries, "join-entries")
-    matrix = entries.select("token", "least", "piece").distinct()
-    asked = (
-        entries.select("row", "token")
-        .join(matrix, "token")
-        .select("row", F.struct("least", "piece").alias("group"))
-        .distinct()
-    )
-    members = grouped.select("row", F.struct("least", "piece").alias("group"))
+    taking = kept.select(
+        "row", "g", F.element_at("shared", -1)["token"].alias("key"), F.slice("shared", F.lit(1), left)["token"].alias("prefix")
+    ).where(F.size("prefix") > 0)
+    sets = materialize(taking.join(tokens, "row"), "join-short-taking")
+    grouped = materialize(_sized(sets.select("row", "key"), "key", GROUP_SETS, "piece"), "join-short-groups")
+    entries = materialize(sets.select("row", "key", F.explode("prefix").alias("token")), "join-entries")
+    matrix = entries.select("token", "key").distinct()
+    asked = entries.select("row", "token").join(matrix, "token").select("row", "key").distinct()
+    pieces = grouped.select("key", "piece").distinct()
+    asked = asked.join(pieces, "key").select("row", F.struct("key", "piece").alias("group"))
+    members = grouped.select("row", F.struct("key", "piece").alias("group"))
     return _open(asked, members, sets.select("row", "g", "tokens"), mutual=True)
 
 
