@@ -108,6 +108,33 @@ def test_language_query_and_page_text(spark, small_dir):
     assert row[1][0] == "" and row[1][1] == ""
 
 
+FINNISH = (
+    "Tämä on suomenkielinen teksti, jossa kerrotaan säästä ja ihmisistä, jotka asuvat maalla. Aamulla satoi vettä, mutta "
+    "iltapäivällä aurinko paistoi ja lapset leikkivät pihalla. Myöhemmin perhe söi keittoa ja luki kirjoja takan ääressä."
+)
+
+
+def test_texts_of_no_label_are_not_kept(spark, model, small_dir):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    texts = [FINNISH, "Это обычный русский текст о погоде и людях, которые живут в деревне.", "这是一个中文文本，讲述天气和人们的生活。"]
+    texts += [" ".join(word() for _ in range(40)) for _ in range(30)]
+    got = judge(pages_of(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), model)
+    assert not [i for i, r in got.items() if r["kept"]]
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    named = langid.train(docs.where("lang <> 'es'"))
+    judged = langid.identify(docs, named, "doc_id", "text", F.lit(None).cast("string"), F.lit(None).cast("string")).join(docs, "doc_id")
+    share = {r[0]: r[1] for r in judged.groupBy(docs["lang"]).agg(F.avg(F.col("kept").cast("int"))).collect()}
+    assert share["es"] < 0.05 and min(share[l] for l in named.languages) > 0.9
+
+
+def test_unseen_trigrams_favour_no_label(spark):
+    rows = [(i, "one two three four five six", "en") for i in range(50)] + [(99, "uno dos tres", "es")]
+    learned = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    found, _ = langid.trigrams(["qzx"])
+    assert learned.likelihood[0][found].tolist() == learned.likelihood[1][found].tolist()
+
+
 def test_keep_identified_keeps_columns(edge):
     left = langid.keep_identified(edge)
     assert left.columns == edge.columns

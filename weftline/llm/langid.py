@@ -6,6 +6,11 @@ with the likelihood of the declared language and with a prior of the host.  Host
 posteriors, smoothed along host, domain, address suffix and all rows; every level is one grouped aggregation, and a
 row's own count is left out of its prior.
 
+The posterior knows the labels only, so a text of none of them is told by its mean log likelihood under the language
+found: below that language's floor the row is not kept, however sure the posterior is.  Floors are learned from the
+labelled texts, each judged without its own trigrams.  A trigram that a language has not shown costs the same under
+every language, so it favours none.
+
 Null and empty texts, and texts without letters, give no text evidence: declaration and host decide, or nothing, and
 the row is not kept.  Unknown declarations and missing hosts are neutral.  Ties go to the first language by name.
 """
@@ -31,6 +36,7 @@ EVIDENCE = 40            # trigrams that a text counts as at most
 LEVEL_WEIGHT = 20.0      # rows' worth of the next wider level in the prior of a host, domain or suffix
 DECLARED_WEIGHT = 5.0
 MIN_CONFIDENCE = 0.65
+FLOOR_SHARE = 0.05       # of a label's own texts at most so many lie below its floor
 
 # Letters of texts in lower case; everything else in ASCII separates words.
 _FOLD = np.full(256, 32, np.uint32)
@@ -73,6 +79,35 @@ def _counted(languages: list[str]):
 class TextModel:
     languages: tuple[str, ...]
     likelihood: np.ndarray  # log P(trigram | language)
+    floors: tuple[float, ...]  # per language the least mean log likelihood of a text of it
+
+
+def _left_out(languages: list[str], table: np.ndarray, unseen: float):
+    """Mean log likelihood of every labelled text under its label, with the text's own trigrams taken out."""
+    place = {l: i for i, l in enumerate(languages)}
+    totals = table.sum(axis=1)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
+            found, sizes = trigrams(texts_of(chunk))
+            labels = chunk.column("label").to_pylist()
+            means = []
+            for label, own in zip(labels, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+                _, back, n = np.unique(own, return_inverse=True, return_counts=True)
+                others = table[place[label]][own] - n[back]
+                logs = np.where(others > 0.5, np.log(others / (totals[place[label]] - len(own))), unseen)
+                means.append(logs.mean() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(means, pa.float64())], names=["label", "mean"])
+
+    return left_out
+
+
+def _floors(means: DataFrame, languages: list[str]) -> tuple[float, ...]:
+    """Half-way from the median of a label's texts to a blind guess, but not above the lowest FLOOR_SHARE of them."""
+    marks = means.where("mean is not null").groupBy("label").agg(F.percentile_approx("mean", [FLOOR_SHARE, 0.5]).alias("q"))
+    found = {r["label"]: r["q"] for r in marks.collect()}  # one row per language
+    blind = -float(np.log(FEATURES))
+    return tuple(min(found[l][0], (found[l][1] + blind) / 2) if l in found else blind for l in languages)
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextModel:
@@ -92,7 +127,11 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextM
         counts = drawn.mapInArrow(_counted(languages), "language bigint, feature bigint, n bigint").groupBy("language", "feature").agg(F.sum("n"))
         for language, feature, n in counts.collect():  # at most languages x FEATURES rows
             table[language, feature] += n
-    return TextModel(tuple(languages), np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    totals = table.sum(axis=1, keepdims=True)
+    unseen = float(np.log(0.5 / totals.max()))
+    likelihood = np.where(table > 0.5, np.log(table / totals), unseen).astype(np.float32)
+    floors = _floors(drawn.mapInArrow(_left_out(languages, table, unseen), "label string, mean double"), languages) if languages else ()
+    return TextModel(tuple(languages), likelihood, floors)
 
 
 def _scored(model):
@@ -138,6 +177,7 @@ def identify(
     """(key, content, lang, confidence, text_lang, declared, host, kept) for every row.
 
     ``content`` is a hash of the text.  ``declared`` may be a full tag (``en-GB``); its first part counts.
+    ``lang`` is the likeliest of the model's languages also where the text fits none of them; ``kept`` is false there.
     """
     spark = ship(rows.sparkSession)
     languages = model.languages
@@ -203,6 +243,9 @@ def identify(
         F.zip_with("evidence", "_prior", lambda e, q: e + F.log(q)), F.col("_said"), lambda e, d: e + F.log(d)
     )
     fused = full.withColumn("posterior", _posterior(logs))
+    at = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    mean = F.element_at("evidence", at) / F.least("n_trigrams", F.lit(EVIDENCE))
+    fits = (F.col("n_trigrams") > 0) & (mean >= F.element_at(F.array(*[F.lit(f) for f in model.floors]), at))
     return fused.select(
         F.col("key").alias(key),
         "content",
@@ -211,7 +254,7 @@ def identify(
         F.when(F.col("n_trigrams") > 0, _best(F.col("p"), languages)).alias("text_lang"),
         "declared",
         "host",
-        ((F.col("n_trigrams") > 0) & (F.array_max("posterior") >= MIN_CONFIDENCE)).alias("kept"),
+        (fits & (F.array_max("posterior") >= MIN_CONFIDENCE)).alias("kept"),
     )
 
 
