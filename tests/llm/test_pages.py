@@ -135,6 +135,20 @@ def test_unseen_trigrams_favour_no_label(spark):
     assert learned.likelihood[0][found].tolist() == learned.likelihood[1][found].tolist()
 
 
+def test_every_label_becomes_a_language(spark):
+    rng = random.Random(6)
+    names, rows = [a + b for a in "abcdefghij" for b in "klmnopq"], []
+    for name in names:
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(12)]
+        n = 3 if name == names[-1] else 6
+        rows += [(len(rows) + k, " ".join(rng.choices(own, k=30)), name + ["", "-GB", "_us"][k % 3]) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = langid.train(docs)
+    assert learned.languages == tuple(sorted(names))
+    judged = langid.identify(docs, learned, "doc_id", "text", F.lit(None).cast("string"), F.lit(None).cast("string"))
+    assert {r["doc_id"]: r["lang"] for r in judged.collect()} == {r[0]: r[2][:2] for r in rows}
+
+
 def test_keep_identified_keeps_columns(edge):
     left = langid.keep_identified(edge)
     assert left.columns == edge.columns

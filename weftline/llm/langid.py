@@ -29,8 +29,9 @@ from weftline.llm.tasks import chunks, ship, texts_of, without_rows
 from weftline.runtime import materialize
 
 FEATURES = 1 << 16
-TRAINING_ROWS = 20_000   # bound on the labelled texts that the likelihoods are fitted on, drawn by hash
-MAX_LANGUAGES = 64       # the most frequent labels that become languages
+TRAINING_ROWS = 20_000   # bound on the labelled texts that the likelihoods are fitted on, drawn by hash and alike per label
+SCORES = 1 << 22         # scores (texts x languages) that a task holds at a time
+LABEL_ROWS = 200         # texts of a label that are drawn in any case, however many labels there are
 CHUNK_BYTES = 1 << 20    # text bytes whose trigrams are numbered at a time
 EVIDENCE = 40            # trigrams that a text counts as at most
 LEVEL_WEIGHT = 20.0      # rows' worth of the next wider level in the prior of a host, domain or suffix
@@ -62,41 +63,58 @@ def _counted(languages: list[str]):
     place = {l: i for i, l in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), FEATURES), np.int64)
         for chunk in chunks(batches, limit=CHUNK_BYTES):
             found, sizes = trigrams(texts_of(chunk))
             label = np.array([place[l] for l in chunk.column("label").to_pylist()], np.int64)
-            total += np.bincount(np.repeat(label, sizes) * FEATURES + found, minlength=total.size).reshape(total.shape)
-        language, feature = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(language), pa.array(feature), pa.array(total[language, feature])], names=["language", "feature", "n"]
-        )
+            spot, n = np.unique(np.repeat(label, sizes) * FEATURES + found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(n.astype(np.int64))], names=["spot", "n"])
 
     return count
 
 
+@dataclass(frozen=True, eq=False)
+class Rows:
+    """One dense row of FEATURES per language, held as its filled places only."""
+
+    starts: np.ndarray
+    features: np.ndarray
+    values: np.ndarray
+    empty: float
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        row = np.full(FEATURES, self.empty, self.values.dtype)
+        row[self.features[self.starts[i] : self.starts[i + 1]]] = self.values[self.starts[i] : self.starts[i + 1]]
+        return row
+
+
 @dataclass(frozen=True)
 class TextModel:
     languages: tuple[str, ...]
-    likelihood: np.ndarray  # log P(trigram | language)
+    likelihood: Rows  # log P(trigram | language)
     floors: tuple[float, ...]  # per language the least mean log likelihood of a text of it
 
 
-def _left_out(languages: list[str], table: np.ndarray, unseen: float):
+def _left_out(languages: list[str], model):
     """Mean log likelihood of every labelled text under its label, with the text's own trigrams taken out."""
     place = {l: i for i, l in enumerate(languages)}
-    totals = table.sum(axis=1)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, totals, unseen = model.value
         for chunk in chunks(batches, limit=CHUNK_BYTES):
             found, sizes = trigrams(texts_of(chunk))
             labels = chunk.column("label").to_pylist()
-            means = []
-            for label, own in zip(labels, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
-                _, back, n = np.unique(own, return_inverse=True, return_counts=True)
-                others = table[place[label]][own] - n[back]
-                logs = np.where(others > 0.5, np.log(others / (totals[place[label]] - len(own))), unseen)
-                means.append(logs.mean() if len(own) else None)
+            texts = np.split(found, np.cumsum(sizes)[:-1])
+            means = [None] * len(labels)
+            for label in set(labels):
+                of_label, total = counts[place[label]], totals[place[label]]
+                for i, own in enumerate(texts):
+                    if labels[i] == label and len(own):
+                        _, back, n = np.unique(own, return_inverse=True, return_counts=True)
+                        others = of_label[own] - n[back]
+                        means[i] = float(np.where(others > 0, np.log((others + 0.5) / (total - len(own))), unseen).mean())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(means, pa.float64())], names=["label", "mean"])
 
     return left_out
@@ -110,39 +128,68 @@ def _floors(means: DataFrame, languages: list[str]) -> tuple[float, ...]:
     return tuple(min(found[l][0], (found[l][1] + blind) / 2) if l in found else blind for l in languages)
 
 
+def primary(label: Column) -> Column:
+    """First part of a language tag in lower case; null where there is none."""
+    part = F.lower(F.regexp_extract(F.coalesce(label.cast("string"), F.lit("")), r"^\s*([^\s_-]+)", 1))
+    return F.when(part != "", part)
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextModel:
-    """Trigram likelihoods of the labels, from at most about TRAINING_ROWS rows with text and label."""
-    ship(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).cast("string").alias("text"), F.col(label).alias("label")
+    """Trigram likelihoods of all labels, from at most about TRAINING_ROWS rows with text and label.
+
+    Rare labels are drawn whole, frequent ones alike; where labels are many, LABEL_ROWS of each are drawn all the same.
+    """
+    spark = ship(labelled.sparkSession)
+    rows = labelled.select(F.col(text).cast("string").alias("text"), primary(F.col(label)).alias("label")).where(
+        "label is not null and text is not null"
     )
-    frequent = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["label"] for r in frequent)
-    share = min(1.0, TRAINING_ROWS / max(1, sum(r["n"] for r in frequent)))
-    drawn = rows.where(F.col("label").isin(languages)).where(
-        F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
+    given = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
+    languages = sorted(given)
+    if not languages:
+        return TextModel((), Rows(np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32), 0.0), ())
+    each = _each(list(given.values()))
+    wanted = spark.createDataFrame([(l, int(min(1.0, each / n) * 1_000_000)) for l, n in given.items()], "label string, _limit int")
+    drawn = materialize(
+        rows.join(F.broadcast(wanted), "label")  # one row per label
+        .where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("_limit"))
+        .select("text", "label"),
+        "language-texts",
     )
-    table = np.full((max(1, len(languages)), FEATURES), 0.5)
-    if languages:
-        counts = drawn.mapInArrow(_counted(languages), "language bigint, feature bigint, n bigint").groupBy("language", "feature").agg(F.sum("n"))
-        for language, feature, n in counts.collect():  # at most languages x FEATURES rows
-            table[language, feature] += n
-    totals = table.sum(axis=1, keepdims=True)
+    counted = drawn.mapInArrow(_counted(languages), "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
+    spots, n = counted["spot"].to_numpy(), counted["n"].to_numpy()  # trigrams that the labels show in the drawn texts
+    order = np.argsort(spots)
+    spots, n = spots[order], n[order]
+    starts = np.searchsorted(spots, np.arange(len(languages) + 1) * FEATURES)
+    features = (spots % FEATURES).astype(np.uint16)
+    totals = np.add.reduceat(np.append(n, 0), starts[:-1]) * (np.diff(starts) > 0) + 0.5 * FEATURES
     unseen = float(np.log(0.5 / totals.max()))
-    likelihood = np.where(table > 0.5, np.log(table / totals), unseen).astype(np.float32)
-    floors = _floors(drawn.mapInArrow(_left_out(languages, table, unseen), "label string, mean double"), languages) if languages else ()
-    return TextModel(tuple(languages), likelihood, floors)
+    values = np.log((n + 0.5) / np.repeat(totals, np.diff(starts))).astype(np.float32)
+    counts = spark.sparkContext.broadcast((Rows(starts, features, n, 0), totals, unseen))
+    floors = _floors(drawn.mapInArrow(_left_out(languages, counts), "label string, mean double"), languages)
+    return TextModel(tuple(languages), Rows(starts, features, values, unseen), floors)
+
+
+def _each(numbers: list[int]) -> float:
+    """Texts to draw of every label that has more, so that TRAINING_ROWS are drawn in all."""
+    left, each = TRAINING_ROWS, 0.0
+    for i, n in enumerate(sorted(numbers)):
+        each = left / (len(numbers) - i)
+        if n > each:
+            break
+        left, each = left - n, float(n)
+    return max(each, LABEL_ROWS)
 
 
 def _scored(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likelihood = model.value.likelihood
-        for chunk in chunks(batches, limit=CHUNK_BYTES):
+        most = max(1, SCORES // len(likelihood))
+        for chunk in (c.slice(at, most) for c in chunks(batches, limit=CHUNK_BYTES) for at in range(0, c.num_rows, most)):
             found, sizes = trigrams(texts_of(chunk))
             ends = np.cumsum(sizes)
             evidence = np.zeros((len(sizes), len(likelihood)))
-            for i, of_language in enumerate(likelihood):
-                upto = np.concatenate([[0.0], np.cumsum(of_language[found], dtype=np.float64)])
+            for i in range(len(likelihood)):
+                upto = np.concatenate([[0.0], np.cumsum(likelihood[i][found], dtype=np.float64)])
                 evidence[:, i] = (upto[ends] - upto[ends - sizes]) / np.maximum(sizes, 1) * np.minimum(sizes, EVIDENCE)
             names = [*chunk.schema.names[:-1], "n_trigrams", "evidence"]
             offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * evidence.shape[1])
