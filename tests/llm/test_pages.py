@@ -193,6 +193,37 @@ def test_nested_quotes(spark):
     assert [t for _, t in order] == [0, 1, 3, 5, 6, 2, 4] and [p for p, _ in order] == list(range(7))
 
 
+def test_trimmed_quotes(spark):
+    first = "The alpha line comes first\nthen the beta line follows\nand gamma closes. A last sentence here!\n\nA second paragraph\nwith its end"
+    rows = [
+        (0, first, None),
+        (1, "ok\nA shared line of some length", None),
+        (2, "> then the beta line follows\none line", 0),
+        (3, "> then the beta line follows\n> and gamma closes. A last sentence here!\nhead left out", 0),
+        (4, "> The alpha line  COMES first\n> then the beta line follows\ntail left out", 0),
+        (5, "> then the beta line follows\n> with its end\ntwo paragraphs", 0),
+        (6, "> A last sentence here!\na sentence", 0),
+        (7, "> The alpha line comes first\n> [...]\n> and gamma closes. A last sentence here!\nmiddle left out", 0),
+        (8, "> A last\n> sentence here!\nwrapped anew", 0),
+        (9, "> then the beta line follows\n> nobody wrote this\nnot a quote", None),
+        (10, "A shared line of some length\nand a short one", None),
+        (11, "x\nA shared line of some length\nand a short one\ny", None),
+        (12, "> ok\n> and a short one\nmost of it", 10),
+        (13, "> with its end of\nhalf a line more", None),
+        (14, "> never\n> before\nlater", None),
+        (15, "x\nnever\ny\n\nbefore", None),
+    ]
+    messages = messages_of(spark, [(1, i, "user", t, "x") for i, t, _ in rows] + [(2, 0, "user", "> then the beta line follows\nz", "x")])
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quotes.linked_conversations(messages).collect()}
+    assert got == {(1, i): w for i, _, w in rows} | {(2, 0): None}
+
+
+def test_trimmed_quote_goes_to_the_message_that_holds_most(spark):
+    texts = ["a long line that was said twice\nx", "y\na long line that was said twice\nshort\nz", "> a long line that was said twice\n> short\nre"]
+    got = quotes.linked_conversations(messages_of(spark, [(1, i, "user", t, "x") for i, t in enumerate(texts)])).collect()
+    assert [r["reply_to"] for r in got if r["turn"] == 2] == [1]
+
+
 def test_repeated_messages_and_empty_table(spark):
     rows = [(1, 0, "user", "same", "x")] * 3 + [(1, 1, "user", "> same\nyes", "x")]
     got = quotes.linked_conversations(messages_of(spark, rows)).collect()
