@@ -149,6 +149,18 @@ def test_every_label_becomes_a_language(spark):
     assert {r["doc_id"]: r["lang"] for r in judged.collect()} == {r[0]: r[2][:2] for r in rows}
 
 
+def test_copies_are_drawn_once(spark, monkeypatch):
+    rows = [(i, f"word{chr(97 + i % 26)} text{chr(97 + i // 26)} ending", "en") for i in range(60)]
+    copies = [(100 + i, "copied text", "en") for i in range(400)]
+    learn = lambda r: langid.train(spark.createDataFrame(r, "doc_id bigint, text string, lang string"))
+    once, often = learn([*rows, copies[0]]), learn([*rows, *copies])
+    assert once.likelihood[0].tolist() == often.likelihood[0].tolist()
+    monkeypatch.setattr(urlfilter, "TRAINING_ROWS", 100)
+    urls = [(f"http://x.com/{i}", 1.0) for i in range(400)] + [(f"http://copy.com/{k}", 0.0) for k in range(20) for _ in range(50)]
+    left = urlfilter.drawn(spark.createDataFrame(urls, "url string, label double"))
+    assert 60 < left.count() < 150 and left.distinct().count() == left.count()
+
+
 def test_keep_identified_keeps_columns(edge):
     left = langid.keep_identified(edge)
     assert left.columns == edge.columns

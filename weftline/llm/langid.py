@@ -29,8 +29,9 @@ from weftline.llm.tasks import chunks, ship, texts_of, without_rows
 from weftline.runtime import materialize
 
 FEATURES = 1 << 16
-TRAINING_ROWS = 20_000   # bound on the labelled texts that the likelihoods are fitted on, drawn by hash and alike per label
+TRAINING_ROWS = 20_000   # bound on the distinct texts that the likelihoods are fitted on, drawn by hash and alike per label
 SCORES = 1 << 22         # scores (texts x languages) that a task holds at a time
+DRAWS = 1 << 40          # range of the hash that texts are drawn by
 LABEL_ROWS = 200         # texts of a label that are drawn in any case, however many labels there are
 CHUNK_BYTES = 1 << 20    # text bytes whose trigrams are numbered at a time
 EVIDENCE = 40            # trigrams that a text counts as at most
@@ -135,23 +136,25 @@ def primary(label: Column) -> Column:
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextModel:
-    """Trigram likelihoods of all labels, from at most about TRAINING_ROWS rows with text and label.
+    """Trigram likelihoods of all labels, from at most about TRAINING_ROWS distinct texts with a label.
 
-    Rare labels are drawn whole, frequent ones alike; where labels are many, LABEL_ROWS of each are drawn all the same.
+    Copies are drawn once.  Rare labels are drawn whole, frequent ones alike; where labels are many, LABEL_ROWS of each are drawn all the same.
     """
     spark = ship(labelled.sparkSession)
     rows = labelled.select(F.col(text).cast("string").alias("text"), primary(F.col(label)).alias("label")).where(
         "label is not null and text is not null"
-    )
-    given = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
+    ).withColumn("_hash", F.xxhash64("text"))
+    distinct = rows.select("label", "_hash").distinct()
+    given = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
     languages = sorted(given)
     if not languages:
         return TextModel((), Rows(np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32), 0.0), ())
     each = _each(list(given.values()))
-    wanted = spark.createDataFrame([(l, int(min(1.0, each / n) * 1_000_000)) for l, n in given.items()], "label string, _limit int")
+    wanted = spark.createDataFrame([(l, int(min(1.0, each / n) * DRAWS)) for l, n in given.items()], "label string, _limit bigint")
     drawn = materialize(
         rows.join(F.broadcast(wanted), "label")  # one row per label
-        .where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("_limit"))
+        .where(F.pmod("_hash", F.lit(DRAWS)) < F.col("_limit"))
+        .dropDuplicates(["label", "_hash"])
         .select("text", "label"),
         "language-texts",
     )

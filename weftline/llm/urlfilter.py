@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from weftline.runtime import materialize
 
-TRAINING_ROWS = 40_000  # bound on the labelled URLs that the trees are fitted on, drawn by hash
+TRAINING_ROWS = 40_000  # bound on the distinct labelled URLs that the trees are fitted on, drawn by hash
+DRAWS = 1 << 40          # range of that hash
 TREES, DEPTH, SEED = 20, 4, 11
 SMOOTHING = 20.0        # labelled URLs' worth of the overall share in a suffix's statistic
 FEATURES = [
@@ -101,13 +102,16 @@ def _statistic(rows: DataFrame, key: str, name: str, overall: float) -> DataFram
     )
 
 
-def train(rows: DataFrame, labelled: int) -> GBTClassificationModel:
+def drawn(rows: DataFrame) -> DataFrame:
+    """At most about TRAINING_ROWS of the labelled rows (url, label, …), copies once."""
+    labelled = rows.where("label is not null").withColumn("_hash", F.xxhash64("url", F.lit(SEED)))
+    share = min(1.0, TRAINING_ROWS / max(1, labelled.select("_hash", "label").distinct().count()))
+    return labelled.where(F.pmod("_hash", F.lit(DRAWS)) < int(share * DRAWS)).dropDuplicates(["_hash", "label"]).drop("_hash")
+
+
+def train(rows: DataFrame) -> GBTClassificationModel:
     """Trees on at most about TRAINING_ROWS of the labelled rows (label, FEATURES)."""
-    share = min(1.0, TRAINING_ROWS / max(labelled, 1))
-    drawn = rows.where("label is not null").where(
-        F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)
-    )
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(drawn)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(drawn(rows))
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
     return trees.fit(vectors.select("label", "features"))
 
@@ -124,7 +128,7 @@ def judged(urls: DataFrame) -> DataFrame:
         return full.withColumn("score", F.lit(overall))
     full = materialize(full, "url-rows")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full)
-    return train(full, labelled).transform(vectors).withColumn("score", vector_to_array("probability")[1])
+    return train(full).transform(vectors).withColumn("score", vector_to_array("probability")[1])
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
