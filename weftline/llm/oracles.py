@@ -108,3 +108,62 @@ reach as (select doc_id as x, doc_id as y from s union select r.x, e.y from reac
 select s.doc_id, any_value(len(shingles)) as n_shingles, min(r.y) as component_id
 from s join reach r on r.x = s.doc_id group by s.doc_id
 """
+
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+flags as (select doc_id, part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+    doc_id > min(doc_id) over (partition by text)] as fails from d),
+marked as (select part, [coalesce(f, false) for f in fails] as fails, doc_id in (select doc_id from labels where quality = 1) as good,
+  doc_id in (select doc_id from labels where toxic = 1) as toxic from flags),
+cells as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from marked group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (select [a.f, b.f, c.f, d.f, e.f] as o from letters a, letters b, letters c, letters d, letters e
+  where a.f <> b.f and a.f <> c.f and a.f <> d.f and a.f <> e.f and b.f <> c.f and b.f <> d.f and b.f <> e.f and c.f <> d.f and c.f <> e.f and d.f <> e.f),
+steps as (select o, unnest([1, 2, 3, 4, 5]) as step from orders),
+places as (select o, step, ascii(o[step]) - 64 as own, [ascii(x) - 64 for x in o[1:step - 1]] as before from steps),
+each as (select part, o, step, own, n, good, toxic, fails[own] as failing,
+    list_bool_or([fails[i] for i in before] || [false]) as earlier,
+    len([x for x in fails if x]) = 1 as only_one from places, cells),
+counted as (select part, array_to_string(o, '') as filter_order, step::int as step, own,
+    coalesce(sum(n) filter (not earlier and not failing), 0)::bigint as kept, coalesce(sum(n) filter (not earlier and failing), 0)::bigint as removed,
+    coalesce(sum(n) filter (earlier and failing), 0)::bigint as redundant, coalesce(sum(n) filter (failing and only_one), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (not earlier and failing), 0)::bigint as good_lost, coalesce(sum(toxic) filter (not earlier and failing), 0)::bigint as toxic_lost
+  from each group by part, o, step, own)
+select * exclude (own), sum(removed) over (partition by part, own)::bigint as shapley from counted
+"""
+
+NEAR_VECTORS = """
+with recursive
+v as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+good as (select r, vec_id, e from v where len(e) > 0 and list_bool_and([coalesce(isfinite(x), false) for x in e]) and list_sum([x * x for x in e]) > 0),
+links as (select a.r as x, b.r as y from good a join good b on a.r <> b.r and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select r as x, r as y from v union select reach.x, links.y from reach join links on links.x = reach.y),
+least as (select reach.x as r, min(v.vec_id) as component_id from reach join v on v.r = reach.y group by reach.x),
+degree as (select x as r, count(*) as n from links group by x)
+select v.vec_id, coalesce(degree.n, 0)::bigint as n_links, component_id, v.vec_id is not distinct from component_id as kept
+from v left join degree using (r) left join least using (r)
+"""
+
+SOURCE_DIVERGENCE = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+w as (select r, lang, source, unnest(ws) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct r) >= 10),
+groups as (select distinct lang, source, false as whole from d union all select distinct lang, '' as source, true as whole from d),
+found as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by lang, source, term),
+cells as (select g.lang, g.source, g.whole, k.term, coalesce(f.n, 0) as n from groups g join kept k using (lang)
+    left join found f on f.lang = g.lang and f.source = g.source and f.term = k.term where not g.whole
+  union all select lang, '', true, term, sum(n) from found group by lang, term),
+shares as (select *, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over g + 2 * count(*) over g) as p from cells window g as (partition by lang, source, whole)),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source and not a.whole and not b.whole group by all),
+all_pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source and not a.whole and not b.whole
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+terms as (select a.lang, a.source, 'term' as part, a.term as item, ((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and not a.whole and b.whole where a.n > 0 and a.p > b.p)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from all_pairs union all select * from terms)
+qualify part = 'pair' or rank <= 10
+"""

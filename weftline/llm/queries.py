@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exactdedup, langid, ngramjoin, oracles, packing, pieces, quality, quotes, sharding, tokencounts, urlfilter
+from weftline.llm import (
+    capfilters,
+    divergence,
+    exactdedup,
+    filteraudit,
+    langid,
+    ngramjoin,
+    oracles,
+    packing,
+    pieces,
+    quality,
+    quotes,
+    sharding,
+    tokencounts,
+    urlfilter,
+)
 from weftline.llm.encoders import Tokenizer
 from weftline.runtime import configure, scratch_path
 
@@ -113,6 +128,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.linked_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.source_divergence(table(spark, sf_dir, "documents"))
+    return found.select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,6 +155,9 @@ QUERIES = {
         op8_chat_formatting,
         op9_url_filter,
         op10_ngram_jaccard_join,
+        op11_filter_interaction_audit,
+        op12_embedding_near_dedup,
+        op13_source_divergence_audit,
     )
 }
 ORACLES = {
@@ -133,4 +165,7 @@ ORACLES = {
     "op6_quality_rules": oracles.quality_rules(quality.Rules()),
     "op8_chat_formatting": oracles.CHAT_FORMATTING,
     "op10_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op11_filter_interaction_audit": oracles.FILTER_AUDIT,
+    "op12_embedding_near_dedup": oracles.NEAR_VECTORS,
+    "op13_source_divergence_audit": oracles.SOURCE_DIVERGENCE,
 }
