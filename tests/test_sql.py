@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.tokens import sql_tokens
-from weftline.operators import metrics, sqlcorpus
+from weftline.operators import metrics, selectitems, sqlcorpus
 
 JOIN = """SELECT p.parcel, d.label, p.weight_kg
 FROM depot.parcels p
@@ -73,6 +73,123 @@ def test_facts_of_texts(spark):
     assert rows[2].read_tables == [] and rows[2].columns == []
 
 
+SCOPED = [
+    # a common table expression hides a table only where it is visible
+    ("with t as (select a from t) select * from t", {"t"}, set()),
+    ("with recursive t as (select a from u union all select a from t) select * from t", {"u"}, set()),
+    ("select * from (with c as (select 1 from a) select * from c) x join c on true", {"a", "c"}, set()),
+    ("with a as (select 1 from b), b as (select 1 from a) select * from a, b", {"b"}, set()),
+    ("with c as (select 1 from t) select * from u where k in (select k from c) union select 1 from c", {"t", "u"}, set()),
+    ("select 1 from c; with c as (select 1 from d) select 1 from c", {"c", "d"}, set()),
+    ("select case when a = 1 then b else c end from t", {"t"}, set()),
+    ("select * from (a join b on a.k = b.k) join c using (k)", {"a", "b", "c"}, set()),
+    ("select * from a join b on a.k = b.k, c", {"a", "b", "c"}, set()),
+    ("select * from unnest(x) u, range(1, 2) r, t", {"t"}, set()),
+    ("(select a from t) union all (select a from u) order by a", {"t", "u"}, set()),
+    ("merge into r using s on (r.a = s.a) when not matched then insert (a) values (s.a)", {"s"}, {"r"}),
+]
+
+
+def test_table_refs_by_scope(spark):
+    rows = sqlcorpus.table_refs(inputs(spark, *[text for text, _, _ in SCOPED])).collect()
+    for i, (text, reads, writes) in enumerate(SCOPED):
+        got = [{r.name for r in rows if r.ord == i and r.role == role} for role in ("read", "write")]
+        assert got == [reads, writes], text
+
+
+def columns(spark, text):
+    return {r.column_name for r in sqlcorpus.column_refs(inputs(spark, text)).collect()}
+
+
+COLUMNS = [
+    ("select p.a, q.b x, c from t p join s.u as q on p.k = q.k", {"t.a", "s.u.b", "UNKNOWN.c", "t.k", "s.u.k"}),
+    ("select a, count(b) total from t where c = 'd' group by e having max(f) > 1 order by g", {"t.a", "t.b", "t.c", "t.e", "t.f", "t.g"}),
+    ("select t.a from t where exists (select 1 from t x where x.b = t.c and d = 1)", {"t.a", "t.b", "t.c", "t.d"}),
+    ("with c as (select a from t) select c.a, x from c", {"t.a"}),
+    ("select d.a, u.b from (select a from t) d, u", {"t.a", "u.b"}),
+    ("select a from t union select a from u", {"t.a", "u.a"}),
+    ("select p.a from t p union select p.b from u p order by a", {"t.a", "u.b"}),
+    ("update t set a = 1 where b in (select c from u)", {"t.a", "t.b", "u.c"}),
+    ("insert into t (a, b) select c, 1 from u", {"t.a", "t.b", "u.c"}),
+    ("merge into r using s on (r.a = s.b) when matched then update set r.c = s.d", {"r.a", "s.b", "r.c", "s.d"}),
+    ("select t.*, z.a from t join u on true", {"t.*", "UNKNOWN.z.a"}),
+    ('select x."My Col", "T y"."a.b" from `q`.`t` x, "T y"', {'`q`.`t`."My Col"', '"T y"."a.b"'}),
+    ("select date '2020-01-01', interval '1' day, cast(a as int), extract(year from b) from t", {"t.a", "t.b"}),
+    ("select case when a then b else c end total, sum(d) over (partition by e order by f) w from t", {f"t.{c}" for c in "abcdef"}),
+    ("select 1", set()),
+]
+
+
+def test_columns(spark):
+    rows = sqlcorpus.column_refs(inputs(spark, *[text for text, _ in COLUMNS])).collect()
+    for i, (text, expected) in enumerate(COLUMNS):
+        got = {r.column_name for r in rows if r.ord == i}
+        got = {c for c in got if not c.endswith((".int", ".year"))}  # types and units look like names
+        assert got == expected, text
+
+
+def test_columns_are_facts(spark):
+    row = sqlcorpus.extract_facts(inputs(spark, "select a from t; select b from u")).first()
+    assert row.columns == ["t.a", "u.b"] and row.read_tables == ["t", "u"]
+
+
+def text_items(spark, *texts):
+    rows = selectitems.metric_items(inputs(spark, *texts)).orderBy("ord", "branch_no", "item_no").collect()
+    return [(r.sql_id, r.branch_no, r.item_no, r.alias, r.expression) for r in rows]
+
+
+def test_items_of_texts(spark):
+    grouped = """SELECT DISTINCT hub, SUM(w) AS load, COUNT(DISTINCT id) n, SUM(p) / NULLIF(SUM(w), 0) AS "Rate"
+        FROM depot.parcels WHERE state = 'IN' GROUP BY hub, f(a, b) HAVING SUM(w) > 100 ORDER BY 1"""
+    assert text_items(spark, grouped) == [
+        ("s0", 1, 1, None, "hub"), ("s0", 1, 2, "load", "SUM(w)"), ("s0", 1, 3, "n", "COUNT(DISTINCT id)"),
+        ("s0", 1, 4, '"Rate"', "SUM(p) / NULLIF(SUM(w), 0)"),
+    ]
+    row = selectitems.metric_items(inputs(spark, grouped)).where("item_no = 2").first()
+    assert (row.group_by, row.where_text, row.having_text) == (["hub", "f(a, b)"], "state = 'IN'", "SUM(w) > 100")
+    assert row.source_tables == ["depot.parcels"]
+
+
+BRANCHES = [
+    ("select a from t union all select b, c from u", [(1, "a"), (2, "b"), (2, "c")]),
+    ("(select a from t) union ((select b from u) except select c from w) limit 3", [(1, "a"), (2, "b"), (3, "c")]),
+    ("with x as (select q from t) select a, (select max(b) from u) m from x", [(1, "a"), (1, "(select max(b) from u)")]),
+    ("select sum(case when a = 'x, y' then b else -1 end) from t -- , z", [(1, "sum(case when a = 'x, y' then b else -1 end)")]),
+    ("select sum(a) over (partition by b order by c) from t", [(1, "sum(a) over (partition by b order by c)")]),
+    ("select listagg(a, ',') within group (order by b) l from t", [(1, "listagg(a, ',') within group (order by b)")]),
+    ("select a is distinct from b, extract(year from c) from t", [(1, "a is distinct from b"), (1, "extract(year from c)")]),
+    ("insert into t select sum(a) from u", []),
+    ("select 1; select x from t; select from u where", [(1, "1"), (1_000_001, "x")]),
+    ("select a from t join u using (k) where b in (1, 2) group by c", [(1, "a")]),
+    ("select count(*), max(-1), a - -b, - c from t", [(1, "count(*)"), (1, "max(-1)"), (1, "a - -b"), (1, "-c")]),
+]
+
+
+def test_branches_of_texts(spark):
+    got = text_items(spark, *[text for text, _ in BRANCHES])
+    for i, (text, expected) in enumerate(BRANCHES):
+        assert [(b, e) for name, b, _, _, e in got if name == f"s{i}"] == expected, text
+
+
+def test_metric_statuses_of_texts(spark):
+    texts = ["select sum(a) from t", "select a from t", "update t set a = 1", "select max(a) from t; drop table t", "", None]
+    rows = sorted(tuple(r) for r in selectitems.metric_statuses(inputs(spark, *texts)).collect())
+    assert rows == [
+        ("s0", "SUCCESS", 1), ("s1", "SUCCESS", 0), ("s2", "UNSUPPORTED", 0), ("s3", "PARTIAL", 1), ("s4", "PARSE_FAILED", 0), ("s5", "PARSE_FAILED", 0),
+    ]
+
+
+def test_dimensions_need_no_first_item(spark):
+    items = selectitems.metric_items(inputs(spark, "select hub h, sum(w) from t group by hub, day")).where("item_no = 2")
+    rows = sorted((r.dim_no, r.name) for r in metrics.metric_dimensions(items).collect())
+    assert rows == [(0, "hub"), (1, "day")]
+
+
+def test_scopes_of_long_statements(spark):
+    text = "select " + ", ".join(f"t{i % 50}.c{i}" for i in range(1500)) + " from " + ", ".join(f"s{i} t{i}" for i in range(50))
+    assert columns(spark, text) == {f"s{i % 50}.c{i}" for i in range(1500)}
+
+
 def test_statement_kinds(spark):
     text = "; ".join(
         [

@@ -121,9 +121,8 @@ def metric_name(alias: Column, expression: Column) -> Column:
 
 def metric_dimensions(items: DataFrame) -> DataFrame:
     """(sql_id, branch_no, dim_no, name, expression): GROUP BY parts named by the matching SELECT item."""
-    parts = items.where("item_no = 1").select(
-        "sql_id", "branch_no", F.posexplode("group_by").alias("dim_no", "expression")
-    )
+    branches = items.select("sql_id", "branch_no", "group_by").distinct()  # whichever of its items are given
+    parts = branches.select("sql_id", "branch_no", F.posexplode("group_by").alias("dim_no", "expression"))
     # only items that equal a GROUP BY part of their own row can name a dimension
     labels = (
         items.select(

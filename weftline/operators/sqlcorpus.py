@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.names import is_blank, strip
 from weftline.functions.rows import unfold
-from weftline.functions.tokens import is_word, sql_tokens
+from weftline.functions.tokens import sql_tokens
+from weftline.operators import scopes
 
 BLANK_MESSAGE = "sql is blank"
 
@@ -135,7 +136,7 @@ def facts_to_jobs(sql_facts: DataFrame) -> DataFrame:
     )
 
 
-def _statements(sql_inputs: DataFrame) -> DataFrame:
+def statements(sql_inputs: DataFrame) -> DataFrame:
     """One row per non-empty statement with its tokens.  All work stays inside the row: no shuffle."""
     tokens = sql_inputs.select("ord", "sql_id", sql_tokens(F.col("sql")).alias("tokens"))
     size = F.size("tokens")
@@ -160,136 +161,44 @@ def _statements(sql_inputs: DataFrame) -> DataFrame:
     return unfold(breaks, ["ord", "sql_id"], F.filter(cut, lambda s: F.size(s) > 0), "words", "statement_no")
 
 
-def statement_kinds(sql_inputs: DataFrame) -> DataFrame:
-    """(ord, sql_id, statement_no, kind): kind by the leading words; WITH counts as SELECT."""
-    upper = F.transform(F.filter(F.col("words"), lambda w: w != "("), F.upper)
-    lead = F.get(F.col("upper"), F.lit(0))
-    made = F.get(F.filter(F.slice("upper", 2, 5), lambda w: w.isin("VIEW", "TABLE")), F.lit(0))
-    kind = (
+def kind_of_statement(upper: Column) -> Column:
+    """Kind by the leading words; WITH counts as SELECT."""
+    words = F.filter(upper, lambda w: w != "(")
+    lead = F.get(words, F.lit(0))
+    made = F.get(F.filter(F.slice(words, 2, 5), lambda w: w.isin("VIEW", "TABLE")), F.lit(0))
+    return (
         F.when((lead == "CREATE") & (made == "VIEW"), "CREATE_VIEW")
         .when((lead == "CREATE") & (made == "TABLE"), "CREATE_TABLE")
         .when(lead.isin("SELECT", "WITH"), "SELECT")
         .when(lead.isin("INSERT", "UPDATE", "DELETE", "MERGE", "ALTER", "DROP"), lead)
         .otherwise("UNKNOWN")
     )
-    return (
-        _statements(sql_inputs)
-        .withColumn("upper", upper)
-        .select("ord", "sql_id", "statement_no", kind.alias("kind"))
-    )
-
-
-# Tokens that may stand right before a table name.
-ANNOUNCING = ["FROM", "JOIN", "USING", "INTO", "UPDATE", "DELETE", "OVERWRITE", "TABLE", "VIEW", "EXISTS", ","]
-
-# Words that end or open a list of tables.
-CLAUSE_WORDS = [
-    "SELECT", "FROM", "WHERE", "GROUP", "ORDER", "HAVING", "SET", "VALUES", "ON", "UNION", "WHEN", "LIMIT", "DELETE",
-]
 
-# Clauses after which FROM opens a list of tables; elsewhere it belongs to a function or a comparison.
-BEFORE_FROM = ["SELECT", "DELETE", "SET"]
 
-# Words that may stand where a table name stands.
-NO_NAMES = ["LATERAL", "DIRECTORY", "LOCAL", "ONLY"]
-
-
-def _cte_names(position: Column, at) -> Column:
-    """Upper-case names of common table expressions: name, optional column list, AS, optional MATERIALIZED, bracket."""
-
-    def opens(i: Column) -> Column:
-        after, second, third = at(1)(i), at(2)(i), at(3)(i)
-        return (at(0)(i) == "AS") & (
-            (after == "(")
-            | ((after == "MATERIALIZED") & (second == "("))
-            | ((after == "NOT") & (second == "MATERIALIZED") & (third == "("))
-        )
+def statement_kinds(sql_inputs: DataFrame) -> DataFrame:
+    """(ord, sql_id, statement_no, kind)."""
+    upper = statements(sql_inputs).withColumn("upper", F.transform("words", F.upper))
+    return upper.select("ord", "sql_id", "statement_no", kind_of_statement(F.col("upper")).alias("kind"))
 
-    def named(i: Column) -> Column:
-        bracket = F.array_max(F.filter(position, lambda j: (j < i) & (at(0)(j) == "(")))
-        return F.when(at(-1)(i) == ")", F.get(F.col("upper"), bracket - 1)).otherwise(at(-1)(i))
 
-    found = F.transform(F.filter(position, opens), named)
-    return F.when(F.array_contains("upper", "WITH"), found).otherwise(F.array().cast("array<string>"))
+def _shown_refs() -> Column:
+    """Distinct (role, name) of the references that mean tables."""
+    shown = F.filter("refs", lambda r: ~r["hidden"])
+    return F.array_distinct(F.transform(shown, lambda r: F.struct(r["role"].alias("role"), r["name"].alias("name"))))
 
 
 def table_refs(sql_inputs: DataFrame) -> DataFrame:
     """(ord, sql_id, statement_no, role, name): tables after the words that announce a read or a write."""
-    words = _statements(sql_inputs).withColumn("upper", F.transform("words", F.upper))
-
-    def at(offset: int):
-        return lambda i: F.coalesce(F.get(F.col("upper"), i + offset), F.lit(""))
-
-    position = F.sequence(F.lit(0), F.size("words") - 1)
-    leads = F.get(F.col("upper"), F.lit(0))
-
-    def role(i: Column) -> Column:
-        here, before, earlier = at(0)(i), at(-1)(i), at(-2)(i)
-        # IF EXISTS and IF NOT EXISTS may stand between the word and the name
-        opened = F.when(before == "EXISTS", F.when(earlier == "NOT", at(-4)(i)).otherwise(at(-3)(i))).otherwise(before)
-        # UPDATE and DELETE write where they begin the statement, or follow its common table expressions
-        begins = (i == 1) | ((leads == "WITH") & (earlier == ")"))
-        write = (
-            (before == "INTO")
-            | ((before == "OVERWRITE") & (here != "TABLE"))
-            | ((before == "UPDATE") & begins)
-            | ((before == "DELETE") & begins & (here != "FROM"))
-            | ((before == "FROM") & (earlier == "DELETE"))
-            | (opened.isin("TABLE", "VIEW") & (here != "IF"))
-        )
-        read = ((before == "FROM") & F.array_contains("places.froms", i - 1)) | before.isin("JOIN", "USING")
-        listed = (before == ",") & F.array_contains("places.commas", i - 1)
-        return F.when(here.isin(NO_NAMES), F.lit(None)).when(write, "write").when(read | listed, "read")
-
-    named = F.transform(
-        F.filter(position, lambda i: at(-1)(i).isin(ANNOUNCING)),
-        lambda i: F.struct(role(i).alias("role"), F.get(F.col("words"), i).alias("name")),
-    )
-    refs = F.array_distinct(F.filter(named, lambda r: r["role"].isNotNull() & is_word(r["name"])))
-    scanned = words.withColumn("places", _table_places(F.col("upper"))).withColumn("ctes", _cte_names(position, at))
-    return (
-        unfold(scanned, ["ord", "sql_id", "statement_no", "ctes"], refs, "r")
-        .where((F.col("r.role") == "write") | ~F.array_contains("ctes", F.upper("r.name")))
-        .select("ord", "sql_id", "statement_no", "r.role", "r.name")
+    refs = scopes.scoped(statements(sql_inputs))
+    return unfold(refs, ["ord", "sql_id", "statement_no"], _shown_refs(), "r").select(
+        "ord", "sql_id", "statement_no", "r.role", "r.name"
     )
 
 
-def _table_places(words: Column) -> Column:
-    """struct(froms, commas): positions of FROM words that open a list of tables and of the commas inside such lists.
-
-    Folds over brackets, commas and clause words only, keeping the clause in force per bracket level.
-    """
-    marks = F.filter(
-        F.transform(
-            words,
-            lambda w, i: F.struct(w.alias("word"), i.alias("at"), F.coalesce(F.get(words, i - 1), F.lit("")).alias("before")),
-        ),
-        lambda m: m["word"].isin("(", ")", ",", *CLAUSE_WORDS),
-    )
-    none = F.array().cast("array<int>")
-    start = F.struct(F.array(F.lit("")).alias("stack"), none.alias("froms"), none.alias("commas"))
-
-    def step(state: Column, mark: Column) -> Column:
-        stack, word = state["stack"], mark["word"]
-        outer, force = F.slice(stack, 1, F.size(stack) - 1), F.element_at(stack, -1)
-        # a statement may begin with FROM; IS DISTINCT FROM compares
-        opens = (word == "FROM") & (force.isin(BEFORE_FROM) | ((force == "") & (mark["at"] == 0))) & (mark["before"] != "DISTINCT")
-        after = (
-            F.when(word == "(", F.array_append(stack, F.lit("")))
-            .when((word == ")") & (F.size(stack) > 1), outer)
-            .when((word == "FROM") & ~opens, stack)
-            .when(word.isin(CLAUSE_WORDS), F.array_append(outer, word))
-            .otherwise(stack)
-        )
-        listed = (word == ",") & (force == "FROM")
-        return F.struct(
-            after.alias("stack"),
-            F.when(opens, F.array_append(state["froms"], mark["at"])).otherwise(state["froms"]).alias("froms"),
-            F.when(listed, F.array_append(state["commas"], mark["at"])).otherwise(state["commas"]).alias("commas"),
-        )
-
-    found = F.aggregate(marks, start, step)
-    return F.struct(found["froms"].alias("froms"), found["commas"].alias("commas"))
+def column_refs(sql_inputs: DataFrame) -> DataFrame:
+    """(ord, sql_id, statement_no, column_name): columns of every statement as ``table.column``."""
+    found = scopes.column_refs(scopes.scoped(statements(sql_inputs)))
+    return unfold(found, ["ord", "sql_id", "statement_no"], F.col("columns"), "column_name")
 
 
 def extract_facts(sql_inputs: DataFrame) -> DataFrame:
@@ -297,20 +206,21 @@ def extract_facts(sql_inputs: DataFrame) -> DataFrame:
 
     A blank text, or one without a statement, is PARSE_FAILED; a text with a statement of unknown kind is PARTIAL.
     The lists hold distinct values by statement, then by name; a text's own statements meet in one group.
-    Lexical scans do not tell columns from aliases, so ``columns`` is empty.
     """
-    kinds = statement_kinds(sql_inputs).select(
-        "ord", "sql_id", "statement_no", F.lit("kind").alias("role"), F.col("kind").alias("name")
+    found = scopes.column_refs(scopes.scoped(statements(sql_inputs)))
+    listed_parts = F.concat(
+        F.array(F.struct(F.lit("kind").alias("role"), kind_of_statement(F.col("upper")).alias("name"))),
+        _shown_refs(),
+        F.transform("columns", lambda c: F.struct(F.lit("column").alias("role"), c.alias("name"))),
     )
-    parts = kinds.unionByName(table_refs(sql_inputs))
+    parts = unfold(found, ["ord", "sql_id", "statement_no"], listed_parts, "p").select("ord", "sql_id", "statement_no", "p.role", "p.name")
 
     def listed(role: str) -> Column:
         entries = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("statement_no", "name"))))
         return F.array_distinct(F.transform(entries, lambda e: e["name"]))
 
-    lists = parts.groupBy("ord", "sql_id").agg(
-        listed("kind").alias("statement_types"), listed("read").alias("read_tables"), listed("write").alias("write_tables")
-    )
+    roles = {"statement_types": "kind", "read_tables": "read", "write_tables": "write", "columns": "column"}
+    lists = parts.groupBy("ord", "sql_id").agg(*[listed(role).alias(name) for name, role in roles.items()])
     none = F.array().cast("array<string>")
     same = lists.withColumnsRenamed({"ord": "_ord", "sql_id": "_sql_id"})
     judged = triage(sql_inputs).join(
@@ -321,10 +231,4 @@ def extract_facts(sql_inputs: DataFrame) -> DataFrame:
         .when(F.array_contains("statement_types", "UNKNOWN"), "PARTIAL")
         .otherwise("SUCCESS")
     )
-    return judged.select(
-        "ord",
-        "sql_id",
-        status.alias("status"),
-        *[F.coalesce(c, none).alias(c) for c in ("statement_types", "read_tables", "write_tables")],
-        none.alias("columns"),
-    )
+    return judged.select("ord", "sql_id", status.alias("status"), *[F.coalesce(c, none).alias(c) for c in roles])

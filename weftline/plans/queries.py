@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import jsontext, names, text, tokens
-from weftline.operators import catalog, closure, components, graph, history, jsonops, metrics, ordered, sqlcorpus, textdiff
+from weftline.operators import catalog, closure, components, graph, history, jsonops, metrics, ordered, selectitems, sqlcorpus, textdiff
 from weftline.plans import views as v
 from weftline.runtime import configure, materialize, scratch_path
 from weftline.sources import history_files, jobs as job_source, sql_batch
@@ -674,6 +674,29 @@ def batch_edge_sqls(spark, sf_dir):
     return sqlcorpus.batch_edge_sqls(v.sql_facts(spark, sf_dir))
 
 
+@query(
+    "text_columns",
+    with_sql(v.JOBS_SQL)
+    + """, used AS (SELECT ord, name AS sql_id, input_tables, unnest(range(len(input_tables))) AS i FROM jobs WHERE len(input_tables) > 0)
+         SELECT ord, sql_id, 0 AS statement_no, input_tables[i + 1] || '.c' || i AS column_name FROM used
+         UNION SELECT ord, sql_id, 0, input_tables[1] || c FROM used, (SELECT unnest(['.k', '.f', '.d', '.e', '.g']) AS c)""",
+)
+def text_columns(spark, sf_dir):
+    """Columns found in the texts themselves, through aliases, a common table expression and a subquery."""
+    return sqlcorpus.column_refs(v.column_texts(spark, sf_dir))
+
+
+@query(
+    "text_column_usage",
+    with_sql(v.JOBS_SQL)
+    + """, used AS (SELECT name AS sql_id, input_tables, unnest(range(len(input_tables))) AS i FROM jobs WHERE len(input_tables) > 0)
+         SELECT sql_id, input_tables[i + 1] || '.c' || i AS column_name FROM used
+         UNION SELECT sql_id, input_tables[1] || c FROM used, (SELECT unnest(['.k', '.f', '.d', '.e', '.g']) AS c)""",
+)
+def text_column_usage(spark, sf_dir):
+    return sqlcorpus.column_usage(sqlcorpus.extract_facts(v.column_texts(spark, sf_dir)))
+
+
 @query("column_usage", FACTS + "SELECT DISTINCT sql_id, unnest(reads) || '.id' AS column_name FROM facts")
 def column_usage(spark, sf_dir):
     return sqlcorpus.column_usage(v.sql_facts(spark, sf_dir))
@@ -884,6 +907,68 @@ def metric_branches(spark, sf_dir):
     return metrics.metric_dimensions(items.unionByName(second))
 
 
+METRIC_TEXTS = with_sql(v.METRICS_SQL, v.METRIC_TEXTS_SQL)
+
+
+@query(
+    "text_metric_items",
+    METRIC_TEXTS
+    + """SELECT sql_id, ord, 1::BIGINT AS branch_no, 1 AS item_no, CASE WHEN even THEN 'department' END AS alias, 'dept_' || (p_size % 5) AS expression,
+           'DEPT_' || (p_size % 5) AS group_by, 'p_size > ' || p_size AS where_text, CASE WHEN even THEN 'SUM(x) > 100' END AS having_text,
+           source_table || ',raw.facts' AS source_tables FROM written
+         UNION ALL SELECT sql_id, ord, 1, 2, CASE WHEN even THEN '"' || plain_alias || '"' ELSE plain_alias END, expression,
+           'DEPT_' || (p_size % 5), 'p_size > ' || p_size, CASE WHEN even THEN 'SUM(x) > 100' END, source_table || ',raw.facts' FROM written""",
+)
+def text_metric_items(spark, sf_dir):
+    """SELECT items cut out of the texts."""
+    items = selectitems.metric_items(v.metric_texts(spark, sf_dir))
+    return items.withColumns({"group_by": _joined("group_by"), "source_tables": _joined(F.sort_array("source_tables"))})
+
+
+@query(
+    "text_metric_catalogue",
+    METRIC_TEXTS
+    + """SELECT sql_id, ord, 2 AS item_no, name, expression, normalized_expression, type, aggregation, 'DEPT_' || (p_size % 5) AS dimensions,
+           'p_size > ' || p_size AS where_text FROM written""",
+)
+def text_metric_catalogue(spark, sf_dir):
+    found = metrics.probe_metrics(selectitems.metric_items(v.metric_texts(spark, sf_dir)))
+    return found.select(
+        "sql_id", "ord", "item_no", "name", "expression", "normalized_expression", "type", "aggregation",
+        _joined("dimensions").alias("dimensions"), "where_text",
+    )
+
+
+@query(
+    "text_duplicate_metrics",
+    METRIC_TEXTS
+    + """SELECT normalized_expression, arg_min(expression, ord) AS expression, count(*) AS occurrence_count,
+           count(DISTINCT name) AS name_count, count(DISTINCT sql_id) AS sql_count
+         FROM written GROUP BY 1 HAVING count(*) > 1""",
+)
+def text_duplicate_metrics(spark, sf_dir):
+    found = metrics.probe_metrics(selectitems.metric_items(v.metric_texts(spark, sf_dir)))
+    return metrics.duplicate_metrics(materialize(found, "metrics"))
+
+
+@query("text_metric_status", METRICS + STATUSES + "SELECT * FROM statuses")
+def text_metric_status(spark, sf_dir):
+    return selectitems.metric_statuses(v.metric_texts(spark, sf_dir))
+
+
+@query(
+    "text_metric_dimensions",
+    METRIC_TEXTS
+    + """SELECT sql_id, branch_no::BIGINT AS branch_no, 0 AS dim_no, CASE WHEN even AND branch_no = 1 THEN 'department' ELSE 'DEPT_' || (p_size % 5) END AS name,
+         'DEPT_' || (p_size % 5) AS expression FROM written, (SELECT unnest([1, 2]) AS branch_no) WHERE p_partkey % 5 <> 1""",
+)
+def text_metric_dimensions(spark, sf_dir):
+    """Both branches of a set operation, cut out of the text; the alias is given in the first only."""
+    texts = v.metric_texts(spark, sf_dir).where("ord % 5 not in (1, 2, 3)")
+    bare = F.replace(F.regexp_extract("sql", r"(?s)\n(SELECT.*)$", 1), F.lit(" AS department"))
+    return metrics.metric_dimensions(selectitems.metric_items(texts.withColumn("sql", F.concat_ws(" UNION ALL ", "sql", F.concat(F.lit("("), bare, F.lit(")"))))))
+
+
 # ---------------------------------------------------------------------------------------------------- JSON (J)
 
 DIFFS = with_sql(v.JSON_DIFF_SQL)

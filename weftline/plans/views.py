@@ -319,6 +319,52 @@ def metric_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, sql_id, sql): the metric items as SQL texts, with queries around them that give no items.
+
+    By the key, a text also holds an INSERT, or nothing but an UPDATE, or no statement at all.
+    """
+    items = metric_items(spark, sf_dir).where("item_no = 2")
+    even = F.col("having_text").isNotNull()
+    dim = F.get(F.col("group_by"), F.lit(0))
+    query = F.concat(
+        F.lit("WITH base AS (SELECT SUM(q) AS s FROM raw.facts GROUP BY r)\nSELECT "), F.lower(dim), F.when(even, " AS department").otherwise(""),
+        F.lit(", "), "expression", F.coalesce(F.concat(F.when(even, " AS ").otherwise(" "), F.col("alias")), F.lit("")),
+        F.lit(" -- FROM here\nFROM "), F.replace(F.get(F.col("source_tables"), F.lit(0)), F.lit(" "), F.lit("_")), F.lit(" t CROSS JOIN base WHERE "),
+        "where_text", F.lit(" GROUP BY "), dim, F.coalesce(F.concat(F.lit(" HAVING "), F.col("having_text")), F.lit("")),
+    )
+    rule = F.col("ord") % 5
+    text = (
+        F.when(rule == 1, F.concat(query, F.lit("; INSERT INTO app.kept SELECT SUM(z) AS lost FROM app.other")))
+        .when(rule == 2, F.lit("UPDATE app.kept SET a = (SELECT MAX(z) FROM app.other)"))
+        .when(rule == 3, F.lit(" -- SELECT SUM(z) FROM app.other"))
+        .otherwise(query)
+    )
+    return items.select("ord", "sql_id", text.alias("sql"))
+
+
+METRIC_TEXTS_SQL = """
+written AS (
+  SELECT * REPLACE (CASE WHEN family = 0 AND NOT even THEN 'sum(' || lower(b) || ')' ELSE expression END AS expression,
+    CASE WHEN plain_alias IS NULL AND family = 0 AND NOT even THEN 'sum(' || lower(b) || ')' ELSE name END AS name),
+    'app.' || replace(lower(p_type), ' ', '_') AS source_table
+  FROM named WHERE p_partkey % 5 NOT IN (2, 3)
+)"""
+
+
+def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, sql_id, sql): the jobs with inputs as statements with aliases, a common table expression and a subquery."""
+    inputs = F.col("input_tables")
+    first = F.get(inputs, F.lit(0))
+    text = F.concat(
+        F.lit("WITH c0 AS (SELECT x.k FROM "), first, F.lit(" x WHERE f = 1) INSERT INTO "), F.get(F.col("output_tables"), F.lit(0)), F.lit(" SELECT "),
+        F.array_join(F.transform(inputs, lambda t, i: F.format_string("max(t%d.c%d) m%d", i, i, i)), ", "), F.lit(", c0.k FROM "),
+        F.array_join(F.transform(inputs, lambda t, i: F.format_string("%s AS t%d", t, i)), " JOIN "),
+        F.lit(" JOIN c0 ON c0.k = t0.k WHERE EXISTS (SELECT 1 FROM "), first, F.lit(" t1 WHERE t1.d = t0.e AND g > 0) GROUP BY c0.k"),
+    )
+    return jobs(spark, sf_dir).where(F.size("input_tables") > 0).select("ord", F.col("name").alias("sql_id"), text.alias("sql"))
+
+
 METRICS_SQL = """
 parts AS (
   SELECT *, 'sql-' || p_partkey AS sql_id, p_partkey % 10 AS family, p_size % 2 = 0 AS even,
