@@ -18,8 +18,6 @@ from weftline.runtime import configure, scratch_path, write_table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that text, declaration and source settle go."""
     configure(spark)
-    if docs.isEmpty():
-        return docs
     return langid.keep_identified(docs)
 
 
