@@ -2,9 +2,10 @@
 
 The terms that enough documents of a language hold are found by refining byte prefixes: the documents of each prefix
 are counted, prefixes below the threshold are discarded with all their extensions, and the rest is extended, with the
-lengths doubling, until only complete terms are left.  Documents are tokenised once, in chunks of whole documents; a
-chunk's part of a prefix is one row with its terms and the numbers of their documents, so that distinct documents are
-counted inside the row and added up over the chunks.
+lengths doubling, until only complete terms are left.  Documents are sorted by language and source, a hot source over
+many tasks, and tokenised once, in chunks of whole documents, so that a chunk counts its terms for few groups.  A
+chunk's part of a prefix is one row with its terms and the numbers of their documents: distinct documents are counted
+inside the row and added up over the chunks.
 
 Every (language, source) group and every language then gives every kept term its share p of smoothed counts.  A pair
 of sources is the sum of f over all kept terms.  f has one value for terms that neither holds, so that the sum is put
@@ -30,8 +31,8 @@ from weftline.runtime import materialize
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 UNIT = 1_000_000_000
-CHUNK_BYTES = 4 << 20  # text bytes that are tokenised together
-FIRST_BYTES = 2        # length of the first prefixes
+CHUNK_BYTES = 8 << 20  # text bytes that are tokenised together
+FIRST_BYTES = 3        # length of the first prefixes
 OUT_ROWS = 20_000
 
 # A-Z become a-z; letters and all bytes of other characters stay; everything else separates terms.
@@ -176,7 +177,8 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame
     ``docs`` has the columns text, lang and source, without nulls.
     """
     ship(docs.sparkSession)
-    both = materialize(docs.select("text", "lang", "source").mapInArrow(_tokenised, _BOTH), "terms")
+    near = docs.select("text", "lang", "source", F.monotonically_increasing_id().alias("row")).orderBy("lang", "source", "row")
+    both = materialize(near.select("text", "lang", "source").mapInArrow(_tokenised, _BOTH), "terms")
     counts = both.where("prefix is null").select("lang", "source", "term", "count")
     level = both.where("prefix is not null").select(*_PREFIXES.names)
     length, kept = FIRST_BYTES, []
