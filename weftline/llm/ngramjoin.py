@@ -38,9 +38,12 @@ HOT_GROUPS = 64          # tokens of more groups than this come last in the orde
 BUCKET_TOKENS = 2_000_000
 CHUNK_REPEATS = 3        # a token of that many sets of one chunk is counted as a possible giant
 GIANT_TOKENS = 1_000_000  # possible giants above this many sets are kept out of the buckets, which must fit a task
+GIANT_BUCKETS = 61       # buckets -1, -2, … that the giants' counts are spread over, by group
 MEMO_WORDS = 100_000      # word hashes that a comparing task keeps
 GROUP_SETS = 256         # sets of a group that is compared in one task, at most about
-QUERY_SETS = 1_024       # queries that one opening of a group takes at most
+QUERY_SETS = 1_024       # queries that one opening of a group takes at most about
+SIDE_TOKENS = 2_000_000  # tokens of either side of an opening at most about; a longer set is a side of its own
+CHUNK_TOKENS = 400_000   # tokens of the sets that count their tokens together
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LIMIT = np.uint64(int(SHARE * 2.0**64))
@@ -195,7 +198,7 @@ def _leaders(classes: DataFrame) -> DataFrame:
         .where("first.row <> last.row")
     )
     return (
-        keyed.join(heads, "band")
+        keyed.join(materialize(heads, "join-heads"), "band")  # written, so that a hot band is split
         .select("row", "n", F.explode(F.array("first", "last")).alias("h"))
         .where(F.col("row") != F.col("h.row"))
         .where(_sizes_fit(F.col("n"), F.col("h.n")))
@@ -237,7 +240,10 @@ def _postings(buckets: int, giants: np.ndarray):
             giant = giants[spot] == tokens
             hot, count = np.unique(groups[giant], return_counts=True)
             if len(hot):  # giants are hot without being looked up
-                yield _rows(np.array([-1]), [hot.tobytes()], [count.astype(np.int64).tobytes()])
+                place = -1 - hot % GIANT_BUCKETS
+                for at in np.unique(place).tolist():
+                    own = place == at
+                    yield _rows(np.array([at]), [hot[own].tobytes()], [count[own].astype(np.int64).tobytes()])
             tokens, groups = tokens[~giant], groups[~giant]
         if not len(tokens):
             return
@@ -266,12 +272,12 @@ _MATCHES = "a bigint, b bigint, shared bigint"
 def _matched(table: pa.Table) -> pa.Table:
     """Of one bucket: (group, group, shared tokens), and (group, null, hot tokens).
 
-    The giants' rows (bucket -1) already hold counts.
+    The giants' rows (buckets below 0) already hold counts.
     """
     groups = np.frombuffer(b"".join(table.column("groups").to_pylist()), np.int64)
     tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.int64)
     left, right, shared = [], [], []
-    if table.num_rows and table.column("bucket")[0].as_py() == -1:
+    if table.num_rows and table.column("bucket")[0].as_py() < 0:
         hot_groups, hot_counts = groups, tokens
     else:
         order = np.lexsort((groups, tokens))
@@ -321,6 +327,7 @@ def _qualifying(members: DataFrame, matches: DataFrame, hot: DataFrame) -> DataF
         .join(hot, "g", "left")
         .select("g", "least", "most", "rest", F.coalesce("hot", F.lit(0)).alias("hot"))
     )
+    groups = materialize(groups, "join-bounds")
     pairs = matches.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     left = groups.select(F.col("g").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("least", "most", "rest", "hot")])
     right = groups.select(F.col("g").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("least", "most", "rest", "hot")])
@@ -345,33 +352,122 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sized(rows: DataFrame, key: str, most: int, name: str) -> DataFrame:
-    """``rows`` with ``name``: an even split, by hash, of the rows of one ``key`` into parts of about ``most`` rows."""
-    counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("_parts"))
+    """``rows`` (row, n, …) with ``name``: an even split, by hash, of the rows of one ``key`` into parts of about ``most``
+    rows and SIDE_TOKENS tokens.  The counts are written, so that the join splits a hot key."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most)), F.ceil(F.sum("n") / F.lit(SIDE_TOKENS)))
+    counts = materialize(rows.groupBy(key).agg(parts.alias("_parts")), "join-parts")
     return rows.join(counts, key).withColumn(name, F.pmod(F.xxhash64("row", F.lit(3)), "_parts")).drop("_parts")
 
 
+_CHUNKS = "chunk bigint, row array<bigint>, g array<bigint>, size array<bigint>, tokens array<bigint>, seen array<struct<token:bigint,sets:bigint>>"
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk of neighbouring sets, named by its first row: the sets, and how many of them hold each token."""
+    seen_type = pa.list_(pa.struct([("token", pa.int64()), ("sets", pa.int64())]))
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def together() -> pa.RecordBatch:
+        tokens = np.concatenate([t for _, _, t in held])
+        names, found = np.unique(tokens, return_counts=True)
+        pairs = pa.StructArray.from_arrays([pa.array(names), pa.array(found.astype(np.int64))], names=["token", "sets"])
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([held[0][0]], pa.int64()),
+                whole(pa.array([r for r, _, _ in held], pa.int64())),
+                whole(pa.array([g for _, g, _ in held], pa.int64())),
+                whole(pa.array([len(t) for _, _, t in held], pa.int64())),
+                whole(pa.array(tokens)),
+                whole(pairs).cast(seen_type),
+            ],
+            names=["chunk", "row", "g", "size", "tokens", "seen"],
+        )
+
+    total = 0
+    for batch in (b for b in batches if b.num_rows):
+        flat, sizes = _flat(batch.column("tokens"))
+        for row, g, tokens in zip(
+            batch.column("row").to_pylist(), batch.column("g").to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True
+        ):
+            if held and total + len(tokens) > CHUNK_TOKENS:
+                yield together()
+                held, total = [], 0
+            held.append((row, g, tokens))
+            total += len(tokens)
+    if held:
+        yield together()
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a list column end to end, and the length of each list."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+_TAKING = "row bigint, g bigint, n bigint, key bigint, prefix array<bigint>, tokens array<bigint>"
+
+
+def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every set of a chunk that shows a token of several sets: its most frequent one, and its prefix in rarity order.
+
+    Tokens of one set alone come first in the order and cannot be shared: only their number matters.
+    """
+    for batch in batches:
+        for at in range(batch.num_rows):
+            chunk = batch.slice(at, 1)
+            token, often = (chunk.column("known").flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.argsort(token)
+            token, often = token[order], often[order]
+            rows, groups = (chunk.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("row", "g"))
+            sizes = chunk.column("size").flatten().to_numpy(zero_copy_only=False)
+            sets = np.split(chunk.column("tokens").flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1])
+            kept: list[int] = []
+            keys, prefixes = [], []
+            for i, own in enumerate(sets):
+                spot = np.minimum(np.searchsorted(token, own), len(token) - 1)
+                shared = token[spot] == own
+                left = len(own) - -(-4 * len(own) // 5) + 1 - int((~shared).sum())
+                if left <= 0:
+                    continue
+                rank = np.lexsort((own[shared], often[spot[shared]]))
+                kept.append(i)
+                keys.append(own[shared][rank[-1]])
+                prefixes.append(own[shared][rank[:left]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows[kept], pa.int64()),
+                    pa.array(groups[kept], pa.int64()),
+                    pa.array(sizes[kept], pa.int64()),
+                    pa.array(keys, pa.int64()),
+                    _lists(prefixes),
+                    _lists([sets[i] for i in kept]),
+                ],
+                names=["row", "g", "n", "key", "prefix", "tokens"],
+            )
+
+
 def _compared(queries: pa.Table, members: pa.Table, mutual: bool) -> pa.Table:
     """Opens one group for some queries: (a, b) of the links, one for each query and connected part of the members.
 
     ``mutual``: the members ask the query's group as well, so one direction is enough.
     """
-    rows, parts = queries.column("row").to_pylist(), queries.column("g").to_pylist()
-    sets = [np.asarray(t, np.int64) for t in queries.column("tokens").to_pylist()]
-    names = members.column("member").to_numpy()
-    held = [np.asarray(t, np.int64) for t in members.column("member_tokens").to_pylist()]
-    of, sizes = members.column("member_g").to_numpy(), np.array([len(t) for t in held], np.int64)
     a: list[int] = []
     b: list[int] = []
-    if rows and held:
+    if queries.num_rows and members.num_rows:
+        rows, parts = queries.column("row").to_pylist(), queries.column("g").to_pylist()
+        asked, lengths = _flat(queries.column("tokens"))
+        names, of = members.column("member").to_numpy(), members.column("member_g").to_numpy()
+        flat, sizes = _flat(members.column("member_tokens"))
         # the column of the matrix: all tokens of the group, with the members that hold each
-        flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        for row, part, tokens in zip(rows, parts, sets, strict=True):
+        for row, part, tokens in zip(rows, parts, np.split(asked, np.cumsum(lengths)[:-1]), strict=True):
             low, high = np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
             if 5 * int((high > low).sum()) < 4 * len(tokens):
                 continue  # the bound: the group's union lacks too many of the query's tokens
-            shared = np.bincount(owner[ranges(low, high - low)], minlength=len(held))
+            shared = np.bincount(owner[ranges(low, high - low)], minlength=len(sizes))
             linked = (100 * shared >= 80 * (len(tokens) + sizes - shared)) & (of != part)
             if mutual:
                 linked &= names > row
@@ -384,35 +480,26 @@ def _compared(queries: pa.Table, members: pa.Table, mutual: bool) -> pa.Table:
 def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
     """(a, b): links among the sets in ``short`` (row, doc_id, content, n, g), at least one between any two of their g.
 
-    The sets with the same most frequent token are a family, split into groups where it has more than GROUP_SETS.  A
-    query meets the families that hold one of its rarest tokens among theirs; the union of each of their groups bounds
-    the overlap, and only groups that pass are opened, each query against all members at once.  Rows are queries and
-    groups, never pairs of sets.
+    How many sets hold a token is counted per chunk of neighbouring sets: the sets are dealt by their smallest token,
+    so near copies are neighbours and their chunk counts, and looks up, each of their tokens once.  The sets with the
+    same most frequent token are a family, split into groups of bounded size.  A query meets the families that hold one
+    of its rarest tokens among theirs; the union of each of their groups bounds the overlap, and only groups that pass
+    are opened, each query against all members at once.  Rows are queries and groups, never pairs of sets.
     """
-    texts = _texts(docs, short)
-    tokens = materialize(texts.mapInArrow(_exploded, "row bigint, tokens array<bigint>"), "join-short")
-    single = tokens.select("row", F.explode("tokens").alias("token"))
-    rare = single.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # tokens of one set alone come first in the order and cannot be shared: only their number matters
-    kept = (
-        single.join(rare, "token")
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-        .join(short.select("row", "n", "g"), "row")
-    )
-    prefix = F.col("n") - F.ceil(4 * F.col("n") / 5) + 1
-    left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("shared"))).cast("int")
-    # only sets that show a shared token take part
-    taking = kept.select(
-        "row", "g", F.element_at("shared", -1)["token"].alias("key"), F.slice("shared", F.lit(1), left)["token"].alias("prefix")
-    ).where(F.size("prefix") > 0)
-    sets = materialize(taking.join(tokens, "row"), "join-short-taking")
-    grouped = materialize(_sized(sets.select("row", "key"), "key", GROUP_SETS, "piece"), "join-short-groups")
-    entries = materialize(sets.select("row", "key", F.explode("prefix").alias("token")), "join-entries")
-    matrix = entries.select("token", "key").distinct()
-    asked = entries.select("row", "token").join(matrix, "token").select("row", "key").distinct()
-    pieces = grouped.select("key", "piece").distinct()
-    asked = asked.join(pieces, "key").select("row", F.struct("key", "piece").alias("group"))
+    tokens = _texts(docs, short).mapInArrow(_exploded, "row bigint, tokens array<bigint>")
+    near = tokens.join(short.select("row", "g"), "row").orderBy(F.array_min("tokens"), "row")
+    parts = materialize(near.select("row", "g", "tokens").mapInArrow(_chunked, _CHUNKS), "join-short")
+    seen = parts.select("chunk", F.explode("seen").alias("s")).select("chunk", "s.token", "s.sets")
+    several = materialize(seen.groupBy("token").agg(F.sum("sets").alias("df")).where("df > 1"), "join-df")
+    known = seen.join(several, "token").groupBy("chunk").agg(F.collect_list(F.struct("token", "df")).alias("known"))
+    sets = parts.drop("seen").join(known, "chunk")
+    sets = materialize(sets.select("row", "g", "size", "tokens", "known").mapInArrow(_prefixed, _TAKING), "join-short-taking")
+    grouped = materialize(_sized(sets.select("row", "n", "key"), "key", GROUP_SETS, "piece"), "join-short-groups")
+    entries = materialize(sets.select("row", "n", "key", F.explode("prefix").alias("token")), "join-entries")
+    matrix = materialize(entries.select("token", "key").distinct(), "join-matrix")
+    asked = entries.select("row", "n", "token").join(matrix, "token").select("row", "n", "key").distinct()
+    pieces = materialize(grouped.select("key", "piece").distinct(), "join-pieces")
+    asked = asked.join(pieces, "key").select("row", "n", F.struct("key", "piece").alias("group"))
     members = grouped.select("row", F.struct("key", "piece").alias("group"))
     return _open(asked, members, sets.select("row", "g", "tokens"), mutual=True)
 
@@ -421,13 +508,13 @@ def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
 
 
 def _open(asked: DataFrame, members: DataFrame, sets: DataFrame, mutual: bool) -> DataFrame:
-    """Links (a, b) of the queries ``asked`` (row, group) with ``members`` (row, group); ``sets`` has (row, g, tokens).
+    """Links (a, b) of the queries ``asked`` (row, n, group) with ``members`` (row, group); ``sets`` has (row, g, tokens).
 
-    A task holds one group of at most about GROUP_SETS and QUERY_SETS of its queries; a group with more queries is
-    handed out again for every further part of them.
+    A task holds one group of at most about GROUP_SETS sets and QUERY_SETS of its queries, each side with at most about
+    SIDE_TOKENS tokens; a group with more queries is handed out again for every further part of them.
     """
     asked = materialize(_sized(asked, "group", QUERY_SETS, "chunk"), "join-asked")
-    parts = asked.groupBy("group").agg(F.max("chunk").alias("last"))
+    parts = materialize(asked.groupBy("group").agg(F.max("chunk").alias("last")), "join-last")
     queries = asked.join(sets, "row").select("group", "chunk", "row", "g", "tokens")
     held = (
         members.join(parts, "group")
@@ -461,12 +548,12 @@ def _opened(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
         F.when(turned, F.col("b")).otherwise(F.col("a")).alias("g"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("to")
     )
     large = materialize(
-        _sized(members.join(asks.select(F.col("to").alias("g")).distinct(), "g", "left_semi").select("row", "g"), "g", GROUP_SETS, "piece"),
+        _sized(members.join(asks.select(F.col("to").alias("g")).distinct(), "g", "left_semi").select("row", "n", "g"), "g", GROUP_SETS, "piece"),
         "join-groups",
     )
-    pieces = large.select(F.col("g").alias("to"), "piece").distinct()
+    pieces = materialize(large.select(F.col("g").alias("to"), "piece").distinct(), "join-group-pieces")
     asked = materialize(
-        asks.join(members.select("row", "g"), "g").join(pieces, "to").select("row", F.struct(F.col("to").alias("g"), "piece").alias("group")),
+        asks.join(members.select("row", "n", "g"), "g").join(pieces, "to").select("row", "n", F.struct(F.col("to").alias("g"), "piece").alias("group")),
         "join-asking",
     )
     involved = materialize(
@@ -492,8 +579,9 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets = materialize(source.mapInArrow(_sets, _SETS).withColumn("row", F.monotonically_increasing_id()), "join-sets")
     slim = sets.select("row", "doc_id", "content", "n", "w", "digest")
     least = slim.where("digest is not null").groupBy("digest").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("copies"))
+    least = materialize(least.where("copies > 1"), "join-heads")  # written, so that a hot digest is split
     again = materialize(
-        slim.join(least.where("copies > 1"), "digest").where("row <> class").select("row", "class"), "join-copies"
+        slim.join(least, "digest").where("row <> class").select("row", "class"), "join-copies"
     )
     copies = small_side(again)
     classes = sets.where("n > 0").join(copies, "row", "left_anti")
@@ -515,7 +603,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .applyInArrow(_matched, _MATCHES),
         "join-matches",
     )
-    hot = matches.where("b is null").groupBy(F.col("a").alias("g")).agg(F.sum("shared").alias("hot"))
+    hot = materialize(matches.where("b is null").groupBy(F.col("a").alias("g")).agg(F.sum("shared").alias("hot")), "join-hot")
     qualifying = _qualifying(members, matches, hot)
     needed = F.col("n") - F.ceil(4 * F.col("n") / 5) + 1
     short = materialize(
@@ -528,7 +616,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     roots = materialize(_components(every), "join-roots")
     placed = slim.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    return placed.join(first, "root").select(
+    return placed.join(materialize(first, "join-first"), "root").select(
         "row",
         "doc_id",
         "content",
@@ -539,9 +627,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, and all rows without links; columns unchanged."""
-    if "_same" in docs.columns:
-        raise ValueError("column _same is used inside")
+    """The rows of ``docs`` with the smallest id of their component, and all rows without links; columns unchanged,
+    whatever their names."""
     found = materialize(linked_components(docs, key, text), "join-result")
     names = F.col("doc_id").alias("_drop_id"), F.col("content").alias("_drop_content")
     stays = found.where("is_first").select(*names)
@@ -553,7 +640,7 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text")
     left = without_rows(docs, dropped, key, text)
     if repeated.isEmpty():
         return left
-    marked = left.withColumn("_same", F.xxhash64(F.col(text).cast("string")))
-    at = (F.col("_same") == F.col("_drop_content")) & F.col(key).eqNullSafe(F.col("_drop_id"))
-    once = marked.join(small_side(repeated), at, "left_semi").dropDuplicates([key, "_same"])
-    return marked.join(small_side(repeated), at, "left_anti").unionByName(once).drop("_same")
+    held = left.select(F.struct("*").alias("_doc"), F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_same"))
+    at = (F.col("_same") == F.col("_drop_content")) & F.col("_id").eqNullSafe(F.col("_drop_id"))
+    once = held.join(small_side(repeated), at, "left_semi").dropDuplicates(["_id", "_same"])
+    return held.join(small_side(repeated), at, "left_anti").unionByName(once).select("_doc.*")
