@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import SCHEMA, edge_rows, prose
-from weftline.llm import exactdedup, ngramjoin, quality, sharding
+from weftline.llm import exactdedup, langid, ngramjoin, quality, sharding
 from weftline.llm.queries import QUERIES
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -270,3 +270,108 @@ def test_pipeline_run_equals_brute_force(spark, small_dir):
 
 def test_schema_of_fixture(edge):
     assert edge.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+# ---- columns with the names that are used inside, and tables without labels
+
+
+INSIDE = (
+    "row content key label n w g digest bands low often class copies root hash doc bucket first pos sum n_trigrams evidence p declared host domain suffix "
+    "_doc _id _same _drop_id _drop_content _stays _equal _row _digest _key _k _n _hash _bucket _first _pos _sum _text _content _locator keep kept batch"
+).split()
+
+
+@pytest.fixture(scope="module")
+def crowded(edge):
+    return edge.withColumns({name: F.lit(f"own {name}") for name in INSIDE})
+
+
+def as_rows(df, names):
+    return Counter(tuple(r[n] for n in names) for r in df.collect())
+
+
+@pytest.mark.parametrize("stage", ["language_id", "quality_rules", "exact_dedup", "ngram_join"])
+def test_stages_take_columns_of_any_name(spark, edge, crowded, stage):
+    function = dict(corpus_pipeline.STAGES)[stage]
+    got = function(spark, crowded, "")
+    assert got.columns == crowded.columns
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert as_rows(got, names) == as_rows(function(spark, edge, ""), names)
+    assert all(r[name] == f"own {name}" for r in got.collect() for name in INSIDE)
+
+
+def test_packing_takes_columns_of_any_name(spark, edge, crowded):
+    function = dict(corpus_pipeline.STAGES)["best_fit_packing"]
+    assert function(spark, crowded, "").count() == function(spark, edge, "").count()
+
+
+def test_shards_take_columns_of_any_name(crowded):
+    given = crowded.withColumns({"_size": F.lit("a"), "_shard": F.lit("b"), "_slot": F.lit("c")})
+    got = sharding.shard_rows(given, 7, bucket_bytes=20_000)
+    assert sorted(got.columns) == sorted([*crowded.columns, "_size_given", "_shard_given", "_slot_given", "_size", "_shard", "_slot"])
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((r[0], r[1]) for r in edge_rows())
+
+
+def test_repeated_rows_are_spread_over_buckets(spark):
+    rows = spark.createDataFrame([(1, "the same text")] * 3000 + [(i, f"text {i}") for i in range(2, 1500)], "doc_id bigint, text string")
+    numbered = sharding._numbered(rows.repartition(4), F.xxhash64(F.lit(0), "doc_id", "text"))
+    counts = [r["count"] for r in numbered.groupBy(F.pmod("hash", F.lit(16)).alias("b")).count().collect()]
+    assert sum(counts) == 4499 and max(counts) < 2 * min(counts)
+    got = sharding.shard_rows(rows, 10, bucket_bytes=8_000).groupBy("_shard").count().collect()
+    assert sorted(r["count"] for r in got) == [449] + [450] * 9
+
+
+def test_tables_without_labels(spark, edge, nothing):
+    unlabelled = edge.withColumn("lang", F.lit(None).cast("string"))
+    for docs in (unlabelled, nothing):
+        assert corpus_pipeline.language_id(spark, docs, "").collect() == []
+    model = langid.train(unlabelled)
+    judged = langid.identify(edge, model, "doc_id", "text", F.col("lang"), F.col("source")).collect()
+    assert len(judged) == len(edge_rows())
+    assert all((r["lang"], r["confidence"], r["text_lang"], r["kept"]) == (None, 0.0, None, False) for r in judged)
+
+
+# ---- near copies of one text
+
+
+def near_copies(spark, members):
+    base = prose(77, 150).split()
+    rows = []
+    for i in range(members):
+        words = list(base)
+        words[7 + i % 100] = f"changed{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(10_000 + i, prose(1000 + i, 60)) for i in range(200)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+
+
+def token_rows(spark, members, monkeypatch):
+    """Rows of the chunks' distinct tokens, which is what the join with their counts takes in."""
+    kept = []
+    original = ngramjoin.materialize
+
+    def watched(df, label="step"):
+        out = original(df, label)
+        if label == "join-short":
+            kept.append(out.select(F.explode("seen")).count())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "materialize", watched)
+    found = ngramjoin.linked_components(near_copies(spark, members)).collect()
+    assert {r["component_id"] for r in found if r["doc_id"] < 10_000} == {0}
+    return kept[0]
+
+
+def test_tokens_of_near_copies_are_counted_once_per_chunk(spark, monkeypatch):
+    few, many = token_rows(spark, 60, monkeypatch), token_rows(spark, 600, monkeypatch)
+    assert many < few + 600 * 8 + 4 * 160  # five new shingles a copy, and the common ones once per chunk
+
+
+def test_links_without_leaders(spark, edge, monkeypatch):
+    want = sorted((r["row"], r["component_id"] or -1) for r in ngramjoin.linked_components(edge).select("row", "component_id").collect())
+    original = ngramjoin._leaders
+    monkeypatch.setattr(ngramjoin, "_leaders", lambda classes: original(classes).where("false"))
+    monkeypatch.setattr(ngramjoin, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(ngramjoin, "SIDE_TOKENS", 500)
+    got = sorted((r["row"], r["component_id"] or -1) for r in ngramjoin.linked_components(edge).select("row", "component_id").collect())
+    assert [c for _, c in got] == [c for _, c in want]

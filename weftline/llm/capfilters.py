@@ -108,6 +108,8 @@ def codes(dim: int, blocks: int, words: int) -> list[tuple[np.ndarray, list[np.n
 def decoded(units: np.ndarray, vectors: int, least: float = LEAST_COSINE) -> tuple[np.ndarray, np.ndarray]:
     """(vector, filter) for every filter that a row of ``units`` passes, in order of the vectors."""
     dim = units.shape[1]
+    if dim >= 1 << 18:
+        raise ValueError("vectors of more than 262,143 components have no filters")
     cap, blocks, words = plan(vectors, dim, least)
     if dim < 2:
         units = np.pad(units, ((0, 0), (0, 2 - dim)))
@@ -121,7 +123,7 @@ def decoded(units: np.ndarray, vectors: int, least: float = LEAST_COSINE) -> tup
         for k in range(blocks - 1, -1, -1):
             rest[k] = rest[k + 1] + products[k].max(axis=1)
         at = np.flatnonzero(rest[0] >= need)
-        total, name = np.zeros(len(at)), np.full(len(at), dim * CODES + number, np.int64)
+        total, name = np.zeros(len(at)), np.zeros(len(at), np.int64)
         for k in range(blocks):
             steps = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
             for cut in range(0, len(at), 4_096):
@@ -131,7 +133,7 @@ def decoded(units: np.ndarray, vectors: int, least: float = LEAST_COSINE) -> tup
                 steps.append((at[rows][i], sums[i, word], name[rows][i] * words + word))
             at, total, name = (np.concatenate(s) for s in zip(*steps, strict=True))
         of.append(at)
-        filters.append(name)
+        filters.append((dim * CODES + number << 40) + name)  # a code has at most MAX_WORDS ** MAX_BLOCKS directions
     vector, passed = np.concatenate(of), np.concatenate(filters)
     order = np.lexsort((passed, vector))
     return vector[order], passed[order]

@@ -117,15 +117,14 @@ def _collided(docs: DataFrame, key: str, text: str, digest, state: DataFrame) ->
         F.concat_ws(":", digest(F.col(text)), F.octet_length(text)).alias("digest"),
         F.col(text).alias("_text"),
     )
-    hits = rows.join(repeated.hint("shuffle_hash"), "digest")
-    hits = materialize(hits, "dedup-hits")
+    hits = materialize(rows.join(repeated, "digest"), "dedup-hits")
     retained = (
         hits.where(F.col("_id").eqNullSafe(F.col("_keep_id")))
         .groupBy("digest")
         .agg(F.min("_text").alias("_kept_text"))
     )
     return (
-        hits.join(retained, "digest")
+        hits.join(materialize(retained, "dedup-retained"), "digest")  # written, so that a hot digest is split
         .where(F.col("_text") != F.col("_kept_text"))
         .select("digest")
         .distinct()
@@ -151,27 +150,27 @@ def _by_bytes(docs, slim, grouped, different, key, text, digest) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """The rows of ``docs`` without copies: of equal texts the row with the largest id stays, once."""
-    if "_row" in docs.columns or "_digest" in docs.columns:
-        raise ValueError("columns _row and _digest are used inside")
+    """The rows of ``docs`` without copies: of equal texts the row with the largest id stays, once.
+
+    The caller's row rides along as one struct, so its columns may have any names.
+    """
     found = deduplicate(docs, key, text, batch_bytes=batch_bytes).where("kept").select("_id", "digest")
-    keyed = docs.withColumn("_digest", F.concat_ws(":", sha256(filled_text(text)), F.octet_length(filled_text(text))))
+    digest = F.concat_ws(":", sha256(filled_text(text)), F.octet_length(filled_text(text)))
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_key"), digest.alias("_digest"))
     stay = materialize(found.select(F.col("_id").alias("_stays"), F.col("digest").alias("_equal")), "dedup-stay")
-    left = keyed.join(
-        stay.hint("shuffle_hash"), (F.col("_digest") == F.col("_equal")) & F.col(key).eqNullSafe(F.col("_stays")), "left_semi"
-    )
+    same = (F.col("_digest") == F.col("_equal")) & F.col("_key").eqNullSafe(F.col("_stays"))
+    left = keyed.join(stay, same, "left_semi")
     # ids are unique as a rule; rows that repeat an id and its text are thinned out on their own
     twice = stay.join(
         materialize(docs.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "dedup-ids"),
         F.col("_stays").eqNullSafe(F.col("_k")),
         "left_semi",
     )
-    if twice.isEmpty():
-        return left.drop("_digest")
     several = materialize(twice, "dedup-twice")
-    same = (F.col("_digest") == F.col("_equal")) & F.col(key).eqNullSafe(F.col("_stays"))
+    if several.isEmpty():
+        return left.select("_doc.*")
     once = left.join(several, same, "left_semi").dropDuplicates(["_digest"])
-    return left.join(several, same, "left_anti").unionByName(once).drop("_digest")
+    return left.join(several, same, "left_anti").unionByName(once).select("_doc.*")
 
 
 def filled_text(text: str) -> Column:

@@ -13,6 +13,7 @@ every language, so it favours none.
 
 Null and empty texts, and texts without letters, give no text evidence: declaration and host decide, or nothing, and
 the row is not kept.  Unknown declarations and missing hosts are neutral.  Ties go to the first language by name.
+Rows that repeat are judged alike, apart from the row's own count; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -228,11 +229,10 @@ def identify(
 
     ``content`` is a hash of the text.  ``declared`` may be a full tag (``en-GB``); its first part counts.
     ``lang`` is the likeliest of the model's languages also where the text fits none of them; ``kept`` is false there.
+    A model without languages, as trained where no row declares one, gives null, confidence 0 and keeps nothing.
     """
     spark = ship(rows.sparkSession)
     languages = model.languages
-    if not languages:
-        raise ValueError("the model knows no language")
     source = rows.select(
         F.col(key).alias("key"),
         F.xxhash64(F.col(text).cast("string")).alias("content"),
@@ -248,6 +248,12 @@ def identify(
         F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"),
         "text",
     )
+    if not languages:
+        none = F.lit(None).cast("string")
+        return source.select(
+            F.col("key").alias(key), "content", none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"),
+            "declared", "host", F.lit(False).alias("kept"),
+        )
     schema = source.drop("text").withColumns({"n_trigrams": F.lit(0).cast("bigint"), "evidence": F.array(F.lit(0.0))}).schema
     scored = source.mapInArrow(_scored(spark.sparkContext.broadcast(model)), schema)
     scored = materialize(scored.withColumn("p", _posterior(F.col("evidence"))), "language-scores")
@@ -309,10 +315,13 @@ def identify(
 
 
 def keep_identified(docs: DataFrame, declared: str = "lang", host: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with confidence; the model is trained on the declared languages."""
+    """The rows of ``docs`` whose language is known with confidence; the model is trained on the declared languages.
+
+    Where no row declares a language, nothing can be learned and no row stays.  Other columns may have any names.
+    """
     model = train(docs, text, declared)
     if not model.languages:
-        raise ValueError("no row declares a language, so there is nothing to learn from")
+        return docs.where(F.lit(False))
     judged = identify(docs, model, key, text, F.col(declared), F.col(host))
     rejected = judged.where("not kept").select(F.col(key).alias("_drop_id"), F.col("content").alias("_drop_content")).distinct()
     return without_rows(docs, materialize(rejected, "language-rejected"), key, text)

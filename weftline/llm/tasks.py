@@ -45,14 +45,18 @@ def filled(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """A written list of ids as one side of a join: broadcast where its size allows, else one hash shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+    """A written list of ids as one side of a join: broadcast where its counted size allows, else as Spark decides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows of the written list (_drop_id, _drop_content: hash of the text)."""
-    same = (F.xxhash64(F.col(text).cast("string")) == F.col("_drop_content")) & F.col(key).eqNullSafe(F.col("_drop_id"))
-    return docs.join(small_side(dropped), same, "left_anti")
+    """``docs`` without the rows of the written list (_drop_id, _drop_content: hash of the text).
+
+    The caller's row rides along as one struct, so its columns may have any names.
+    """
+    held = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_same"))
+    same = (F.col("_same") == F.col("_drop_content")) & F.col("_id").eqNullSafe(F.col("_drop_id"))
+    return held.join(small_side(dropped), same, "left_anti").select("_doc.*")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str, text: str =
         .withColumnRenamed("content", "_content")
     )
     one_each = rows.join(
-        missing.hint("shuffle_hash"),
+        missing,
         (F.col("content") == F.col("_content")) & F.col("_key").eqNullSafe(F.col("_first")),
         "left_semi",
     )
