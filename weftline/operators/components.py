@@ -17,7 +17,8 @@ def _stars(links: DataFrame) -> DataFrame:
     """One large-star step followed by one small-star step on distinct (u, v) pairs with u > v."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # least neighbour of every node, itself included: partial aggregation keeps a hub cheap
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that the join splits a hub: the exchange of an aggregate on the join's own key cannot be
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     large = (
         both.join(least, "u")
         .where("v > u")
@@ -25,7 +26,8 @@ def _stars(links: DataFrame) -> DataFrame:
         .where("u <> v")
         .distinct()
     )
-    lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+    large = materialize(large, "large-star")
+    lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
     small = (
         large.join(lowest, "u")
         .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -89,7 +91,7 @@ def component_sizes(components: DataFrame) -> DataFrame:
 def component_members(components: DataFrame) -> DataFrame:
     """(cluster_id, position, name): members in name order, as rows so that a giant component stays spread."""
     placed = ranked(components, [F.col("cluster_id"), F.col("name")], "_pos")
-    first = placed.groupBy("cluster_id").agg(F.min("_pos").alias("_first"))
+    first = materialize(placed.groupBy("cluster_id").agg(F.min("_pos").alias("_first")), "first")  # a giant component is split
     return placed.join(first, "cluster_id").select(
         "cluster_id", (F.col("_pos") - F.col("_first")).alias("position"), "name"
     )
