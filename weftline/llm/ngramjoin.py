@@ -405,7 +405,7 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_TAKING = "row bigint, g bigint, n bigint, key bigint, prefix array<bigint>, tokens array<bigint>"
+_TAKING = "chunk bigint, row bigint, g bigint, n bigint, key bigint, prefix array<bigint>, tokens array<bigint>"
 
 
 def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,6 +436,7 @@ def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prefixes.append(own[shared][rank[:left]])
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([chunk.column("chunk")[0].as_py()] * len(kept), pa.int64()),
                     pa.array(rows[kept], pa.int64()),
                     pa.array(groups[kept], pa.int64()),
                     pa.array(sizes[kept], pa.int64()),
@@ -443,7 +444,7 @@ def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     _lists(prefixes),
                     _lists([sets[i] for i in kept]),
                 ],
-                names=["row", "g", "n", "key", "prefix", "tokens"],
+                names=["chunk", "row", "g", "n", "key", "prefix", "tokens"],
             )
 
 
@@ -493,11 +494,13 @@ def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
     several = materialize(seen.groupBy("token").agg(F.sum("sets").alias("df")).where("df > 1"), "join-df")
     known = seen.join(several, "token").groupBy("chunk").agg(F.collect_list(F.struct("token", "df")).alias("known"))
     sets = parts.drop("seen").join(known, "chunk")
-    sets = materialize(sets.select("row", "g", "size", "tokens", "known").mapInArrow(_prefixed, _TAKING), "join-short-taking")
+    sets = materialize(sets.select("chunk", "row", "g", "size", "tokens", "known").mapInArrow(_prefixed, _TAKING), "join-short-taking")
     grouped = materialize(_sized(sets.select("row", "n", "key"), "key", GROUP_SETS, "piece"), "join-short-groups")
-    entries = materialize(sets.select("row", "n", "key", F.explode("prefix").alias("token")), "join-entries")
+    entries = materialize(sets.select("chunk", "row", "n", "key", F.explode("prefix").alias("token")), "join-entries")
     matrix = materialize(entries.select("token", "key").distinct(), "join-matrix")
-    asked = entries.select("row", "n", "token").join(matrix, "token").select("row", "n", "key").distinct()
+    # the sets of a chunk that show a token ask for its families together
+    asking = entries.groupBy("chunk", "token").agg(F.collect_list(F.struct("row", "n")).alias("sets"))
+    asked = asking.join(matrix, "token").select("key", F.explode("sets").alias("s")).select("s.row", "s.n", "key").distinct()
     pieces = materialize(grouped.select("key", "piece").distinct(), "join-pieces")
     asked = asked.join(pieces, "key").select("row", "n", F.struct("key", "piece").alias("group"))
     members = grouped.select("row", F.struct("key", "piece").alias("group"))
