@@ -91,25 +91,27 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang_names, lang = _numbered(langs)
         group_names, group = _numbered(list(zip(langs, sources, strict=True)))
 
-        counted, count = np.unique(group[doc] * len(terms) + ids, return_counts=True)
+        pairs, found = np.unique(ids * len(texts) + doc, return_counts=True)
+        term_of, holder = np.divmod(pairs, len(texts))
+        counted, place = np.unique(group[holder] * len(terms) + term_of, return_inverse=True)
+        count = np.zeros(len(counted), np.int64)
+        np.add.at(count, place, found)
         of, term = np.divmod(counted, len(terms))
+        spelled = pa.array(terms, pa.binary())
+        group_lang, group_source = (pa.array(names, pa.string()) for names in zip(*group_names, strict=True))
         for at in range(0, len(counted), OUT_ROWS):
-            cut = slice(at, at + OUT_ROWS)
-            names = [group_names[g] for g in of[cut].tolist()]
+            own, of_group = pa.array(term[at : at + OUT_ROWS]), pa.array(of[at : at + OUT_ROWS])
             yield _both(
                 {
-                    "lang": [n[0] for n in names],
-                    "source": [n[1] for n in names],
-                    "term": [terms[t] for t in term[cut].tolist()],
-                    "count": count[cut],
+                    "lang": group_lang.take(of_group),
+                    "source": group_source.take(of_group),
+                    "term": spelled.take(own),
+                    "count": count[at : at + OUT_ROWS],
                 }
             )
-        pairs = np.unique((lang[doc] * len(terms) + ids) * len(texts) + doc)
-        key, holder = np.divmod(pairs, len(texts))
-        of, term = np.divmod(key, len(terms))
         for number, name in enumerate(lang_names):
-            own = of == number
-            held, sizes = np.unique(term[own], return_counts=True)
+            own = lang[holder] == number
+            held, sizes = np.unique(term_of[own], return_counts=True)
             rows = _extended(name, [terms[t] for t in held.tolist()], sizes, holder[own].astype(np.int32), FIRST_BYTES)
             yield from map(_both, _batches(rows))
 
@@ -118,11 +120,15 @@ def _both(columns: dict) -> pa.RecordBatch:
     fields = [*_COUNTS, *[f for f in _PREFIXES if f.name != "lang"]]
     rows = len(columns["lang"])
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in fields],
+        [_column(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in fields],
         names=[f.name for f in fields],
     )
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def _extended(lang: str, terms: list[bytes], sizes: np.ndarray, holders: np.ndarray, length: int) -> Iterator[tuple]:
     """Rows of _PREFIXES for sorted terms, cut at ``length`` bytes; ``sizes`` of ``holders`` belong to each term.
 
@@ -140,7 +146,7 @@ def _extended(lang: str, terms: list[bytes], sizes: np.ndarray, holders: np.ndar
         while to < len(terms) and terms[to].startswith(prefix):
             to += 1
         held = holders[start : ends[to - 1]]
-        docs = len(held) if to == at + 1 else len(np.unique(held))
+        docs = len(held) if to == at + 1 else len(set(held.tolist())) if len(held) < 200 else len(np.unique(held))
         yield lang, prefix, False, docs, b"\n".join(terms[at:to]), sizes[at:to].astype(np.int32).tobytes(), held.tobytes()
         start, at = ends[to - 1], to
 
