@@ -62,3 +62,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Drop an intermediate table that no later step reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+POINTER = "CURRENT"
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_pointer(spark: SparkSession, root: str) -> str | None:
+    """What the pointer file of a versioned folder says, or nothing without one."""
+    target, files = _file(spark, f"{root}/{POINTER}")
+    return spark.read.text(f"{root}/{POINTER}").first()["value"] if files.exists(target) else None
+
+
+def write_pointer(spark: SparkSession, root: str, text: str) -> None:
+    """Replace the pointer by a rename, so that a reader finds the old version or the new one, never a part."""
+    fresh, fs = _file(spark, f"{root}/.{POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(_file(spark, f"{root}/{POINTER}")[0]), options)
