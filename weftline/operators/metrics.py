@@ -206,24 +206,26 @@ def probe_metrics(items: DataFrame) -> DataFrame:
 def duplicate_metrics(metrics: DataFrame) -> DataFrame:
     """Calculations that occur at least twice, with the first-seen expression and distinct name / id counts.
 
-    One hash aggregate reduces the metrics to their spellings, with the first place of each as one number.
+    One hash aggregate reduces the metrics to their spellings by name and statement, with the first place of each as one
+    number; the metrics are read once.
     """
     named = metrics.where(F.col("normalized_expression") != "")
     place = F.col("ord").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (
         F.col("branch_no").cast("bigint") * 10**9 + F.col("item_no")
     ).cast("decimal(19,0)")
-    groups = (
-        named.groupBy("normalized_expression", "expression")
-        .agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
-        .groupBy("normalized_expression")
-        .agg(F.min_by("expression", "place").alias("expression"), F.sum("n").alias("occurrence_count"))
-        .where("occurrence_count > 1")
+    spellings = named.groupBy("normalized_expression", "expression", "name", "sql_id").agg(
+        F.min(place).alias("place"), F.count(F.lit(1)).alias("n")
     )
-    counts = named.groupBy("normalized_expression").agg(
-        F.count_distinct(F.when(~is_blank(F.col("name")), F.col("name"))).alias("name_count"),
-        F.count_distinct(F.when(~is_blank(F.col("sql_id")), F.col("sql_id"))).alias("sql_count"),
+    return (
+        spellings.groupBy("normalized_expression")
+        .agg(
+            F.min_by("expression", "place").alias("expression"),
+            F.sum("n").alias("occurrence_count"),
+            F.count_distinct(F.when(~is_blank(F.col("name")), F.col("name"))).alias("name_count"),
+            F.count_distinct(F.when(~is_blank(F.col("sql_id")), F.col("sql_id"))).alias("sql_count"),
+        )
+        .where("occurrence_count > 1")
     )
-    return groups.join(counts, "normalized_expression")
 
 
 def duplicate_members(metrics: DataFrame, duplicates: DataFrame) -> DataFrame:

@@ -87,20 +87,17 @@ def _batch_pairs(sql_facts: DataFrame) -> DataFrame:
 def batch_edges(sql_facts: DataFrame) -> DataFrame:
     """Dependency edges keyed by lower-case names; the spelling is that of the first occurrence.
 
-    The pairs are reduced by hash to one row per spelling, with the first place as one number; only those few
-    rows go through the (sorting) choice of the first spelling.
+    The pairs are made once and reduced by hash to one row per spelling and statement, with the first place as one number;
+    only those rows go through the (sorting) choice of the first spelling.
     """
     pairs = _batch_pairs(sql_facts)
     place = F.col("ord").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (
         F.col("read_pos").cast("bigint") * 10**9 + F.col("write_pos")
     ).cast("decimal(19,0)")
-    spellings = pairs.groupBy("src_key", "dst_key", "src", "dst").agg(F.min(place).alias("place"))
-    shown = spellings.groupBy("src_key", "dst_key").agg(F.min_by(F.struct("src", "dst"), "place").alias("shown"))
+    spellings = pairs.groupBy("src_key", "dst_key", "src", "dst", "sql_id").agg(F.min(place).alias("place"))
     ids = F.count_distinct(F.when(~is_blank(F.col("sql_id")), F.col("sql_id")))
-    counts = pairs.groupBy("src_key", "dst_key").agg(ids.alias("sql_count"))
-    return shown.join(counts, ["src_key", "dst_key"]).select(
-        F.col("shown.src").alias("src"), F.col("shown.dst").alias("dst"), "sql_count"
-    )
+    edges = spellings.groupBy("src_key", "dst_key").agg(F.min_by(F.struct("src", "dst"), "place").alias("shown"), ids.alias("sql_count"))
+    return edges.select(F.col("shown.src").alias("src"), F.col("shown.dst").alias("dst"), "sql_count")
 
 
 def batch_edge_sqls(sql_facts: DataFrame) -> DataFrame:
