@@ -86,7 +86,7 @@ def whole_batch(spark, path):
 def test_batches_in_blocks_equal_whole_ones(spark, tmp_path, small_splits):
     items = [random.Random(i).choice([f"select '{record(i)['sql']}' from t{i}", {"sql": f" select {i} ", "source": "s", "metadata": {"k": "},"}}]) for i in range(60)]
     text = "\n -- @SQL \n".join(["", "select 1\n  from t -- @SQL not alone", "  ", *[f"select {i},\n'[' from u{i}" for i in range(40)]])
-    path = files(tmp_path / "s", json.dumps(items, ensure_ascii=False), text, "﻿" + "select 9", '["one"]')
+    path = files(tmp_path / "s", json.dumps(items, ensure_ascii=False), text, "select 9", '["one"]')
     got = sql_batch.read_sql_batch(spark, path)
     rows = got.orderBy("ord").collect()
     assert sorted((r.sql_id, r.sql, r.source, str(r.metadata)) for r in rows) == whole_batch(spark, path)

@@ -45,7 +45,7 @@ def _validated(elements: DataFrame, order: list[str] | None = None) -> DataFrame
     parsed = (
         elements.select(
             *arrival,
-            *[F.col(c).alias(f"_{c}") for c in order],
+            *[F.col(c).alias(f"_by_{c}") for c in order],
             problem.alias("problem"),
             field_text(e, "source").alias("source"),
             field_text(e, "name").alias("name"),
@@ -55,7 +55,7 @@ def _validated(elements: DataFrame, order: list[str] | None = None) -> DataFrame
             _tables(e, "outputTables", "outputtables").alias("output_tables"),
         )
     )
-    places = [f"_{c}" for c in order]
+    places = [f"_by_{c}" for c in order]
     # the order is that of (file, position); the ranked rows are written
     parsed = ranked(parsed, [F.col(c) for c in places], "ord").drop(*places) if order else materialize(parsed, "catalogue")
     found = parsed.where("problem is not null").select("problem").first()
