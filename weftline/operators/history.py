@@ -121,11 +121,14 @@ def search_history(df: DataFrame, query: str = "", only: str | None = None) -> D
 
 
 def assign_ids(df: DataFrame, key: str, order: list[str], moment: str = "created_ms") -> DataFrame:
-    """Strictly increasing ids: max(last id + 1, moment), in closed form over the rows of a key."""
-    numbered = running(df, [key], order, {"_n": Running("count")})
-    shifted = numbered.withColumn("_lead", F.col(moment) - F.col("_n"))
-    highest = running(shifted, [key], order, {"_high": Running("max", F.col("_lead"))})
-    return highest.withColumn("assigned_id", F.col("_n") + F.col("_high")).drop("_n", "_lead", "_high")
+    """Strictly increasing ids: max(last id + 1, moment), in closed form over the rows of a key.
+
+    Less its place, an id is the greatest (moment less place) so far; the place may count from anywhere, so the
+    position in the global order serves and one sort is enough.  ``streaming.keyed.assign_ids`` goes on over batches.
+    """
+    lead = F.col(moment) - F.col("_row")
+    highest = running(df, [key], order, {"_high": Running("max", lead)}, position="_row")
+    return highest.withColumn("assigned_id", F.col("_row") + F.col("_high")).drop("_row", "_high")
 
 
 def expire(df: DataFrame, now_ms: int | Column, ttl_ms: int = DEFAULT_TTL_MS) -> DataFrame:

@@ -98,13 +98,39 @@ def range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Running]) -> DataFrame:
+def _numbered(placed: DataFrame, name: str) -> DataFrame:
+    """Global 0-based position of sorted rows; the start of each partition is a sum over one row per partition."""
+    starts = (
+        placed.groupBy(_PART)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            F.col(_PART).alias("_p"),
+            F.coalesce(
+                F.sum("_n").over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ).alias("_start"),
+        )
+    )
+    return (
+        placed.join(F.broadcast(starts), F.col(_PART) == F.col("_p"))
+        .withColumn(name, F.col("_start") + F.col("_place"))
+        .drop("_p", "_start")
+    )
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Running], position: str | None = None
+) -> DataFrame:
     """Add the running values ``specs`` per ``keys`` in ascending ``order`` (which must be unique per key).
 
     Null keys are a key of their own.  The rows move twice: into the global order, and to their (partition, key).
+    ``position`` adds the place in the global order, one more from row to row of a key, which the values may use.
     """
     values = {f"_v_{name}": spec.value for name, spec in specs.items() if spec.value is not None}
-    placed = range_sorted(df.withColumns(values) if values else df, [F.col(c) for c in [*keys, *order]]).drop("_place")
+    by = [F.col(c) for c in [*keys, *order]]
+    if position is None:
+        placed = range_sorted(df.withColumns(values) if values else df, by).drop("_place")
+    else:
+        placed = _numbered(range_sorted(df, by), position).drop("_place").withColumns(values)
     own = {name: Running(spec.kind, None if spec.value is None else F.col(f"_v_{name}")) for name, spec in specs.items()}
 
     window = Window.partitionBy(_PART, *keys).orderBy(*order)
@@ -144,22 +170,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     The rows are range-sorted and written once with their partition and place in it; the start of each
     partition is a sum over one row per partition.
     """
-    placed = range_sorted(df, order)
-    starts = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.col("_part").alias("_p"),
-            F.coalesce(
-                F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_start"),
-        )
-    )
-    return (
-        placed.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
-        .withColumn(name, F.col("_start") + F.col("_place"))
-        .drop("_part", "_place", "_p", "_start")
-    )
+    return _numbered(range_sorted(df, order), name).drop(_PART, "_place")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from weftline.functions import jsontext, names, text, tokens
 from weftline.operators import catalog, closure, components, graph, graphstore, history, jsonops, metrics, ordered, selectitems, sqlcorpus, textdiff
 from weftline.plans import views as v
 from weftline.runtime import configure, materialize, scratch_path
 from weftline.sources import history_files, jobs as job_source, sql_batch
-from weftline.streaming import histories
+from weftline.streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOCUS = "rpt_region_0"
@@ -1549,23 +1550,28 @@ def drop_consecutive(spark, sf_dir):
     return history.drop_consecutive(rows, "key", ORDER)
 
 
+def _in_slices(spark: SparkSession, rows: DataFrame, time: str, start: Callable[[DataFrame, str], StreamingQuery]) -> str:
+    """Run a stream over rows that arrive in four slices of time; it stops and starts again between them."""
+    folder = scratch_path(spark, "stream")
+    ends = rows.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
+    low, step = ends["low"] or 0, ((ends["high"] or 0) - (ends["low"] or 0)) // 4 + 1
+    for n in range(4):
+        rows.where(((F.col(time) - low) / step).cast("int") == n).write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return folder
+
+
+AT_ONCE = {"availableNow": True}
+
+
 @query("drop_consecutive_stream", CHANGES)
 def drop_consecutive_stream(spark, sf_dir):
-    """The same rows through a stream: files in, one micro-batch, state per key, files out."""
+    """The same rows through a stream that keeps the last fingerprint per key over batches and restarts."""
     rows = v.history(spark, sf_dir).select("key", "id", "created_ms", "type", "hash")
-    base = scratch_path(spark, "stream")
-    rows.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    run = (
-        histories.drop_consecutive_stream(stream)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .option("path", f"{base}/out")
-        .trigger(availableNow=True)
-        .start()
+    folder = _in_slices(
+        spark, rows, "created_ms", lambda stream, at: keyed.drop_consecutive(stream, at, "key", ORDER, AT_ONCE)
     )
-    run.awaitTermination()
-    return spark.read.schema(histories.OUTPUT).parquet(f"{base}/out")
+    return keyed.emitted(spark, folder, rows.schema)
 
 
 MARKED = with_sql(v.MARKED_SQL)
@@ -1618,6 +1624,23 @@ def evicted(spark, sf_dir):
     return history.evicted(v.history(spark, sf_dir).select(*ENTRY), "key", 20)
 
 
+def _eviction(spark: SparkSession, sf_dir: str) -> str:
+    rows = v.history(spark, sf_dir).select(*ENTRY)
+    return _in_slices(spark, rows, "created_ms", lambda stream, at: keyed.evict(stream, at, "key", 20, AT_ONCE))
+
+
+@query("evicted_stream", ORACLES["evicted"])
+def evicted_stream(spark, sf_dir):
+    """Rows leave the history of their key one batch after the other, each once."""
+    return keyed.emitted(spark, _eviction(spark, sf_dir), v.history(spark, sf_dir).select(*ENTRY).schema)
+
+
+@query("retained_stream", ORACLES["retain"])
+def retained_stream(spark, sf_dir):
+    """What the state of the stream holds at the end."""
+    return keyed.held(spark, _eviction(spark, sf_dir), v.history(spark, sf_dir).select(*ENTRY).schema)
+
+
 @query("history_order", HISTORY + "SELECT key, id, created_ms, pinned FROM history ORDER BY pinned DESC, created_ms DESC, id DESC")
 def history_order(spark, sf_dir):
     return history.history_order(v.history(spark, sf_dir).select("key", "id", "created_ms", "pinned"))
@@ -1689,6 +1712,25 @@ def assign_ids(spark, sf_dir):
     return history.assign_ids(coarse, "key", ["day", "id"], "day")
 
 
+@query("assign_ids_stream", ORACLES["assign_ids"])
+def assign_ids_stream(spark, sf_dir):
+    """Ids that go on from the last one of the key in the batches before."""
+    coarse = v.history(spark, sf_dir).select("key", "id", F.expr("created_ms div 86400000").alias("day"))
+    folder = _in_slices(spark, coarse, "day", lambda stream, at: keyed.assign_ids(stream, at, "key", ["day", "id"], "day", AT_ONCE))
+    return keyed.emitted(spark, folder, coarse.schema.add("assigned_id", "long"))
+
+
+@query(
+    "expired_stream",
+    HISTORY + "SELECT key, id, created_ms FROM history WHERE (SELECT max(created_ms) FROM history) - created_ms > 432000000",
+)
+def expired_stream(spark, sf_dir):
+    """Rows more than five days older than the newest one so far, emitted once, without another row of their key."""
+    rows = v.history(spark, sf_dir).select("key", "id", "created_ms")
+    folder = _in_slices(spark, rows, "created_ms", lambda stream, at: keyed.expire(stream, at, 432_000_000, AT_ONCE))
+    return keyed.emitted(spark, folder, rows.schema)
+
+
 @query(
     "expire",
     HISTORY + "SELECT key, id, created_ms FROM history WHERE 1706000000000 - created_ms <= 3600000",

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,8 +47,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH.get() or checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Intermediate tables made inside go to one folder that is deleted at the end, for work that repeats without end."""
+    folder = scratch_path(spark, label)
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        delete_path(spark, folder)
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -72,6 +90,12 @@ def _file(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where it does not exist."""
+    target, files = _file(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []
+
+
 def read_pointer(spark: SparkSession, root: str) -> str | None:
     """What the pointer file of a versioned folder says, or nothing without one."""
     target, files = _file(spark, f"{root}/{POINTER}")
