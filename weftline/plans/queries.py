@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.functions import jsontext, names, text, tokens
-from weftline.operators import catalog, closure, components, graph, graphstore, history, jsonops, metrics, ordered, selectitems, sqlcorpus, textdiff
+from weftline.operators import catalog, closure, components, cycles, graph, graphstore, history, jsonops, metrics, ordered, selectitems, sqlcorpus, textdiff
 from weftline.plans import views as v
 from weftline.runtime import configure, materialize, scratch_path
 from weftline.sources import history_files, jobs as job_source, sql_batch
@@ -511,6 +511,62 @@ def closure_all(spark, sf_dir):
     return closure.upstream_closure(edges, graph.leaf_tables(graph.table_cards(jobs, edges)), 0)
 
 
+CYCLIC_SQL = (
+    v.JOBS_SQL
+    + """,
+back AS (SELECT dst AS src, src AS dst, row_number() OVER (ORDER BY dst, src) AS n FROM edges WHERE src <> dst),
+linked AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM back WHERE n % 5 = 0),
+reach(a, b) AS (SELECT src, dst FROM linked UNION SELECT r.a, l.dst FROM reach r JOIN linked l ON l.src = r.b)"""
+)
+SKETCH = 32
+
+
+def _cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of the catalogue, and its edges with every fifth also the other way round, so that there are cycles."""
+    jobs, edges = _catalogue(spark, sf_dir)
+    pairs = edges.select("src", "dst")
+    turned = ordered.ranked(pairs.where("src <> dst"), [F.col("dst"), F.col("src")], "n").where("(n + 1) % 5 = 0")
+    linked = pairs.unionByName(turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return materialize(graph.table_cards(jobs, edges), "cards"), materialize(linked, "linked")
+
+
+@query(
+    "strong_components",
+    with_sql(CYCLIC_SQL, recursive=True)
+    + """SELECT c.name, least(c.name, coalesce(min(r.b), c.name)) AS representative FROM cards c
+         LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) r ON r.a = c.name GROUP BY c.name""",
+)
+def strong_components(spark, sf_dir):
+    return cycles.strong_components(*_cyclic(spark, sf_dir))
+
+
+@query(
+    "reachable_tables",
+    with_sql(CYCLIC_SQL, recursive=True)
+    + """SELECT name AS seed, name FROM cards WHERE is_leaf
+         UNION SELECT r.b, r.a FROM reach r JOIN cards c ON c.name = r.b WHERE c.is_leaf""",
+)
+def reachable_tables(spark, sf_dir):
+    """All tables upstream of the leaves, over the graph without its cycles."""
+    nodes, edges = _cyclic(spark, sf_dir)
+    return cycles.reachable(nodes, edges, graph.leaf_tables(nodes))
+
+
+@query(
+    "ancestor_counts",
+    with_sql(CYCLIC_SQL, recursive=True)
+    + f""", hashed AS (SELECT a, b, CAST('0x' || substr(md5(a), 1, 13) AS BIGINT) AS h FROM reach),
+         others AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY h, a) AS k FROM hashed WHERE a <> b),
+         counted AS (SELECT b, count(*) AS total FROM hashed GROUP BY b),
+         told AS (SELECT b, count(*) AS n, max(h) FILTER (k <= {SKETCH}) AS last FROM others GROUP BY b)
+         SELECT c.name, CASE WHEN coalesce(total, 0) > {SKETCH} THEN round({SKETCH - 1} * 4503599627370496.0::DOUBLE / (last + 1))::BIGINT
+           ELSE coalesce(n, 0) END AS ancestors, coalesce(total, 0) <= {SKETCH} AS exact
+         FROM cards c LEFT JOIN told ON told.b = c.name LEFT JOIN counted ON counted.b = c.name""",
+)
+def ancestor_counts(spark, sf_dir):
+    return cycles.ancestor_counts(*_cyclic(spark, sf_dir), SKETCH)
+
+
 @query(
     "edge_detail",
     with_sql(v.JOBS_SQL)
