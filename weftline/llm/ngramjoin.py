@@ -35,9 +35,9 @@ from weftline.runtime import materialize
 WORDS = 5
 SHARE = 0.28             # part of the hash range whose tokens the matrix holds; above 0.2, which a prefix needs
 HOT_GROUPS = 64          # tokens of more groups than this come last in the order
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 500_000  # matrix entries of one bucket, which a task holds with the pairs of groups they make
 CHUNK_REPEATS = 3        # a token of that many sets of one chunk is counted as a possible giant
-GIANT_TOKENS = 1_000_000  # possible giants above this many sets are kept out of the buckets, which must fit a task
+GIANT_TOKENS = 250_000   # possible giants above this many sets are kept out of the buckets, which must fit a task
 GIANT_BUCKETS = 61       # buckets -1, -2, … that the giants' counts are spread over, by group
 MEMO_WORDS = 100_000      # word hashes that a comparing task keeps
 GROUP_SETS = 256         # sets of a group that is compared in one task, at most about
@@ -269,13 +269,18 @@ def _postings(buckets: int, giants: np.ndarray):
 _MATCHES = "a bigint, b bigint, shared bigint"
 
 
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The packed numbers of all rows, copied once."""
+    parts = [np.frombuffer(value.as_buffer(), np.int64) for value in column if value.is_valid]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def _matched(table: pa.Table) -> pa.Table:
     """Of one bucket: (group, group, shared tokens), and (group, null, hot tokens).
 
     The giants' rows (buckets below 0) already hold counts.
     """
-    groups = np.frombuffer(b"".join(table.column("groups").to_pylist()), np.int64)
-    tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.int64)
+    groups, tokens = _flat(table.column("groups")), _flat(table.column("tokens"))
     left, right, shared = [], [], []
     if table.num_rows and table.column("bucket")[0].as_py() < 0:
         hot_groups, hot_counts = groups, tokens
