@@ -269,7 +269,7 @@ def _postings(buckets: int, giants: np.ndarray):
 _MATCHES = "a bigint, b bigint, shared bigint"
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     """The packed numbers of all rows, copied once."""
     parts = [np.frombuffer(value.as_buffer(), np.int64) for value in column if value.is_valid]
     return np.concatenate([np.zeros(0, np.int64), *parts])
@@ -280,7 +280,7 @@ def _matched(table: pa.Table) -> pa.Table:
 
     The giants' rows (buckets below 0) already hold counts.
     """
-    groups, tokens = _flat(table.column("groups")), _flat(table.column("tokens"))
+    groups, tokens = _unpacked(table.column("groups")), _unpacked(table.column("tokens"))
     left, right, shared = [], [], []
     if table.num_rows and table.column("bucket")[0].as_py() < 0:
         hot_groups, hot_counts = groups, tokens
