@@ -19,7 +19,6 @@ links.  Null and repeated ids are rows of their own; a component of rows without
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.tasks import chunks, ranges, ship, small_side, texts_of, without_rows
+from weftline.llm.tasks import chunks, ranges, release, ship, small_side, texts_of, without_rows
 from weftline.operators.components import representatives
 from weftline.runtime import materialize
 
@@ -53,14 +52,6 @@ BANDS, BAND_ROWS = 8, 4
 _ODD = np.array([pow(0x5851F42D4C957F2D, i, 2**64) | 1 for i in range(1, BANDS * BAND_ROWS + 1)], np.uint64)
 
 
-def _release() -> None:
-    """Give the memory that earlier tasks of this worker have freed back to the machine; a reused worker keeps it else."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-    if trim is not None:
-        trim(0)
-
-
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = value = xxhash.xxh3_64_intdigest(word)
@@ -115,7 +106,6 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     often_type = pa.list_(pa.struct([("token", pa.int64()), ("sets", pa.int64())]))
-    _release()
     for chunk in chunks(batches):
         memo = _Words()
         sets = [shingle_set(t, memo) for t in texts_of(chunk)]
@@ -232,7 +222,7 @@ def _postings(buckets: int, giants: np.ndarray):
     step = int(_LIMIT) // buckets + 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _release()
+        release()
         for batch in batches:
             at = 0
             sizes = batch.column("w").to_numpy(zero_copy_only=False)
@@ -291,7 +281,7 @@ def _matched(table: pa.Table) -> pa.Table:
 
     The giants' rows (buckets below 0) already hold counts.
     """
-    _release()
+    release()
     groups, tokens = _unpacked(table.column("groups")), _unpacked(table.column("tokens"))
     left, right, shared = [], [], []
     if table.num_rows and table.column("bucket")[0].as_py() < 0:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -59,8 +60,17 @@ def without_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text:
     return held.join(small_side(dropped), same, "left_anti").select("_doc.*")
 
 
+def release() -> None:
+    """Give the memory that earlier tasks of this worker have freed back to the machine; a reused worker keeps it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes in ``column``, and at least one row each."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
