@@ -322,3 +322,14 @@ def test_held_out_accuracy_of_the_trees(spark):
 def test_entropy(spark):
     urls = spark.createDataFrame([("aabb",), ("aaaa",), (None,)], "url string").withColumns({"host": F.lit(""), "path": F.lit("")})
     assert [r["f_entropy"] for r in urlfilter.with_features(urls).collect()] == [1.0, 0.0, 0.0]
+
+
+def test_own_label_is_left_out(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", 0.0), ("a", None), ("rare", 1.0), ("none", None)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k string, label double")
+    got = {r.id: r.f_k for r in urlfilter._statistic(frame, "k", "k", 0.75).collect()}
+    for i, (key, own) in enumerate(rows):
+        others = [label for j, (k, label) in enumerate(rows) if k == key and j != i and label is not None]
+        want = (sum(others) + urlfilter.SMOOTHING * 0.75) / (len(others) + urlfilter.SMOOTHING)
+        assert got[i] == pytest.approx(want)
+    assert got[4] == got[5] == pytest.approx(0.75)  # nothing but the row itself tells about its key

@@ -94,11 +94,17 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 
 def _statistic(rows: DataFrame, key: str, name: str, overall: float) -> DataFrame:
-    """(key, f_name: smoothed share of blocked among the labelled, f_name_rows: log of all rows) over all rows."""
-    labelled = F.count("label")
-    return rows.groupBy(key).agg(
-        ((F.coalesce(F.sum("label"), F.lit(0.0)) + SMOOTHING * overall) / (labelled + SMOOTHING)).alias(f"f_{name}"),
-        F.log1p(F.count(F.lit(1)).cast("double")).alias(f"f_{name}_rows"),
+    """``rows`` with f_name: smoothed share of blocked among the other labelled rows of the key, and f_name_rows: log of
+    all its rows.  A row's own label is left out, or it would be the answer where the key is rare."""
+    counted = rows.groupBy(key).agg(
+        F.coalesce(F.sum("label"), F.lit(0.0)).alias("_blocked"), F.count("label").alias("_labelled"), F.count(F.lit(1)).alias("_all")
+    )
+    own, known = F.coalesce("label", F.lit(0.0)), F.col("label").isNotNull().cast("int")
+    share = (F.col("_blocked") - own + SMOOTHING * overall) / (F.col("_labelled") - known + SMOOTHING)
+    return (
+        rows.join(materialize(counted, "url-statistic"), key, "left")  # written, so that a hot key is split
+        .withColumns({f"f_{name}": F.coalesce(share, F.lit(overall)), f"f_{name}_rows": F.log1p(F.coalesce("_all", F.lit(0)).cast("double"))})
+        .drop("_blocked", "_labelled", "_all")
     )
 
 
@@ -121,9 +127,7 @@ def judged(urls: DataFrame) -> DataFrame:
     rows = materialize(with_features(urls), "url-features")
     labelled, blocked = rows.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     overall = blocked / labelled if labelled else 0.0
-    full = rows.join(_statistic(rows, "_suffix", "suffix", overall), "_suffix", "left").join(
-        _statistic(rows, "_segment", "segment", overall), "_segment", "left"
-    )
+    full = _statistic(_statistic(rows, "_suffix", "suffix", overall), "_segment", "segment", overall)
     if not 0 < overall < 1:
         return full.withColumn("score", F.lit(overall))
     full = materialize(full, "url-rows")
