@@ -375,3 +375,50 @@ def test_links_without_leaders(spark, edge, monkeypatch):
     monkeypatch.setattr(ngramjoin, "SIDE_TOKENS", 500)
     got = sorted((r["row"], r["component_id"] or -1) for r in ngramjoin.linked_components(edge).select("row", "component_id").collect())
     assert [c for _, c in got] == [c for _, c in want]
+
+
+def generated(df):
+    """Rows that each Generate of the plan makes when it runs."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        elif node.nodeName() == "Generate":
+            found.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def passage_rows():
+    """Texts of two shared passages and a few own words: every passage is in more groups than the matrix counts pairs for."""
+    passages = [prose(300 + i, 40) for i in range(5)]
+    pairs = [(a, b) for a in passages for b in passages if a != b]
+    return [(i, f"{pairs[i % 20][0]} {pairs[i % 20][1]} {prose(5000 + i, 3)}") for i in range(280)]
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_a_query_and_a_family_make_one_row(spark, monkeypatch, parts):
+    """Sets that share many tokens with several families: no step makes a row per set, token and family."""
+    made, entries = [], []
+    original = ngramjoin.materialize
+
+    def watched(df, label="step"):
+        if entries and not parts:
+            made.extend(generated(df))
+        out = original(df, label)
+        if label == "join-entries":
+            entries.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "_leaders", lambda c: c.selectExpr("row as a", "row as b").limit(0))
+    monkeypatch.setattr(ngramjoin, "materialize", watched)
+    if parts:  # of the families that a chunk meets, and of groups and queries
+        monkeypatch.setattr(ngramjoin, "QUERY_SETS", 2)
+        monkeypatch.setattr(ngramjoin, "SIDE_TOKENS", 2_000)
+    rows = passage_rows()
+    assert joined(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)) == brute_components(rows)
+    assert entries[0] > len(rows) and max(made, default=0) <= entries[0]

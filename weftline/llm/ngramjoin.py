@@ -485,6 +485,37 @@ def _compared(queries: pa.Table, members: pa.Table, mutual: bool) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _meeting(sets: pa.Table, met: pa.Table) -> pa.Table:
+    """(row, n, key): each set of one chunk with the families that show a token of its prefix, once."""
+    hits: list[np.ndarray] = []
+    rows, sizes, keys = sets.column("row").to_numpy(), sets.column("n").to_numpy(), met.column("key").to_numpy()
+    if len(rows) and len(keys):
+        flat, lengths = _flat(sets.column("prefix"))
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        tokens, shared = _flat(met.column("tokens"))
+        for own in np.split(tokens, np.cumsum(shared)[:-1]):
+            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            hits.append(np.unique(owner[ranges(low, high - low)]))
+    found = np.concatenate([np.zeros(0, np.int64), *hits])
+    key = np.repeat(keys[: len(hits)], [len(h) for h in hits])
+    return pa.table({"row": pa.array(rows[found]), "n": pa.array(sizes[found]), "key": pa.array(key)})
+
+
+def _asking(sets: DataFrame, met: DataFrame) -> DataFrame:
+    """(row, n, key) of the sets (chunk, row, n, prefix) and the families that their chunk met (chunk, key, tokens).
+
+    A task holds one chunk and at most about QUERY_SETS of its families, with at most about SIDE_TOKENS tokens; a chunk
+    that met more is handed out again for every further part of them.
+    """
+    sized = _sized(met.select("chunk", F.col("key").alias("row"), F.size("tokens").cast("bigint").alias("n"), "tokens"), "chunk", QUERY_SETS, "part")
+    sized = materialize(sized.select("chunk", "part", F.col("row").alias("key"), "tokens"), "join-met-parts")
+    parts = materialize(sized.groupBy("chunk").agg(F.max("part").alias("last")), "join-last")
+    held = sets.join(parts, "chunk").select("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("part"), "row", "n", "prefix")
+    return held.groupBy("chunk", "part").cogroup(sized.groupBy("chunk", "part")).applyInArrow(_meeting, "row bigint, n bigint, key bigint")
+
+
 def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
     """(a, b): links among the sets in ``short`` (row, doc_id, content, n, g), at least one between any two of their g.
 
@@ -492,7 +523,8 @@ def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
     so near copies are neighbours and their chunk counts, and looks up, each of their tokens once.  The sets with the
     same most frequent token are a family, split into groups of bounded size.  A query meets the families that hold one
     of its rarest tokens among theirs; the union of each of their groups bounds the overlap, and only groups that pass
-    are opened, each query against all members at once.  Rows are queries and groups, never pairs of sets.
+    are opened, each query against all members at once.  Chunks and families meet first, so a query and a family make
+    one row however many tokens they share.  Rows are queries and groups, never pairs of sets.
     """
     tokens = _texts(docs, short).mapInArrow(_exploded, "row bigint, tokens array<bigint>")
     near = tokens.join(short.select("row", "g"), "row").orderBy(F.array_min("tokens"), "row")
@@ -505,11 +537,13 @@ def _short_links(docs: DataFrame, short: DataFrame) -> DataFrame:
     grouped = materialize(_sized(sets.select("row", "n", "key"), "key", GROUP_SETS, "piece"), "join-short-groups")
     entries = materialize(sets.select("chunk", "row", "n", "key", F.explode("prefix").alias("token")), "join-entries")
     matrix = materialize(entries.select("token", "key").distinct(), "join-matrix")
-    # the sets of a chunk that show a token ask for its families together
-    asking = entries.groupBy("chunk", "token").agg(F.collect_list(F.struct("row", "n")).alias("sets"))
-    asked = asking.join(matrix, "token").select("key", F.explode("sets").alias("s")).select("s.row", "s.n", "key").distinct()
+    # a chunk meets a family once, with all tokens that the two show
+    shown = materialize(entries.select("chunk", "token").distinct(), "join-shown")
+    met = shown.join(matrix, "token").groupBy("chunk", "key").agg(F.collect_list("token").alias("tokens"))
+    asked = _asking(sets.select("chunk", "row", "n", "prefix"), materialize(met, "join-met"))
     pieces = materialize(grouped.select("key", "piece").distinct(), "join-pieces")
-    asked = asked.join(pieces, "key").select("row", "n", F.struct("key", "piece").alias("group"))
+    # written, since the openings read it for their counts and again
+    asked = materialize(asked.join(pieces, "key").select("row", "n", F.struct("key", "piece").alias("group")), "join-asking")
     members = grouped.select("row", F.struct("key", "piece").alias("group"))
     return _open(asked, members, sets.select("row", "g", "tokens"), mutual=True)
 
