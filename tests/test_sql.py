@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions.tokens import sql_tokens
+from weftline.functions.tokens import begins_operand, begins_word, is_operand, is_word, sql_tokens, tokens_of
 from weftline.operators import metrics, selectitems, sqlcorpus
+from weftline.plans import views
+from weftline.plans.queries import QUERIES
 
 JOIN = """SELECT p.parcel, d.label, p.weight_kg
 FROM depot.parcels p
@@ -322,3 +324,35 @@ def test_metric_status(spark):
         "a": "SUCCESS", "b": "PARTIAL", "c": "UNSUPPORTED", "d": "PARSE_FAILED", "e": "SUCCESS",
     }
     assert metrics.metric_rollup(statuses).first()[:] == (5, 2, 1, 1, 1, 2)
+
+
+ODD_TOKENS = [
+    "select 'it''s', \"a\nb\".c, `x``y`.* from t -- end\n/* b */ , u /* open", "a.b.*<>1.5||.5;$%'open ''", "é.Ä straße 漢字.列 Ⅷ x² ١ a١ \u00a0\u2028 b\u0301", " \n\t", "--",
+]
+
+
+def test_tokens_in_python_are_those_of_the_column(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD_TOKENS], "t string").select("t", sql_tokens(F.col("t")).alias("tokens"))
+    kinds = [F.transform("tokens", is_word).alias("words"), F.transform("tokens", is_operand).alias("operands")]
+    for r in rows.select("*", *kinds).collect():
+        assert tokens_of(r.t) == r.tokens
+        assert [begins_word(t) for t in r.tokens] == r.words and [begins_operand(t) for t in r.tokens] == r.operands
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_walk_texts_once_and_join_nothing(spark):
+    plan = plan_of(sqlcorpus.column_usage(sqlcorpus.extract_facts(inputs(spark, JOIN, CTE))))
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert "lambdafunction" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_facts_of_repeated_and_missing_keys(spark):
+    rows = [(1, "s", "select a from t"), (1, "s", ""), (1, "s", "select 1; update u set b = 1; vacuum x"), (None, None, "select c from w"), (None, "s", None)]
+    facts = sqlcorpus.extract_facts(spark.createDataFrame(rows, "ord long, sql_id string, sql string")).collect()
+    shared = (["SELECT", "UPDATE", "UNKNOWN"], ["t"], ["u"], ["t.a", "u.b"])
+    got = sorted(((r.ord, r.sql_id), r.status, (r.statement_types, r.read_tables, r.write_tables, r.columns)) for r in facts if r.ord)
+    assert got == [((1, "s"), "PARSE_FAILED", shared), ((1, "s"), "PARTIAL", shared), ((1, "s"), "PARTIAL", shared)]
+    assert {(r.sql_id, r.status, tuple(r.columns)) for r in facts if r.ord is None} == {(None, "SUCCESS", ("w.c",)), ("s", "PARSE_FAILED", ())}

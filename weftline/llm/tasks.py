@@ -1,45 +1,22 @@
-"""Helpers shared by the operators: shipping the package to executors and walking Arrow batches in bounded pieces."""
+"""Helpers shared by the operators: walking Arrow batches in bounded pieces."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARROW_BATCH = {  # rows handed to Python at a time, bounded by number and by bytes
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
-}
+from weftline.runtime import ship  # noqa: F401  the operators here take it from this module
+
 BROADCAST_ROWS = 1_000_000  # lists of ids up to this many rows are broadcast, longer ones are shuffled
 CHUNK_BYTES = 2 << 20  # text bytes that one numpy pass holds at a time; a longer single text is one chunk
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per session, so that tasks can import it from any folder, and bound
-    what they are handed at a time."""
-    for name, value in ARROW_BATCH.items():
-        spark.conf.set(name, value)
-    context = spark.sparkContext
-    if not getattr(context, "_weftline_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        target = os.path.join(tempfile.mkdtemp(prefix="weftline-package-"), "weftline.zip")
-        with zipfile.ZipFile(target, "w") as archive:
-            for file in sorted(root.rglob("*.py")):
-                archive.write(file, str(Path(root.name) / file.relative_to(root)))
-        context.addPyFile(target)
-        context._weftline_shipped = True
-    return spark
-
-
 def filled(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with null texts read as empty."""
     return docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
