@@ -356,3 +356,26 @@ def test_facts_of_repeated_and_missing_keys(spark):
     got = sorted(((r.ord, r.sql_id), r.status, (r.statement_types, r.read_tables, r.write_tables, r.columns)) for r in facts if r.ord)
     assert got == [((1, "s"), "PARSE_FAILED", shared), ((1, "s"), "PARTIAL", shared), ((1, "s"), "PARTIAL", shared)]
     assert {(r.sql_id, r.status, tuple(r.columns)) for r in facts if r.ord is None} == {(None, "SUCCESS", ("w.c",)), ("s", "PARSE_FAILED", ())}
+
+
+def part_table(spark, folder, rows=400):
+    part = spark.range(1, rows + 1, 1, 1).selectExpr(
+        "id p_partkey", "concat('part ', id) p_name", "concat('Brand#', id % 7) p_brand", "'LARGE TIN' p_type", "cast(id % 50 as int) p_size", "1.5D p_retailprice"
+    )
+    part.write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_metric_texts_of_one_small_file_are_spread(spark, tmp_path):
+    texts = views.metric_texts(spark, part_table(spark, tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(texts) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in texts) == 400
+
+
+def test_dimensions_of_texts_walk_texts_once(spark, tmp_path):
+    dimensions = QUERIES["text_metric_dimensions"](spark, part_table(spark, tmp_path))
+    assert "MapInArrow" not in plan_of(dimensions) and "aggregate(" not in plan_of(dimensions)  # the items are written
+    rows = {tuple(r) for r in dimensions.where("sql_id in ('sql-4', 'sql-5')").collect()}
+    assert rows == {
+        ("sql-4", 1, 0, "department", "DEPT_4"), ("sql-4", 2, 0, "DEPT_4", "DEPT_4"), ("sql-5", 1, 0, "DEPT_0", "DEPT_0"), ("sql-5", 2, 0, "DEPT_0", "DEPT_0"),
+    }
+    assert dimensions.count() == 320

@@ -31,3 +31,8 @@ def unfold(df: DataFrame, keep: list, values: Column | str, name: str, position:
     """
     rows = F.explode_outer(values).alias(name) if position is None else F.posexplode_outer(values).alias(position, name)
     return df.select(*keep, rows).where(F.col(name).isNotNull())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the cores, for rows of few bytes that make much work: a task or two would read them all."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)

@@ -1058,7 +1058,8 @@ def text_metric_dimensions(spark, sf_dir):
     """Both branches of a set operation, cut out of the text; the alias is given in the first only."""
     texts = v.metric_texts(spark, sf_dir).where("ord % 5 not in (1, 2, 3)")
     bare = F.replace(F.regexp_extract("sql", r"(?s)\n(SELECT.*)$", 1), F.lit(" AS department"))
-    return metrics.metric_dimensions(selectitems.metric_items(texts.withColumn("sql", F.concat_ws(" UNION ALL ", "sql", F.concat(F.lit("("), bare, F.lit(")"))))))
+    items = selectitems.metric_items(texts.withColumn("sql", F.concat_ws(" UNION ALL ", "sql", F.concat(F.lit("("), bare, F.lit(")")))))
+    return metrics.metric_dimensions(materialize(items, "items"))
 
 
 # ---------------------------------------------------------------------------------------------------- JSON (J)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.rows import spread
+
 ORD_STEP = 1_000_000_000_000  # spacing of the ordinals of the job families
 
 
@@ -271,9 +273,9 @@ facts AS (
 # --------------------------------------------------------------------------------------------------------------
 
 
-def metric_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metric_items(spark: SparkSession, sf_dir: str, part: DataFrame | None = None) -> DataFrame:
     """Two items per part: a dimension and an expression of the family ``p_partkey % 10``."""
-    part = table(spark, sf_dir, "part")
+    part = part or table(spark, sf_dir, "part")
     b = F.regexp_replace("p_brand", "#", "_")
     even = F.col("p_size") % 2 == 0
     family = F.col("p_partkey") % 10
@@ -324,7 +326,7 @@ def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     By the key, a text also holds an INSERT, or nothing but an UPDATE, or no statement at all.
     """
-    items = metric_items(spark, sf_dir).where("item_no = 2")
+    items = metric_items(spark, sf_dir, spread(table(spark, sf_dir, "part"))).where("item_no = 2")
     even = F.col("having_text").isNotNull()
     dim = F.get(F.col("group_by"), F.lit(0))
     query = F.concat(
