@@ -379,3 +379,13 @@ def test_dimensions_of_texts_walk_texts_once(spark, tmp_path):
         ("sql-4", 1, 0, "department", "DEPT_4"), ("sql-4", 2, 0, "DEPT_4", "DEPT_4"), ("sql-5", 1, 0, "DEPT_0", "DEPT_0"), ("sql-5", 2, 0, "DEPT_0", "DEPT_0"),
     }
     assert dimensions.count() == 320
+
+
+def test_statuses_of_texts_join_kinds_to_nothing(spark):
+    statuses = selectitems.metric_statuses(inputs(spark, "select sum(a) from t", "update t set a = 1"))
+    assert plan_of(statuses).count("Join") == 1  # with the metrics
+
+    rows = [(1, "s", "select sum(a) from t"), (1, "s", None), (None, "s", "drop table t"), (2, None, "select max(a) from t"), (3, "u", "")]
+    repeated = spark.createDataFrame(rows, "ord long, sql_id string, sql string")
+    got = {tuple(r) for r in selectitems.metric_statuses(repeated).collect()}
+    assert got == {("s", "PARTIAL", 1), (None, "SUCCESS", 0), ("u", "PARSE_FAILED", 0)}
